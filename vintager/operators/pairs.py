@@ -49,10 +49,14 @@ class NoCommonDates(ValueError):
     """Raised when two publications share no target date."""
 
 
-def _unique(earlier: Column, later: Column) -> Column:
-    """True, or an error if the predecessor is of the row's own publication."""
+def _unique(value: Column, earlier: Column, later: Column) -> Column:
+    """``value``, or an error if the predecessor is of the row's own publication.
+
+    The check is part of a value, not a filter: the optimizer copies filters to the
+    other side of a join, where rows that are not predecessors would raise.
+    """
     message = "Pair keys are not unique: entity, group and target date repeat."
-    return F.when(earlier == later, F.raise_error(message).cast("boolean")).otherwise(True)
+    return F.when(earlier == later, F.raise_error(message).cast("timestamp")).otherwise(value)
 
 
 def _revised(matched: DataFrame, c: Columns) -> DataFrame:
@@ -117,7 +121,8 @@ def all_pair_revisions(
         {PREVIOUS_TIME: c.published, PREVIOUS_MW: c.measure},
         resolve_chunk(df, c.published, chunk),
     ).withColumnsRenamed({c.published: LATEST_TIME, c.measure: LATEST_MW})
-    checked = rows.filter(_unique(F.col(PREVIOUS_TIME), F.col(LATEST_TIME)))
+    previous, latest = F.col(PREVIOUS_TIME), F.col(LATEST_TIME)
+    checked = rows.withColumn(PREVIOUS_TIME, _unique(previous, previous, latest))
     return _revised(_in_adjacent_pair(checked, df, c), c)
 
 
@@ -156,7 +161,10 @@ def match_publications(previous: DataFrame, latest: DataFrame, c: Columns = DEFA
                 PREVIOUS_MW: F.lag(c.measure).over(window),
             }
         )
-        .filter(F.col("_earlier").isNotNull() & _unique(F.col("_earlier"), F.col("_side")))
+        .filter(F.col("_earlier").isNotNull())
+        .withColumn(
+            PREVIOUS_TIME, _unique(F.col(PREVIOUS_TIME), F.col("_earlier"), F.col("_side"))
+        )
         .withColumnsRenamed({c.published: LATEST_TIME, c.measure: LATEST_MW})
     )
     return _revised(rows, c)
