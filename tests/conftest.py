@@ -23,6 +23,8 @@ def spark(tmp_path_factory):
         **{
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
+            "spark.sql.codegen.wholeStage": "false",
+            "spark.sql.codegen.factoryMode": "NO_CODEGEN",
             "spark.sql.warehouse.dir": str(warehouse),
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")),
         },

@@ -141,10 +141,13 @@ def history_report(df: DataFrame, c: Columns = DEFAULT) -> dict[str, DataFrame]:
 def ingest_landing(
     spark: SparkSession, landing: str, store: str, c: Columns = DEFAULT
 ) -> DataFrame:
-    """Validate landing files and store their new publications."""
-    rows = read_landing(spark, landing, c=c)
-    assert_ingest(rows, c)
-    return append_new_publications(rows, store, c)
+    """Validate landing files and store their new publications; each is parsed once."""
+    rows = read_landing(spark, landing, c=c).persist()
+    try:
+        assert_ingest(rows, c)
+        return append_new_publications(rows, store, c)
+    finally:
+        rows.unpersist()
 
 
 def collect_and_run(

@@ -46,9 +46,14 @@ def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path in batch.column("path").to_pylist():
             uri = path.replace("file:///", "/").replace("file:/", "/")
             filesystem, name = pyarrow.fs.FileSystem.from_uri(uri)
-            schema = pq.read_schema(name, filesystem=filesystem)
+            stored = pq.read_metadata(name, filesystem=filesystem).schema
+            kinds = {field.name: str(field.type) for field in stored.to_arrow_schema()}
+            for i in range(len(stored)):
+                column = stored.column(i)
+                if column.physical_type == "INT96":
+                    kinds[column.name] = "int96"
             paths.append(path)
-            types.append(";".join(sorted(f"{field.name}={field.type}" for field in schema)))
+            types.append(";".join(f"{name}={kinds[name]}" for name in sorted(kinds)))
         yield pa.RecordBatch.from_arrays(
             [pa.array(paths, pa.string()), pa.array(types, pa.string())], ["path", "types"]
         )
@@ -110,17 +115,11 @@ def canonical_history(
 
 
 def _scan(spark: SparkSession, paths: list[str], nanos: bool) -> DataFrame:
-    if not nanos:
-        return spark.read.parquet(*paths)
-    # The option has no per-read form, so it is set only while the schema is resolved
-    # and captured by the resolved relation.
-    name = "spark.sql.legacy.parquet.nanosAsLong"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
-    try:
-        return spark.read.parquet(*paths)
-    finally:
-        spark.conf.set(name, before)
+    if nanos:
+        # There is no per-read form, and the scan reads the setting when it runs, so it
+        # stays on. Files without nanosecond timestamps read as before.
+        spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+    return spark.read.parquet(*paths)
 
 
 def repair_timestamps(
@@ -145,5 +144,16 @@ def repair_timestamps(
             else F.col(name)
             for name in df.columns
         ]
-        df.select(*columns).write.mode("append").parquet(target)
+        _write_micros(spark, df.select(*columns), target)
     return repaired.select("path")
+
+
+def _write_micros(spark: SparkSession, df: DataFrame, target: str) -> None:
+    """Append with timestamps stored as 64-bit microseconds (the writer has no option)."""
+    name = "spark.sql.parquet.outputTimestampType"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "TIMESTAMP_MICROS")
+    try:
+        df.write.mode("append").parquet(target)
+    finally:
+        spark.conf.set(name, before)

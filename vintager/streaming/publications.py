@@ -60,12 +60,17 @@ def ingest_stream(
     """Store each publication once; with ``revisions``, keep that table up to date too."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        assert_ingest(batch, c)
-        append_new_publications(batch, store, c)
-        if revisions is not None:
-            refresh_revisions(spark, store, batch.select(c.published).distinct(), revisions, c)
+        # The batch is used several times; without this its files are parsed each time.
+        rows = batch.persist()
+        try:
+            if not rows.isEmpty():
+                assert_ingest(rows, c)
+                append_new_publications(rows, store, c)
+                if revisions is not None:
+                    times = rows.select(c.published).filter(F.col(c.published).isNotNull())
+                    refresh_revisions(spark, store, times.distinct(), revisions, c)
+        finally:
+            rows.unpersist()
 
     return run_available(landing_stream(spark, landing, c), handle, checkpoint)
 
