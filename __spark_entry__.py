@@ -26,6 +26,7 @@ from vintager.functions.scalars import publication_stamp
 from vintager.operators import pairs, publications, quality, revisions
 from vintager.operators.availability import availability, group_history, system_history
 from vintager.plans import audit, gold, jobs, relational, serving
+from vintager.session import ensure_checkpoint_dir
 from vintager.sources import landing, store, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,17 +77,31 @@ def _recent_groups(df: DataFrame) -> DataFrame:
     return revisions.recent_series_revisions(group_history(df), C.group_series)
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """A relation that several products read, written once to the shared folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def _pair(df: DataFrame) -> DataFrame:
     """The two newest publications compared: what the gold tables are loaded with."""
     return pairs.latest_pair_revisions(df)
 
 
+def _units(unit: DataFrame) -> DataFrame:
+    return gold.latest_changed_units(relational.unit_revisions(unit))
+
+
 def _gold_units(df: DataFrame) -> DataFrame:
-    return gold.latest_changed_units(relational.unit_revisions(_pair(df)))
+    return _units(_stored(_pair(df)))
+
+
+def _totals(unit: DataFrame) -> DataFrame:
+    return gold.latest_system_revision(relational.system_revisions(pairs.rollup_pair(unit)))
 
 
 def _gold_system(df: DataFrame) -> DataFrame:
-    return gold.latest_system_revision(relational.system_revisions(pairs.rollup_pair(_pair(df))))
+    return _totals(_stored(_pair(df)))
 
 
 def _outlook(df: DataFrame) -> DataFrame:
@@ -98,11 +113,12 @@ def _health(df: DataFrame) -> DataFrame:
 
 
 def _dashboard(df: DataFrame) -> DataFrame:
-    return gold.dashboard_kpis(_outlook(df), _gold_units(df), _gold_system(df), _health(df))
+    unit = _stored(_pair(df))
+    return gold.dashboard_kpis(_outlook(df), _units(unit), _totals(unit), _health(df))
 
 
 def _reconciled_revisions(df: DataFrame) -> DataFrame:
-    unit = pairs.all_pair_revisions(df)
+    unit = _stored(pairs.all_pair_revisions(df))
     return quality.reconcile_revisions(
         unit, pairs.rollup_pair(unit, [C.group]), pairs.rollup_pair(unit)
     )
@@ -253,7 +269,7 @@ def _queries() -> dict[str, Query]:
         "q_latest_changed_units": h(_gold_units),
         "q_latest_fuel_revision_ranking": h(
             lambda df: gold.fuel_revision_ranking(
-                relational.group_revisions(pairs.rollup_pair(_pair(df), [C.group]))
+                relational.group_revisions(pairs.rollup_pair(_stored(_pair(df)), [C.group]))
             )
         ),
         "q_latest_unit_revision_ranking": h(

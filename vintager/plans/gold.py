@@ -189,10 +189,11 @@ def dashboard_kpis(
         F.max("total_available_mw").alias("maximum_total_available_mw"),
         F.min("gb_generation_storage_available_mw").alias("minimum_gb_generation_storage_mw"),
         F.round(mean_abroad, 2).alias("average_interconnector_available_mw"),
+        # The lowest day in the same pass: smallest total, then earliest date.
+        F.min(F.struct("total_available_mw", "forecast_date")).alias("_low"),
     )
     parts = headline.withColumns(
         {
-            "_low": _one_row(lowest_day(outlook)),
             "_changes": _one_row(revision_summary(changed_units)),
             "_large": _one_row(largest_system_revision(system_revision)),
             "_run": _one_row(health),
@@ -202,8 +203,8 @@ def dashboard_kpis(
         "latest_publish_time",
         "forecast_start_date",
         "forecast_end_date",
-        "_low.lowest_availability_date",
-        "_low.lowest_availability_mw",
+        F.col("_low.forecast_date").alias("lowest_availability_date"),
+        F.col("_low.total_available_mw").alias("lowest_availability_mw"),
         "minimum_total_available_mw",
         "maximum_total_available_mw",
         "minimum_gb_generation_storage_mw",

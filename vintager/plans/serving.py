@@ -8,7 +8,7 @@ touches.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintager.columns import (
@@ -37,6 +37,11 @@ METHODOLOGY = (
 )
 
 
+def _overall(name: str) -> Column:
+    """The total over all rows; only used over aggregates of a few rows."""
+    return F.sum(name).over(Window.partitionBy())
+
+
 def kpis(system: DataFrame, by_group: DataFrame, c: Columns = DEFAULT) -> DataFrame:
     """Latest publication, its total for the nearest date, publications and groups tracked."""
     return nearest_forecast(system, c).agg(
@@ -59,13 +64,16 @@ def system_profile(system: DataFrame, c: Columns = DEFAULT) -> DataFrame:
 def group_mix(
     by_group: DataFrame, dimension: DataFrame | None = None, c: Columns = DEFAULT
 ) -> DataFrame:
-    """Availability by group at the nearest date, with label and share of the total."""
+    """Availability by group at the nearest date, with label and share of the total.
+
+    The total is a window over one row per group, so the rows are read once.
+    """
     mix = (
         nearest_forecast(by_group, c)
         .groupBy(c.group)
         .agg(F.coalesce(F.sum(AVAILABLE), F.lit(0)).alias("available_mw"))
     )
-    total = mix.agg(F.sum("available_mw")).scalar()
+    total = _overall("available_mw")
     shared = mix.withColumn("share_pct", share_or_zero(F.col("available_mw"), total, 1))
     return with_labels(shared, c.group, dimension, coded=True).select(
         F.col(c.group).alias("fuel_type"),
@@ -79,25 +87,25 @@ def group_mix(
 def group_mix_top(mix: DataFrame, k: int = 7) -> DataFrame:
     """The ``k`` largest groups, and what remains of the total as one more category.
 
-    The remainder appears only if it is positive. Shares are of the rows shown.
+    The remainder appears only if it is positive. Shares are of the rows shown. Both
+    windows see aggregates only: one row per group, then at most ``k + 1`` rows.
     """
-    order = [F.col("available_mw").desc(), F.col("fuel_type")]
-    head = mix.orderBy(*order).limit(k)
-    shown = head.select("fuel_type", "short_label", "fuel_label", "available_mw")
+    by_size = Window.orderBy(F.col("available_mw").desc(), "fuel_type")
+    shown = F.col("_place") <= k
     code, full, short = REMAINDER
-    remainder = (
-        mix.join(head.select("fuel_type"), "fuel_type", "left_anti")
-        .agg(F.sum("available_mw").alias("available_mw"))
-        .filter(F.col("available_mw") > 0)
-        .select(
-            F.lit(code).alias("fuel_type"),
-            F.lit(short).alias("short_label"),
-            F.lit(full).alias("fuel_label"),
-            "available_mw",
+    rows = (
+        mix.withColumn("_place", F.row_number().over(by_size))
+        .groupBy(
+            F.when(shown, F.col("fuel_type")).otherwise(code).alias("fuel_type"),
+            F.when(shown, F.col("short_label")).otherwise(short).alias("short_label"),
+            F.when(shown, F.col("fuel_label")).otherwise(full).alias("fuel_label"),
+            shown.alias("_shown"),
         )
+        .agg(F.sum("available_mw").alias("available_mw"))
+        .filter(F.col("_shown") | (F.col("available_mw") > 0))
+        .drop("_shown")
     )
-    rows = shown.unionByName(remainder)
-    total = rows.agg(F.sum("available_mw")).scalar()
+    total = _overall("available_mw")
     return rows.withColumn("share_pct", share_or_zero(F.col("available_mw"), total, 2))
 
 
@@ -116,9 +124,9 @@ def group_revisions_net(
 
 
 def direction_counts(revisions: DataFrame) -> DataFrame:
-    """Revisions by direction over all history, with shares."""
+    """Revisions by direction over all history, with shares of the three counts."""
     counts = revisions.groupBy(DIRECTION).agg(F.count(F.lit(1)).alias("count"))
-    total = counts.agg(F.sum("count")).scalar()
+    total = _overall("count")
     return counts.select(
         F.col(DIRECTION).alias("direction"),
         "count",
@@ -199,25 +207,73 @@ def most_revised_group(
     )
 
 
-def _row_or_null(df: DataFrame) -> Column:
-    return df.select(F.struct(*df.columns).alias("row")).scalar()
-
-
 def revision_signals(
     windowed: DataFrame, dimension: DataFrame | None = None, c: Columns = DEFAULT
 ) -> DataFrame:
     """One row: latest publication, largest changes up and down, most revised group.
 
-    A signal that does not occur is NULL.
+    A signal that does not occur is NULL. All four come from one pass over the window:
+    per group first, then over the groups. A largest change is the minimum of a struct
+    that begins with the sort key.
     """
-    signals = windowed.agg(F.max(LATEST_TIME).alias("latest_publication")).withColumns(
-        {
-            "largest_upward": _row_or_null(largest_revision(windowed, True, dimension, c)),
-            "largest_downward": _row_or_null(largest_revision(windowed, False, dimension, c)),
-            "most_revised_fuel": _row_or_null(most_revised_group(windowed, dimension, c)),
-        }
+    change, published = F.col(REVISION), F.col(LATEST_TIME)
+    unit = unit_name(F.col(c.entity), F.col(c.alias)).alias("unit")
+    group = F.coalesce(F.col(c.group), F.lit(UNKNOWN_GROUP)).alias("fuel_type")
+
+    def mover(key: Column) -> Column:
+        newest_first = (-F.unix_micros(published)).alias("_newest")
+        return F.struct(
+            key.alias("_key"),
+            newest_first,
+            unit,
+            F.col(c.target).alias("forecast_date"),
+            group,
+            change.alias("revision_mw"),
+            published.alias("publication_time"),
+        )
+
+    by_group = windowed.groupBy(group).agg(
+        F.max(published).alias("_latest"),
+        F.min(F.when(change > 0, mover(-change))).alias("_up"),
+        F.min(F.when(change < 0, mover(change))).alias("_down"),
+        F.sum(F.abs(change)).alias("absolute_revision_mw"),
+        F.sum(change).alias("net_revision_mw"),
+        F.count_if(change != 0).alias("revision_records"),
+    )
+    most = F.struct(
+        (-F.col("absolute_revision_mw")).alias("_key"),
+        "fuel_type",
+        "absolute_revision_mw",
+        "net_revision_mw",
+        "revision_records",
     )
-    return signals
+    found = by_group.agg(
+        F.max("_latest").alias("latest_publication"),
+        F.min("_up").alias("_up"),
+        F.min("_down").alias("_down"),
+        F.min(F.when(F.col("revision_records") > 0, most)).alias("_most"),
+    )
+
+    def signal(rows: DataFrame, found_as: str, name: str, fields: list[str]) -> DataFrame:
+        coded = rows.withColumn("_code", F.col(f"{found_as}.fuel_type"))
+        labelled = with_labels(coded, "_code", dimension)
+        parts = [
+            F.col("fuel_label") if f == "fuel_label" else F.col(f"{found_as}.{f}") for f in fields
+        ]
+        present = F.when(F.col(found_as).isNotNull(), F.struct(*parts))
+        return labelled.withColumn(name, present).drop("_code", "fuel_label", "short_label", found_as)
+
+    moved = ["unit", "fuel_type", "fuel_label", "revision_mw", "forecast_date", "publication_time"]
+    summed = [
+        "fuel_type",
+        "fuel_label",
+        "absolute_revision_mw",
+        "net_revision_mw",
+        "revision_records",
+    ]
+    rows = signal(found, "_up", "largest_upward", moved)
+    rows = signal(rows, "_down", "largest_downward", moved)
+    return signal(rows, "_most", "most_revised_fuel", summed)
 
 
 def stability(
@@ -239,10 +295,14 @@ def stability(
         F.col("_all") == 0, F.raise_error("Revision history is empty.").cast("decimal(10,2)")
     ).otherwise(share_or_zero(F.col("_same"), F.col("_all"), 2).cast("decimal(10,2)"))
     net = F.coalesce(group_window.agg(F.sum(REVISION)).scalar(), F.lit(0))
-    top = _row_or_null(most_revised_group(entity_window, dimension, c))
+    signals = revision_signals(entity_window, dimension, c)
+    found = signals.select(F.struct("latest_publication", "most_revised_fuel")).scalar()
     return (
         counted.select(
-            score.alias("stability_score"), net.alias("_net"), top.alias("_top")
+            score.alias("stability_score"),
+            net.alias("_net"),
+            found.getField("most_revised_fuel").alias("_top"),
+            found.getField("latest_publication").alias("latest_publication"),
         )
         .select(
             "stability_score",
@@ -259,7 +319,7 @@ def stability(
                 F.col("_top.absolute_revision_mw").cast("decimal(28,3)"),
                 F.lit(0).cast("decimal(28,3)"),
             ).alias("most_revised_fuel_abs_mw"),
-            newest(entity_window, LATEST_TIME).alias("latest_publication"),
+            "latest_publication",
             F.lit(METHODOLOGY).alias("methodology"),
         )
     )
