@@ -22,9 +22,10 @@ from vintager import workload as w
 from vintager.columns import DEFAULT as C
 from vintager.columns import LATEST_TIME
 from vintager.functions.labels import fuel_dimension, with_labels
-from vintager.functions.scalars import publication_stamp
+from vintager.functions.scalars import iso_timestamp, publication_stamp
 from vintager.operators import pairs, publications, quality, revisions
 from vintager.operators.availability import availability, group_history, system_history
+from vintager.operators.neighbours import chunk_unit
 from vintager.plans import audit, gold, jobs, relational, serving
 from vintager.session import ensure_checkpoint_dir
 from vintager.sources import landing, store, tables
@@ -74,7 +75,8 @@ def _recent(df: DataFrame) -> DataFrame:
 
 
 def _recent_groups(df: DataFrame) -> DataFrame:
-    return revisions.recent_series_revisions(group_history(df), C.group_series)
+    chunk = chunk_unit(df, C.published)
+    return revisions.recent_series_revisions(group_history(df), C.group_series, chunk=chunk)
 
 
 def _stored(df: DataFrame) -> DataFrame:
@@ -151,8 +153,15 @@ def _upsert_revisions(df: DataFrame) -> DataFrame:
 
 
 def _stamped(df: DataFrame) -> DataFrame:
-    return publications.publications(df).withColumn(
-        "stamp", publication_stamp(F.col(C.published))
+    published = F.col(C.published)
+    return publications.publications(df).select(
+        published, publication_stamp(published).alias("stamp"), iso_timestamp(published).alias("iso")
+    )
+
+
+def _split(df: DataFrame) -> DataFrame:
+    return landing.split_publications(df).withColumn(
+        "publish_stamp", publication_stamp(F.col(C.published))
     )
 
 
@@ -164,6 +173,15 @@ def _nearest(df: DataFrame) -> DataFrame:
     return publications.nearest_forecast(_system(df))
 
 
+def _stability(df: DataFrame) -> DataFrame:
+    chunk = chunk_unit(df, C.published)
+    return serving.stability(
+        revisions.entity_revisions(df, chunk=chunk),
+        revisions.recent_entity_revisions(df, chunk=chunk),
+        revisions.recent_series_revisions(group_history(df), C.group_series, chunk=chunk),
+    )
+
+
 def _backfill(df: DataFrame) -> DataFrame:
     """A range across the edge of the stored history: some publications are new."""
     rows = landing.publish_range(df, "2024-01-23T00:00:00Z", "2024-01-26T12:00:00+00:00")
@@ -187,9 +205,8 @@ def _queries() -> dict[str, Query]:
         "q_source_details": h(
             lambda df: quality.source_details(publications.latest_publication(df))
         ),
-        "q_split_publications": h(
-            lambda df: landing.publication_summary(landing.split_publications(df))
-        ),
+        "q_split_publications": h(_split),
+        "q_publication_summary": h(landing.publication_summary),
         # Sinks, as the rows or reports they produce
         "q_new_publications": h(lambda df: store.new_rows(df, w.stored(df))),
         "q_publication_manifest": h(store.publication_manifest),
@@ -229,10 +246,14 @@ def _queries() -> dict[str, Query]:
         # Revisions against the last appearance
         "q_unit_revision_history": h(revisions.entity_revisions),
         "q_fuel_revision_history": h(
-            lambda df: revisions.series_revisions(_groups(df), C.group_series)
+            lambda df: revisions.series_revisions(
+                _groups(df), C.group_series, chunk=chunk_unit(df, C.published)
+            )
         ),
         "q_system_revision_history": h(
-            lambda df: revisions.series_revisions(_system(df), C.total_series)
+            lambda df: revisions.series_revisions(
+                _system(df), C.total_series, chunk=chunk_unit(df, C.published)
+            )
         ),
         "q_changed_rows_by_pair": h(
             lambda df: revisions.changed_rows_by_pair(revisions.entity_revisions(df))
@@ -294,11 +315,7 @@ def _queries() -> dict[str, Query]:
         "q_largest_downward": h(lambda df: serving.largest_revision(_recent(df), upward=False)),
         "q_most_revised_fuel": h(lambda df: serving.most_revised_group(_recent(df))),
         "q_revision_signals": h(lambda df: serving.revision_signals(_recent(df))),
-        "q_stability": h(
-            lambda df: serving.stability(
-                revisions.entity_revisions(df), _recent(df), _recent_groups(df)
-            )
-        ),
+        "q_stability": h(_stability),
         # Jobs and audit
         "q_backfill_summary": h(_backfill),
         "q_audit_state": h(lambda df: audit.audit_state(w.run_events(w.pipeline_runs(df)))),

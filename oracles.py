@@ -351,6 +351,10 @@ QUERIES: dict[str, tuple[list[str], str]] = {
            GROUP BY 1 ORDER BY 1 DESC LIMIT 1""",
     ),
     "q_split_publications": (
+        ["canon"],
+        "SELECT *, strftime(publishTime, '%Y%m%dT%H%M%SZ') AS publish_stamp FROM canon",
+    ),
+    "q_publication_summary": (
         ["canon"],
         """SELECT publishTime, COUNT(*) AS rows, COUNT(DISTINCT nationalGridBmUnit) AS units,
              COUNT(DISTINCT forecastDate) AS forecastDates, COUNT(DISTINCT fuelType) AS fuelTypes
@@ -492,7 +496,8 @@ QUERIES: dict[str, tuple[list[str], str]] = {
     ),
     "q_publication_stamp": (
         ["canon"],
-        """SELECT DISTINCT publishTime, strftime(publishTime, '%Y%m%dT%H%M%SZ') AS stamp FROM canon""",
+        """SELECT DISTINCT publishTime, strftime(publishTime, '%Y%m%dT%H%M%SZ') AS stamp,
+             strftime(publishTime, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM canon""",
     ),
     "q_fuel_labels": (
         ["canon", "fuels"],

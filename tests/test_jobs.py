@@ -115,7 +115,7 @@ def test_governed_run(spark, tmp_path):
     folder.mkdir()
     targets = jobs.RelationalTargets(str(tmp_path / "db"))
     log, base = str(tmp_path / "log"), str(tmp_path / "store")
-    stages = jobs.standard_stages(spark, str(folder), base, targets)
+    stages = jobs.standard_stages(spark, str(folder), base, str(tmp_path / "work"), targets)
     assert len(stages) == 6
 
     land(folder, "a.json", "2026-08-12T00:00:00Z", {"A": 100, "B": 50})

@@ -14,6 +14,7 @@ UNKNOWN_UNIT = "Unknown unit"
 UNKNOWN_GROUP = "Unknown"
 INTERCONNECTOR_PREFIX = "INT"
 MAX_ERROR_LENGTH = 5000
+ZONE_PATTERN = r"Z$|[+-]\d{2}:\d{2}$"
 STABILITY_BANDS = [
     (95, "Highly stable"),
     (90, "Stable"),
@@ -92,10 +93,15 @@ def publication_stamp(published: Column) -> Column:
 
 
 def iso_timestamp(value: Column) -> Column:
-    """ISO text with an explicit UTC suffix."""
+    """ISO text of an instant, with the UTC suffix."""
     return F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def zoned_text(text: Column) -> Column:
+    """ISO text with a UTC suffix added where it names no zone."""
+    return F.when(text.rlike(ZONE_PATTERN), text).otherwise(F.concat(text, F.lit("Z")))
+
+
 def duration_seconds(start: Column, end: Column) -> Column:
     return (F.unix_micros(end) - F.unix_micros(start)) / F.lit(1e6)
 

@@ -37,8 +37,7 @@ from vintager.functions.scalars import (
 from vintager.operators.neighbours import AUTO, resolve_chunk, with_predecessor
 from vintager.operators.publications import (
     PREVIOUS,
-    latest_publications,
-    newest,
+    at_time,
     publication_calendar,
     publications,
 )
@@ -97,21 +96,22 @@ def adjacent_pairs(df: DataFrame, c: Columns = DEFAULT) -> DataFrame:
     )
 
 
-def _in_adjacent_pair(rows: DataFrame, df: DataFrame, c: Columns) -> DataFrame:
-    """Rows whose two times are adjacent publications of ``df``.
+def _sized(df: DataFrame, c: Columns, chunk: str | None) -> tuple[str | None, DataFrame]:
+    """The chunk unit, and the adjacent pairs, broadcast if there are few publications.
 
-    The calendar has a row per publication; it is broadcast if there are few enough.
+    The count that settles the chunk also bounds the pairs: one row per publication.
     """
+    unit = resolve_chunk(df, c.published, chunk)
+    few = unit is None if chunk == AUTO else publications(df, c).count() <= BROADCAST_ROWS
     pairs = adjacent_pairs(df, c)
-    if publications(df, c).count() <= BROADCAST_ROWS:
-        pairs = F.broadcast(pairs)
-    return rows.join(pairs, [PREVIOUS_TIME, LATEST_TIME], "left_semi")
+    return unit, F.broadcast(pairs) if few else pairs
 
 
 def all_pair_revisions(
     df: DataFrame, c: Columns = DEFAULT, chunk: str | None = AUTO
 ) -> DataFrame:
     """Revisions of every adjacent pair of publications at once."""
+    unit, pairs = _sized(df, c, chunk)
     keys = [c.entity, c.group, c.target]
     dated = df.filter(F.col(c.target).isNotNull() & F.col(c.published).isNotNull())
     rows = with_predecessor(
@@ -119,11 +119,11 @@ def all_pair_revisions(
         keys,
         c.published,
         {PREVIOUS_TIME: c.published, PREVIOUS_MW: c.measure},
-        resolve_chunk(df, c.published, chunk),
+        unit,
     ).withColumnsRenamed({c.published: LATEST_TIME, c.measure: LATEST_MW})
     previous, latest = F.col(PREVIOUS_TIME), F.col(LATEST_TIME)
     checked = rows.withColumn(PREVIOUS_TIME, _unique(previous, previous, latest))
-    return _revised(_in_adjacent_pair(checked, df, c), c)
+    return _revised(checked.join(pairs, [PREVIOUS_TIME, LATEST_TIME], "left_semi"), c)
 
 
 def restrict_to_dates(df: DataFrame, dates: DataFrame, c: Columns = DEFAULT) -> DataFrame:
@@ -172,10 +172,18 @@ def match_publications(previous: DataFrame, latest: DataFrame, c: Columns = DEFA
 
 def latest_pair_revisions(df: DataFrame, c: Columns = DEFAULT) -> DataFrame:
     """Revisions between the two newest publications; no rows if there are fewer."""
-    two = latest_publications(df, 2, c)
-    later = newest(df, c.published)
-    published = F.col(c.published)
-    return match_publications(two.filter(published < later), two.filter(published == later), c)
+    newest_two = publications(df, c).orderBy(F.col(c.published).desc()).limit(2)
+    span = newest_two.agg(
+        F.when(
+            F.count(F.lit(1)) == 2,
+            F.struct(F.min(c.published).alias("earlier"), F.max(c.published).alias("later")),
+        ).alias("span")
+    ).scalar()
+    return match_publications(
+        at_time(df, c.published, span.getField("earlier")),
+        at_time(df, c.published, span.getField("later")),
+        c,
+    )
 
 
 def rollup_pair(unit_revisions: DataFrame, groups: Sequence[str] = (), c: Columns = DEFAULT) -> DataFrame:
@@ -216,23 +224,18 @@ def pair_overlap(df: DataFrame, c: Columns = DEFAULT) -> DataFrame:
     Works on one row per publication and date: a date is common to a pair if its
     previous publication is the adjacent one.
     """
+    unit, pairs = _sized(df, c, AUTO)
     dates = df.select(c.published, c.target).filter(
         F.col(c.published).isNotNull() & F.col(c.target).isNotNull()
     )
     rows = with_predecessor(
-        dates.distinct(),
-        [c.target],
-        c.published,
-        {PREVIOUS_TIME: c.published},
-        resolve_chunk(df, c.published, AUTO),
+        dates.distinct(), [c.target], c.published, {PREVIOUS_TIME: c.published}, unit
     )
     common = rows.groupBy(PREVIOUS_TIME, F.col(c.published).alias(LATEST_TIME)).agg(
         F.count(F.lit(1)).alias("_n")
     )
-    return (
-        adjacent_pairs(df, c)
-        .join(common, [PREVIOUS_TIME, LATEST_TIME], "left")
-        .select(PREVIOUS_TIME, LATEST_TIME, F.coalesce("_n", F.lit(0)).alias("commonDates"))
+    return pairs.join(common, [PREVIOUS_TIME, LATEST_TIME], "left").select(
+        PREVIOUS_TIME, LATEST_TIME, F.coalesce("_n", F.lit(0)).alias("commonDates")
     )
 
 

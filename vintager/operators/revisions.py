@@ -92,22 +92,33 @@ def _recent(
 
     The window ends at the newest revision of any series. A series is revised inside
     it if its last revision is, so the target dates of those series bound what must be
-    read: only rows of these dates are revised, and both bounds reach the scan.
+    read: only rows of these dates are revised, and both bounds reach the scan. End and
+    bounds come from one subquery, whose array holds one entry per target date.
     """
-    last = revised_series(df, series, c)
-    end = last.agg(F.max(LATEST_TIME)).scalar()
-    start = end - F.expr(f"INTERVAL {int(hours)} HOURS")
-    dates = (
-        last.filter(F.col(LATEST_TIME) > start)
-        .agg(F.struct(F.min(c.target).alias("low"), F.max(c.target).alias("high")))
-        .scalar()
-    )
     target = F.col(c.target)
+    by_date = (
+        revised_series(df, series, c).groupBy(c.target).agg(F.max(LATEST_TIME).alias("_last"))
+    )
+    dates = by_date.agg(
+        F.max("_last").alias("_end"), F.array_agg(F.struct("_last", target.alias("_day"))).alias("_all")
+    )
+    length = F.expr(f"INTERVAL {int(hours)} HOURS")
+    touched_days = F.transform(
+        F.filter("_all", lambda day: day["_last"] > F.col("_end") - length),
+        lambda day: day["_day"],
+    )
+    span = dates.select(
+        F.struct(
+            (F.col("_end") - length).alias("start"),
+            F.array_min(touched_days).alias("low"),
+            F.array_max(touched_days).alias("high"),
+        )
+    ).scalar()
     touched = df.filter(
         target.isNull()
-        | ((target >= dates.getField("low")) & (target <= dates.getField("high")))
+        | ((target >= span.getField("low")) & (target <= span.getField("high")))
     )
-    return build(touched).filter(F.col(LATEST_TIME) > start)
+    return build(touched).filter(F.col(LATEST_TIME) > span.getField("start"))
 
 
 def recent_entity_revisions(

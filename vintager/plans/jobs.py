@@ -20,7 +20,7 @@ from vintager.operators.pairs import (
     rollup_pair,
     top_pair_movers,
 )
-from vintager.operators.publications import latest_publications, require_publications
+from vintager.operators.publications import latest_publication, latest_publications, require_publications
 from vintager.operators.quality import (
     QualityError,
     assert_ingest,
@@ -39,13 +39,18 @@ from vintager.sources.store import (
     publication_status,
     read_store,
 )
-from vintager.sources.tables import upsert, verify_load, write_parquet, write_tables
+from vintager.sources.tables import read_dataset, upsert, verify_load, write_parquet, write_tables
 
 GROUP_HISTORY = "fuel_availability_history"
 SYSTEM_HISTORY = "system_availability_history"
 ENTITY_REVISIONS = "unit_revision_history"
 GROUP_REVISIONS = "fuel_revision_history"
 SYSTEM_REVISIONS = "system_revision_history"
+LATEST_GROUP = "latest_fuel_availability"
+LATEST_SYSTEM = "latest_system_availability"
+LATEST_UNIT_REVISIONS = "latest_unit_revisions"
+LATEST_GROUP_REVISIONS = "latest_fuel_revisions"
+LATEST_SYSTEM_REVISIONS = "latest_system_revisions"
 DATASETS = [GROUP_HISTORY, SYSTEM_HISTORY, ENTITY_REVISIONS, GROUP_REVISIONS, SYSTEM_REVISIONS]
 
 
@@ -187,14 +192,22 @@ def backfill_summary(status: DataFrame) -> DataFrame:
     )
 
 
-def transform(df: DataFrame, c: Columns = DEFAULT) -> dict[str, DataFrame]:
-    """One publication's rows with its group and system availability."""
+def transform(
+    df: DataFrame, directory: str | None = None, c: Columns = DEFAULT
+) -> dict[str, DataFrame]:
+    """One publication's rows with its group and system availability.
+
+    With ``directory`` both are written there, and the returned frames read it.
+    """
     rows = one_publication(df, c=c)
-    return {
-        "raw": rows,
-        "fuel_availability": availability(rows, [c.group], c),
-        "system_availability": availability(rows, [], c),
+    built = {
+        LATEST_GROUP: availability(rows, [c.group], c),
+        LATEST_SYSTEM: availability(rows, [], c),
     }
+    if directory is not None:
+        paths = write_parquet(built, directory)
+        built = {name: df.sparkSession.read.parquet(path) for name, path in paths.items()}
+    return {"raw": rows, **built}
 
 
 def latest_pair_job(df: DataFrame, directory: str | None = None, c: Columns = DEFAULT) -> dict:
@@ -209,23 +222,19 @@ def latest_pair_job(df: DataFrame, directory: str | None = None, c: Columns = DE
     latest = two.agg(F.max(c.published)).scalar()
     published = F.col(c.published)
     unit = pair_revisions(two.filter(published < latest), two.filter(published == latest), c)
-    datasets = {
-        "latest_unit_revisions": unit,
-        "latest_fuel_revisions": rollup_pair(unit, [c.group], c),
-        "latest_system_revisions": rollup_pair(unit, [], c),
+    if directory is not None:
+        path = write_parquet({LATEST_UNIT_REVISIONS: unit}, directory)[LATEST_UNIT_REVISIONS]
+        unit = df.sparkSession.read.parquet(path)
+    rolled = {
+        LATEST_GROUP_REVISIONS: rollup_pair(unit, [c.group], c),
+        LATEST_SYSTEM_REVISIONS: rollup_pair(unit, [], c),
     }
     if directory is not None:
-        write_parquet({"latest_unit_revisions": unit}, directory)
-        unit = df.sparkSession.read.parquet(f"{directory}/latest_unit_revisions")
-        rolled = {
-            "latest_fuel_revisions": rollup_pair(unit, [c.group], c),
-            "latest_system_revisions": rollup_pair(unit, [], c),
-        }
         write_parquet(rolled, directory)
-        datasets = {"latest_unit_revisions": unit, **rolled}
     return {
         "status": "built",
-        **datasets,
+        LATEST_UNIT_REVISIONS: unit,
+        **rolled,
         "top_downward": top_pair_movers(unit, False, c=c),
         "top_upward": top_pair_movers(unit, True, c=c),
     }
@@ -321,6 +330,31 @@ def load_revisions(
     }
 
 
+def load_written_availability(
+    spark: SparkSession, directory: str, targets: RelationalTargets
+) -> DataFrame:
+    """Load what ``transform`` wrote; a missing dataset is an error."""
+    return load_availability(
+        spark,
+        read_dataset(spark, f"{directory}/{LATEST_GROUP}"),
+        read_dataset(spark, f"{directory}/{LATEST_SYSTEM}"),
+        targets,
+    )
+
+
+def load_written_revisions(
+    spark: SparkSession, directory: str, targets: RelationalTargets
+) -> dict[str, int]:
+    """Load what ``latest_pair_job`` wrote; a missing dataset is an error."""
+    return load_revisions(
+        spark,
+        read_dataset(spark, f"{directory}/{LATEST_UNIT_REVISIONS}"),
+        read_dataset(spark, f"{directory}/{LATEST_GROUP_REVISIONS}"),
+        read_dataset(spark, f"{directory}/{LATEST_SYSTEM_REVISIONS}"),
+        targets,
+    )
+
+
 def replay(df: DataFrame, targets: RelationalTargets, c: Columns = DEFAULT) -> dict:
     """Load the whole history: raw rows, availability, and all adjacent pairs at once.
 
@@ -393,13 +427,20 @@ def governed_run(
 
 
 def standard_stages(
-    spark: SparkSession, landing: str, store: str, targets: RelationalTargets, c: Columns = DEFAULT
+    spark: SparkSession,
+    landing: str,
+    store: str,
+    work: str,
+    targets: RelationalTargets,
+    c: Columns = DEFAULT,
 ) -> list[Stage]:
-    """The six stages of a governed run over the latest publication."""
+    """The six stages of a governed run over the latest publication.
+
+    Stages hand over through the datasets written under ``work``.
+    """
 
     def latest() -> DataFrame:
-        rows = read_store(spark, store)
-        return rows.filter(F.col(c.published) == rows.agg(F.max(c.published)).scalar())
+        return latest_publication(read_store(spark, store), c).select(*c.required)
 
     def ingest(context: dict) -> DataFrame:
         status = ingest_landing(spark, landing, store, c)
@@ -407,40 +448,25 @@ def standard_stages(
         context["publish_time"], context["rows"] = details[c.published], details["rows"]
         return status
 
-    def revisions(context: dict) -> dict:
-        return latest_pair_job(read_store(spark, store), c=c)
+    def compare(context: dict) -> str:
+        context["compared"] = latest_pair_job(read_store(spark, store), work, c)["status"]
+        return context["compared"]
 
-    def load_latest_revisions(context: dict) -> dict | None:
-        built = context["revision intelligence"]
-        if built["status"] == "waiting":
+    def load_compared(context: dict) -> dict | None:
+        if context["compared"] == "waiting":
             return None
-        return load_revisions(
-            spark,
-            built["latest_unit_revisions"],
-            built["latest_fuel_revisions"],
-            built["latest_system_revisions"],
-            targets,
-        )
+        return load_written_revisions(spark, work, targets)
 
     return [
         ("ingestion", ingest),
-        ("availability transformation", lambda context: transform(latest(), c)),
+        ("availability transformation", lambda context: transform(latest(), work, c)),
         (
             "raw load",
             lambda context: append_if_absent(
                 spark, targets.raw, relational.raw_rows(latest()), "publish_time"
             ),
         ),
-        (
-            "availability load",
-            lambda context: load_availability(
-                spark,
-                context["availability transformation"]["fuel_availability"],
-                context["availability transformation"]["system_availability"],
-                targets,
-            ),
-        ),
-        ("revision intelligence", revisions),
-        ("revision load", load_latest_revisions),
+        ("availability load", lambda context: load_written_availability(spark, work, targets)),
+        ("revision intelligence", compare),
+        ("revision load", load_compared),
     ]
-

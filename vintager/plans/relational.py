@@ -15,9 +15,11 @@ from vintager.functions.scalars import nan_to_null
 def to_relational(df: DataFrame, layout: Sequence[tuple[str, str, str]]) -> DataFrame:
     """Select, rename and cast by a ``schema`` layout; NaN becomes NULL."""
 
+    kinds = {field.name: field.dataType for field in df.schema}
+
     def column(source: str, name: str, kind: str) -> Column:
         value = F.col(source)
-        if isinstance(df.schema[source].dataType, (T.DoubleType, T.FloatType)):
+        if isinstance(kinds[source], (T.DoubleType, T.FloatType)):
             value = nan_to_null(value)
         return value.cast(kind).alias(name)
 

@@ -39,9 +39,14 @@ def read_landing(
     groups: Sequence[str] | None = None,
     entities: Sequence[str] | None = None,
     c: Columns = DEFAULT,
+    arrays: bool = True,
 ) -> DataFrame:
-    """JSON arrays of records, one or more publications per file."""
-    raw = spark.read.schema(LANDING).option("multiLine", True).json(path)
+    """JSON records, one or more publications per file.
+
+    A file with one JSON array is read by one task; ``arrays=False`` reads one record
+    per line, which large files can be split by.
+    """
+    raw = spark.read.schema(LANDING).option("multiLine", arrays).json(path)
     return select_listed(parse_landing(raw, c), groups, entities, c)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from vintager.columns import DEFAULT, PUBLISH_DATE, Columns
 from vintager.functions.scalars import publication_stamp
 from vintager.operators.publications import NoPublications
+from vintager.operators.quality import ingest_report
 from vintager.operators.sizing import broadcast_if_small
 from vintager.session import ensure_checkpoint_dir
 from vintager.sources.tables import path_exists
@@ -43,6 +44,15 @@ def publication_manifest(df: DataFrame, c: Columns = DEFAULT) -> DataFrame:
     )
 
 
+def described_publications(df: DataFrame, c: Columns = DEFAULT) -> DataFrame:
+    """The manifest with each publication's ingest report and the time of writing."""
+    return (
+        publication_manifest(df, c)
+        .join(ingest_report(df, c).drop("row_count"), c.published)
+        .withColumn("collected_at", F.current_timestamp())
+    )
+
+
 def data_path(store: str) -> str:
     return f"{store}/data"
 
@@ -139,9 +149,8 @@ def append_new_publications(df: DataFrame, store: str, c: Columns = DEFAULT) ->
     written = spark.read.parquet(data_path(store)).filter(
         F.col(PUBLISH_DATE).between(days.getField("low"), days.getField("high"))
     )
-    manifest = publication_manifest(
-        written.join(broadcast_if_small(created), c.published, "left_semi"), c
-    )
+    committed = written.join(broadcast_if_small(created), c.published, "left_semi")
+    manifest = described_publications(committed, c)
     manifest.coalesce(1).write.mode("append").parquet(manifest_path(store))
     return outcome
 

@@ -23,12 +23,16 @@ from vintager.sources.tables import upsert
 
 
 def landing_stream(
-    spark: SparkSession, landing: str, c: Columns = DEFAULT, files_per_batch: int = 1000
+    spark: SparkSession,
+    landing: str,
+    c: Columns = DEFAULT,
+    files_per_batch: int = 1000,
+    arrays: bool = True,
 ) -> DataFrame:
     """New JSON files of the landing folder as canonical rows."""
     raw = (
         spark.readStream.schema(LANDING)
-        .option("multiLine", True)
+        .option("multiLine", arrays)
         .option("maxFilesPerTrigger", files_per_batch)
         .json(landing)
     )

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from vintager.columns import DEFAULT as C
 from vintager.operators.availability import availability
 from vintager.operators.publications import NUMBER, publication_calendar
-from vintager.operators.sizing import broadcast_if_small
 from vintager.session import use_utc
 
 STORED_BEFORE = datetime(2024, 1, 25, tzinfo=timezone.utc)
@@ -106,7 +105,7 @@ def pipeline_runs(df: DataFrame) -> DataFrame:
         F.max(C.collected).alias("completed_at"), F.count(F.lit(1)).alias("n")
     )
     failed = F.col("id") % 7 == 0
-    return per_publication.join(broadcast_if_small(numbers), C.published).select(
+    return per_publication.join(numbers, C.published).select(
         F.col("id").alias("pipeline_run_id"),
         F.lit("publication_run").alias("pipeline_name"),
         F.lit("SYNTH").alias("source_dataset"),
