@@ -10,7 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from vintager.columns import DEFAULT as C
-from vintager.operators import pairs, revisions
+from vintager.operators import pairs, publications, revisions
 from vintager.operators.availability import availability, group_history
 from vintager.operators.quality import QualityError
 from vintager.plans import audit, gold, jobs, relational, serving
@@ -66,6 +66,18 @@ def test_table_job_replaces_the_schema(spark, small):
     assert spark.table("serving.unit_revision_history").count() == 2
 
 
+def test_dated_tables_prune_the_trailing_window(spark, canon, tmp_path):
+    sink = jobs.ParquetSink(str(tmp_path), by_date=True)
+    jobs.run_history_job(spark, canon, sink)
+    table = sink.read(spark, "unit_revision_history")
+    windowed = publications.trailing(table, 24)
+    windowed.collect()
+    plan = windowed._jdf.queryExecution().executedPlan().toString()
+    assert "publish_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert same_rows(windowed.drop("publish_date"), revisions.recent_entity_revisions(canon))
+    assert set(table.columns) - {"publish_date"} == set(revisions.entity_revisions(canon).columns)
+
+
 def test_bad_history_stops_the_job(spark, small, tmp_path):
     with pytest.raises(QualityError):
         jobs.run_history_job(spark, small.unionByName(small), jobs.ParquetSink(str(tmp_path)))

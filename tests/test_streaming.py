@@ -50,7 +50,7 @@ def test_only_new_files_are_ingested(spark, paths):
     assert [float(r["outputUsable"]) for r in rows] == [1.0, 2.0]
 
 
-@pytest.mark.parametrize("order", [[0, 1, 2, 30], [30, 1, 0, 2], [2, 30, 0, 1]])
+@pytest.mark.parametrize("order", [[0, 1, 2, 30], [30, 1, 0, 2]])
 def test_any_arrival_order_gives_the_batch_revisions(spark, paths, order):
     folder, base, checkpoint, table = paths
     values = {

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from vintager import schema
-from vintager.columns import DEFAULT, LATEST_TIME, PREVIOUS_TIME, Columns
+from vintager.columns import DEFAULT, LATEST_TIME, PREVIOUS_TIME, PUBLISH_DATE, Columns
 from vintager.operators.availability import availability, group_history, system_history
 from vintager.operators.neighbours import chunk_unit
 from vintager.operators.pairs import (
@@ -70,12 +70,13 @@ def build_datasets(df: DataFrame, c: Columns = DEFAULT) -> dict[str, DataFrame]:
 
 @dataclass
 class ParquetSink:
-    """Overwrites ``<directory>/<dataset>``."""
+    """Overwrites ``<directory>/<dataset>``, partitioned by publication date if asked for."""
 
     directory: str
+    by_date: bool = False
 
     def write(self, name: str, df: DataFrame) -> str:
-        return write_parquet({name: df}, self.directory)[name]
+        return write_parquet({name: df}, self.directory, self.by_date)[name]
 
     def read(self, spark: SparkSession, name: str) -> DataFrame:
         return spark.read.parquet(f"{self.directory}/{name}")
@@ -83,13 +84,14 @@ class ParquetSink:
 
 @dataclass
 class TableSink:
-    """Overwrites managed tables ``<namespace>.<dataset>``."""
+    """Overwrites managed tables ``<namespace>.<dataset>``, likewise."""
 
     namespace: str
     fmt: str = "parquet"
+    by_date: bool = False
 
     def write(self, name: str, df: DataFrame) -> str:
-        return write_tables({name: df}, self.namespace, self.fmt)[name]
+        return write_tables({name: df}, self.namespace, self.fmt, self.by_date)[name]
 
     def read(self, spark: SparkSession, name: str) -> DataFrame:
         return spark.table(f"{self.namespace}.{name}")
@@ -109,6 +111,7 @@ def run_history_job(
     history and the entity revisions only.
     """
     df = canonical_history(spark, source) if isinstance(source, str) else source
+    df = df.drop(PUBLISH_DATE)
     quality = assert_quality(df, c)
     chunk = chunk_unit(df, c.published)
     outputs: dict[str, str] = {}
@@ -118,7 +121,7 @@ def run_history_job(
         seen = Observation(name)
         outputs[name] = sink.write(name, rows.observe(seen, F.count(F.lit(1)).alias("rows")))
         counts[name] = seen.get["rows"]
-        return sink.read(spark, name)
+        return sink.read(spark, name).drop(PUBLISH_DATE)
 
     by_group = store(GROUP_HISTORY, group_history(df, c))
     system = store(SYSTEM_HISTORY, system_history(by_group, c))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
-from vintager.columns import PUBLISH_DATE
+from vintager.columns import DEFAULT, LATEST_TIME, PUBLISH_DATE
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -26,23 +26,37 @@ def read_dataset(spark: SparkSession, name: str) -> DataFrame:
     raise FileNotFoundError(f"Dataset not found: {name}")
 
 
-def write_parquet(datasets: dict[str, DataFrame], directory: str) -> dict[str, str]:
+def _writer(df: DataFrame, by_date: bool) -> DataFrameWriter:
+    """An overwriting writer, partitioned by publication date if asked for.
+
+    Then ``trailing`` and the "latest" filters over the table read only its last days.
+    """
+    if not by_date:
+        return df.write.mode("overwrite")
+    time = LATEST_TIME if LATEST_TIME in df.columns else DEFAULT.published
+    dated = df.withColumn(PUBLISH_DATE, F.to_date(time)).hint("rebalance", PUBLISH_DATE)
+    return dated.write.mode("overwrite").partitionBy(PUBLISH_DATE)
+
+
+def write_parquet(
+    datasets: dict[str, DataFrame], directory: str, by_date: bool = False
+) -> dict[str, str]:
     """Overwrite one Parquet directory per dataset; running it twice changes nothing."""
     paths = {}
     for name, df in datasets.items():
         paths[name] = f"{directory}/{name}"
-        df.write.mode("overwrite").parquet(paths[name])
+        _writer(df, by_date).parquet(paths[name])
     return paths
 
 
 def write_tables(
-    datasets: dict[str, DataFrame], namespace: str, fmt: str = "parquet"
+    datasets: dict[str, DataFrame], namespace: str, fmt: str = "parquet", by_date: bool = False
 ) -> dict[str, str]:
     """Overwrite one managed table per dataset, replacing its schema too."""
     tables = {}
     for name, df in datasets.items():
         tables[name] = f"{namespace}.{name}"
-        writer = df.write.format(fmt).mode("overwrite")
+        writer = _writer(df, by_date).format(fmt)
         if fmt == "delta":
             writer = writer.option("overwriteSchema", "true")
         writer.saveAsTable(tables[name])
