@@ -327,9 +327,23 @@ def entry(spark: SparkSession) -> DataFrame:
     return queries()["q_top_unit_revisions"](spark, FLAGSHIP_DIR)
 
 
+def _llm():
+    """The queries of the subpackage for training data, if it is there."""
+    try:
+        import corpus_pipeline  # noqa: F401
+        from vintager.llm import queries as llm
+    except ImportError as error:
+        if error.name not in ("corpus_pipeline", "vintager.llm"):
+            raise
+        return None
+    return llm
+
+
 def queries() -> dict[str, Query]:
-    return _queries()
+    llm = _llm()
+    return _queries() | (llm.queries() if llm else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.all_sql()
+    llm = _llm()
+    return oracles.all_sql() | (llm.oracle_sql() if llm else {})
