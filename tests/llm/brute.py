@@ -84,7 +84,7 @@ def pii(text):
     for place, (kind, expression) in enumerate(PII.items()):
         for m in re.finditer(expression, text or ""):
             digits = re.sub("[^0-9]", "", m[0])
-            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
+            if kind == "ip" and any(int(x.lstrip("0")[:4] or 0) > 255 for x in m[0].split(".")):
                 continue
             if kind == "card" and not (12 <= len(digits) <= 19 and luhn(digits)):
                 continue

@@ -215,7 +215,7 @@ def test_decontamination(spark):
             text = list(item)
             for _ in range(errors):
                 text[rng.randrange(len(text))] = rng.choice(["", "q", "zz"])
-            rows.append((10 * i + errors + 100, f"{filler} {''.join(text).upper()}\n{filler}"))
+            rows.append((100 * i + errors + 100, f"{filler} {''.join(text).upper()}\n{filler}"))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = decontaminate.matches(docs, bench).collect()

@@ -42,7 +42,7 @@ EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 ROUNDS = 3
 LEAST_VALUES = 3
 CONFIDENT = 0.5
-ACCEPTED = 0.8
+ACCEPTED = 0.7
 SPAN = "array<struct<start:long,end:long,place:int,kind:string>>"
 
 
@@ -112,18 +112,18 @@ def with_base(docs: DataFrame) -> DataFrame:
         if kind == "ip":
             when = when & digit
         docs = located(docs, body, EXPRESSIONS[kind], f"__{kind}", when)
-    kinds = []
-    for place, kind in enumerate(KINDS):
-        kept = F.filter(f"__{kind}", lambda m, kind=kind: _valid(kind, m["match"]))
-        kinds.append(
-            F.transform(
-                kept,
-                lambda m, place=place, kind=kind: F.struct(
-                    m["start"].alias("start"), m["end"].alias("end"),
-                    F.lit(place).alias("place"), F.lit(kind).alias("kind"),
-                ),
-            ).cast(SPAN)
-        )
+
+    def spans(place: int, kind: str) -> Column:
+        kept = F.filter(f"__{kind}", lambda m: _valid(kind, m["match"]))
+        return F.transform(
+            kept,
+            lambda m: F.struct(
+                m["start"].alias("start"), m["end"].alias("end"),
+                F.lit(place).alias("place"), F.lit(kind).alias("kind"),
+            ),
+        ).cast(SPAN)
+
+    kinds = [spans(place, kind) for place, kind in enumerate(KINDS)]
     order = "(a, b) -> CASE WHEN a.start <> b.start THEN IF(a.start < b.start, -1, 1)" \
         " ELSE a.place - b.place END"
     with_all = docs.withColumn("__all", F.concat(*kinds)).drop(*[f"__{k}" for k in KINDS])
@@ -178,10 +178,14 @@ def context_spans(docs: DataFrame) -> DataFrame:
         .groupBy("left").agg(F.count("*").alias("total"))
     )
     pairs = stored(graph.join(total, "left").withColumn("score", F.col("seed").cast("double")))
+    sure = F.col("score") >= ACCEPTED
     for _ in range(ROUNDS):
         confidence = pairs.groupBy("left").agg(
-            (F.sum(F.col("n") * F.col("score")) / F.max("total")).alias("confidence"),
-            F.sum(F.when(F.col("score") >= ACCEPTED, 1).otherwise(0)).alias("values"),
+            # What is not accepted yet counts as no identifier, so that doubt can't feed itself.
+            (F.sum(F.when(sure, F.col("n") * F.col("score")).otherwise(0.0)) / F.max("total")).alias(
+                "confidence"
+            ),
+            F.sum(F.when(sure, 1).otherwise(0)).alias("values"),
         )
         held = F.when(
             (F.col("values") >= LEAST_VALUES) & (F.col("confidence") >= CONFIDENT),
@@ -238,10 +242,11 @@ def listed(spans: str) -> Column:
 
 def reported(docs: DataFrame) -> DataFrame:
     """Counts by kind, digest of the base spans, and all spans, per row of ``docs``."""
-    counts = [
-        F.size(F.filter("base", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-        for kind in KINDS
-    ]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in KINDS]
     return found(docs.select("doc_id", "text")).select(
         "doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"),
         listed("spans").alias("spans"),

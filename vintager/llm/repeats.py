@@ -98,7 +98,7 @@ class Ranking:
 
 def _checked(df: DataFrame, items: str) -> DataFrame:
     """Broadcast ``df`` if the sum of ``items`` proves it small; else AQE joins by a shuffle."""
-    total = df.agg(F.sum(items)).first()[0] or 0
+    total = df.agg(F.sum(F.expr(items))).first()[0] or 0
     return F.broadcast(df) if total <= BROADCAST_ITEMS else df
 
 

@@ -28,14 +28,14 @@ from pyspark.sql import functions as F
 from vintager.llm.common import slices
 
 BUCKETS = 1 << 17
-DIMENSIONS = 6
+DIMENSIONS = 4
 NGRAMS = (3, 4, 5)
 # The most labelled rows that are fitted, per class: the documented bound of the sample.
 SAMPLE = {1: 2_000, 0: 4_000}
 # Vocabulary of the fit: words in so many sampled documents; others are seen by n-grams in scoring.
-LEAST_DOCUMENTS = 2
-STEPS = 80
-RATE = 0.02
+LEAST_DOCUMENTS = 10
+STEPS = 100
+RATE = 0.05
 # Averages of unit vectors are small; the softmax sees them times this.
 GAIN = 40.0
 DECAY = 1e-5
@@ -71,16 +71,12 @@ class Model:
         return 0.0 if self.weight is None else float(self.weight[subwords(word)].mean())
 
 
-def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(values, starts, axis=0)
-
-
 class _Sparse:
-    """Fixed sparse rows, multiplied forwards and backwards with dense matrices."""
+    """Fixed sparse rows, multiplied forwards and backwards with one dense column at a time."""
 
     def __init__(self, rows: np.ndarray, columns: np.ndarray, weights: np.ndarray, n_columns: int):
         order = np.argsort(columns, kind="stable")
-        self.columns, self.weights = columns, weights[:, None].astype(np.float32)
+        self.columns, self.weights = columns, weights.astype(np.float32)
         self.heads = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
         self.back_rows, self.back_weights = rows[order], self.weights[order]
         ordered = columns[order]
@@ -88,11 +84,14 @@ class _Sparse:
         self.touched, self.n_columns = ordered[self.back_heads], n_columns
 
     def forward(self, dense: np.ndarray) -> np.ndarray:
-        return _sums(dense[self.columns] * self.weights, self.heads)
+        return np.stack(
+            [np.add.reduceat(x[self.columns] * self.weights, self.heads) for x in dense]
+        )
 
     def backward(self, dense: np.ndarray) -> np.ndarray:
-        out = np.zeros((self.n_columns, dense.shape[1]), np.float32)
-        out[self.touched] = _sums(dense[self.back_rows] * self.back_weights, self.back_heads)
+        out = np.zeros((len(dense), self.n_columns), np.float32)
+        for into, x in zip(out, dense, strict=True):
+            into[self.touched] = np.add.reduceat(x[self.back_rows] * self.back_weights, self.back_heads)
         return out
 
 
@@ -126,20 +125,20 @@ def fit(sample: list[tuple[str | None, int]], steps: int = STEPS, seed: int = 3)
 
     rng = np.random.default_rng(seed)
     state = {
-        "table": rng.normal(0, 0.3, (len(used), DIMENSIONS)).astype(np.float32),
+        "table": rng.normal(0, 0.3, (DIMENSIONS, len(used))).astype(np.float32),
         "out": rng.normal(0, 0.3, (DIMENSIONS, 2)).astype(np.float32),
         "bias": np.array([[0.0, prior]], np.float32),
     }
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in state.items()}
     for step in range(1, steps + 1):
-        mean = docs.forward(words.forward(state["table"])) * GAIN
+        mean = docs.forward(words.forward(state["table"])).T * GAIN
         logits = mean @ state["out"] + state["bias"]
         logits -= logits.max(axis=1, keepdims=True)
         p = np.exp(logits)
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(len(target)), target] -= 1
         p = (p / len(target)).astype(np.float32)
-        back = docs.backward(p @ state["out"].T * GAIN)
+        back = docs.backward((p @ state["out"].T * GAIN).T)
         slopes = {
             "table": words.backward(back) + DECAY * state["table"],
             "out": mean.T @ p + DECAY * state["out"],
@@ -152,7 +151,7 @@ def fit(sample: list[tuple[str | None, int]], steps: int = STEPS, seed: int = 3)
             rate = RATE * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             state[name] -= rate * first / (np.sqrt(second) + 1e-8)
     weight = np.zeros(BUCKETS, np.float32)
-    weight[used] = GAIN * (state["table"] @ (state["out"][:, 1] - state["out"][:, 0]))
+    weight[used] = GAIN * ((state["out"][:, 1] - state["out"][:, 0]) @ state["table"])
     return Model(weight, float(state["bias"][0, 1] - state["bias"][0, 0]))
 
 
