@@ -33,12 +33,12 @@ NGRAMS = (3, 4, 5)
 # The most labelled rows that are fitted, per class: the documented bound of the sample.
 SAMPLE = {1: 2_000, 0: 4_000}
 # Vocabulary of the fit: words in so many sampled documents; others are seen by n-grams in scoring.
-LEAST_DOCUMENTS = 10
+LEAST_DOCUMENTS = 3
 STEPS = 100
 RATE = 0.05
 # Averages of unit vectors are small; the softmax sees them times this.
 GAIN = 40.0
-DECAY = 1e-5
+DECAY = 1e-4
 THRESHOLD = 0.7
 CACHE_WORDS = 200_000
 
