@@ -9,7 +9,7 @@ of blocks; a document near the top of its band also joins the next one.
 A block is kept as the exclusive or of one random value per set bit, which cancels as the bits do.
 Only blocks that several documents share are looked at again. Within such a group one document, the
 pivot, is verified against all others; the pivot then leaves, groups whose members are all linked
-are done, and the rest goes on with another pivot. So no group is expanded into pairs, none is
+are done, and the rest goes on with further pivots. So no group is expanded into pairs, none is
 gathered in one task, and yet every pair of a group is verified, or joined already through others.
 
 Shingles are compared by 64-bit hashes. Defined cases: null, empty and blank texts have no shingles
@@ -19,11 +19,12 @@ as equal texts; a null doc_id is a document of its own id, ordered first.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintager.llm.common import (
@@ -33,9 +34,12 @@ from vintager.operators.sizing import broadcast_if_small
 
 SHINGLE = 3
 PERCENT = 90
-# Bits of a sketch per block: a block then holds about as many different values as 64 bits allow.
-BLOCK_BITS = 256
-BAND_RATIO = 1.5
+# Bits of a sketch per block. Sketches are never laid out, so blocks may be wide: a block with one
+# bit set then equals another only if both have that shingle.
+BLOCK_BITS = 1 << 32
+BAND_RATIO = 1.25
+# Pivots of a group in each round but the first, which links the many copies of one text.
+PIVOTS = 32
 _LAST = [np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)]
 
 
@@ -71,6 +75,12 @@ def bands(ratio: float, most: int = 1 << 40) -> np.ndarray:
     return np.array(edges)
 
 
+def blocks_for(apart: int, least: int) -> int:
+    """Blocks of a band: apart + 1, and a reserve for those that stay empty."""
+    empty = math.exp(-least / (apart + 1))
+    return apart + 1 + (math.ceil(3 * empty * (apart + 1)) + 2 if apart else 0)
+
+
 def blocks(found: np.ndarray, edges: np.ndarray, percent: int) -> Iterator[np.ndarray]:
     """The join keys of a set: one per block and band."""
     size = len(found)
@@ -79,7 +89,8 @@ def blocks(found: np.ndarray, edges: np.ndarray, percent: int) -> Iterator[np.nd
         if b > band and 100 * size < percent * int(edges[b]):
             return
         largest = int(edges[b + 1]) - 1
-        count = 2 * largest * (100 - percent) // (100 + percent) + 1
+        apart = 2 * largest * (100 - percent) // (100 + percent)
+        count = blocks_for(apart, int(edges[b]))
         bit = found % np.uint64(count * BLOCK_BITS)
         block = bit // np.uint64(BLOCK_BITS)
         order = np.argsort(block, kind="stable")
@@ -87,7 +98,11 @@ def blocks(found: np.ndarray, edges: np.ndarray, percent: int) -> Iterator[np.nd
         head = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
         parity = np.zeros(count, np.uint64)
         parity[block[head].astype(np.int64)] = np.bitwise_xor.reduceat(value, head)
-        yield mix(parity ^ mix(np.arange(count, dtype=np.uint64) + np.uint64(b << 40)))
+        keys = mix(parity ^ mix(np.arange(count, dtype=np.uint64) + np.uint64(b << 40)))
+        # At least count - apart blocks of a linked pair are equal. If more than apart blocks are
+        # set, one of the set ones is among them and the empty blocks, which many share, may go.
+        full = parity != 0
+        yield keys[full] if int(full.sum()) > apart else keys
 
 
 def sketched(docs: DataFrame, k: int, percent: int, ratio: float = BAND_RATIO) -> DataFrame:
@@ -161,43 +176,43 @@ def links(docs: DataFrame, k: int, percent: int) -> DataFrame:
     groups = stored(rows.join(shared, "key"))
     members = broadcast_if_small(stored(groups.select("node").distinct()))
     sets = stored(shingle_sets(docs.join(members, "node", "left_semi").select("node", "text"), k))
-    pivots = groups.groupBy("key").agg(F.min("node").alias("pivot"))
-    found = None
+    groups = groups.withColumn("label", F.col("node"))
+    found, wanted = None, 1
     while True:
-        pivots = stored(pivots)
-        tested = groups.join(pivots.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).drop("k")
-        if "label" in groups.columns:
-            tested = tested.filter("label <> pivot_label")
-        pairs = tested.filter("node <> pivot").select(
+        # Pivots of the rarest labels, so that few rounds separate the odd ones out.
+        kinds = groups.groupBy("key", "label").agg(F.count("*").alias("n"))
+        kinds = kinds.withColumnsRenamed({"key": "k", "label": "l"})
+        counted = groups.join(kinds, (F.col("key") == F.col("k")) & (F.col("label") == F.col("l")))
+        place = F.row_number().over(Window.partitionBy("key").orderBy("n", "node"))
+        if wanted == 1:
+            pivots = groups.groupBy("key").agg(F.min("node").alias("node"))
+            pivots = pivots.withColumn("label", F.col("node"))
+        else:
+            pivots = counted.withColumn("place", place).filter(F.col("place") <= wanted)
+        pivots = stored(
+            pivots.select(
+                F.col("key").alias("k"), F.col("node").alias("pivot"), F.col("label").alias("pl")
+            )
+        )
+        tested = groups.join(pivots, F.col("key") == F.col("k")).filter("label <> pl")
+        pairs = tested.select(
             F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")
         ).distinct()
         new = verified(pairs, sets, percent)
         found = stored(new if found is None else found.union(new))
-        labels = components(found)
-        left = groups.join(
-            pivots.select(F.col("key").alias("k"), "pivot"), F.col("key") == F.col("k")
-        ).filter("node <> pivot").select("key", "node")
-        labelled = left.join(labels.withColumnRenamed("v", "node"), "node", "left").select(
-            "key", "node", F.coalesce("label", "node").alias("label")
+        labels = components(found).withColumnRenamed("v", "node")
+        used = (F.col("key") == F.col("k")) & (F.col("node") == F.col("pivot"))
+        labelled = (
+            groups.drop("label").join(pivots, used, "left_anti").join(labels, "node", "left")
+            .select("key", "node", F.coalesce("label", "node").alias("label"))
         )
         open_keys = labelled.groupBy("key").agg(
             F.min("label").alias("lo"), F.max("label").alias("hi")
-        ).filter("lo <> hi").select("key")
-        groups = stored(
-            labelled.join(open_keys.withColumnRenamed("key", "k"), F.col("key") == F.col("k"))
-            .drop("k")
-        )
+        ).filter("lo <> hi").select(F.col("key").alias("k"))
+        groups = stored(labelled.join(open_keys, F.col("key") == F.col("k")).drop("k"))
         if groups.isEmpty():
             return found
-        # The next pivot is of the rarest label, so that few rounds separate the odd ones out.
-        kinds = groups.groupBy("key", "label").agg(
-            F.count("*").alias("n"), F.min("node").alias("pivot")
-        )
-        pivots = (
-            kinds.groupBy("key")
-            .agg(F.min(F.struct("n", "pivot", "label")).alias("x"))
-            .select("key", F.col("x.pivot").alias("pivot"), F.col("x.label").alias("pivot_label"))
-        )
+        wanted = PIVOTS
 
 
 def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
