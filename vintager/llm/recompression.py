@@ -6,8 +6,8 @@ by (left, right). Names are hashes of what they stand for, so all tasks agree on
 equal substrings get equal symbols except near their ends. With each symbol goes the range of words
 that its name depends on; within a window, the symbols whose range lies inside are the ones that any
 equal window has too. The smallest of them is the window's anchor (a window without one, as inside a
-long run, falls back to its smallest word), and shared anchors reveal the repeats, which
-``repeats`` verifies down to whole windows.
+long run, falls back to its smallest word), and shared anchors, named with the
+words they depend on, reveal the repeats, which ``repeats`` verifies down to whole windows.
 
 Two rounds suit a window of 20 words: a symbol then stands for 1.8 words and depends on about ten.
 
@@ -115,7 +115,9 @@ def anchors(
     best = np.full(len(names), -1)
     best[where[inside]] = np.repeat(order, n)[inside]
     chosen = best[starts]
-    core = np.where(chosen >= 0, mix(symbol[chosen]), np.uint64(0))
+    # All words that the symbol depends on are in every such window, so they go into its name.
+    near, far = np.maximum(low[chosen], 0), np.minimum(high[chosen], len(names))
+    core = mix(symbol[chosen] ^ Ranges(names).names(near, far))
     anchor = np.where(chosen >= 0, at[chosen], 0)
     bare = np.flatnonzero(chosen < 0)
     for piece in np.array_split(bare, len(bare) // 50_000 + 1):
