@@ -17,15 +17,31 @@ from vintager.plans import audit, gold, jobs, relational, serving
 from vintager.sources import snapshots, store
 from vintager.workload import pipeline_runs
 
-P0, P1 = utc("2026-08-12"), utc("2026-08-12", 1)
-D = "2026-08-14"
+P0, P1 = utc("2031-03-05", 6), utc("2031-03-05", 7)
+D, D2 = "2031-03-09", "2031-03-11"
+# (unit, fuel, date) and its measure in both publications; one is missing in each.
+TABLE = {
+    ("K7", "HYDRO", D): ("40.5", "31.25"), ("K7", "HYDRO", D2): ("40.5", "40.5"),
+    ("M2", "HYDRO", D): ("12", None), ("T90", "COAL", D): (None, "7"), ("V4", "COAL", D2): ("0", "2.5"),
+}
+BOTH = [key for key, pair in TABLE.items() if None not in pair]
+CELLS = {(time, fuel, day) for (_, fuel, day), pair in TABLE.items() for time, mw in enumerate(pair) if mw}
+DAYS = {(time, day) for time, _, day in CELLS}
+
+
+def pairs_of(cells):
+    """Series that both publications have."""
+    return len({cell[1:] for cell in cells if cell[0] == 0} & {cell[1:] for cell in cells if cell[0]})
+
+
 EXPECTED = {
-    "fuel_availability_history": 4,
-    "system_availability_history": 2,
-    "unit_revision_history": 2,
-    "fuel_revision_history": 2,
-    "system_revision_history": 1,
+    "fuel_availability_history": len(CELLS),
+    "system_availability_history": len(DAYS),
+    "unit_revision_history": len(BOTH),
+    "fuel_revision_history": pairs_of(CELLS),
+    "system_revision_history": pairs_of(DAYS),
 }
+CHANGED = sum(TABLE[key][0] != TABLE[key][1] for key in BOTH)
 
 
 @pytest.fixture
@@ -33,10 +49,10 @@ def small(spark):
     return rows_of(
         spark,
         [
-            ("UNIT-A", "CCGT", P0, D, 100),
-            ("UNIT-B", "WIND", P0, D, 50),
-            ("UNIT-A", "CCGT", P1, D, 110),
-            ("UNIT-B", "WIND", P1, D, 50),
+            (unit, fuel, time, day, pair[i])
+            for (unit, fuel, day), pair in TABLE.items()
+            for i, time in enumerate((P0, P1))
+            if pair[i] is not None
         ],
     )
 
@@ -63,7 +79,7 @@ def test_table_job_replaces_the_schema(spark, small):
     sink = jobs.TableSink("serving")
     for _ in range(2):
         assert jobs.run_history_job(spark, small, sink)["row_counts"] == EXPECTED
-    assert spark.table("serving.unit_revision_history").count() == 2
+    assert spark.table("serving.unit_revision_history").count() == len(BOTH)
 
 
 def test_dated_tables_prune_the_trailing_window(spark, canon, tmp_path):
@@ -86,7 +102,7 @@ def test_bad_history_stops_the_job(spark, small, tmp_path):
 def test_history_report(small):
     report = jobs.history_report(small)
     assert {r["dataset"]: r["rows"] for r in report["row_counts"].collect()} == EXPECTED
-    assert report["changed_rows"].first()["changedRows"] == 1
+    assert report["changed_rows"].first()["changedRows"] == CHANGED
 
 
 def test_replay_loads_everything_and_twice_changes_nothing(spark, small, tmp_path):
@@ -94,11 +110,13 @@ def test_replay_loads_everything_and_twice_changes_nothing(spark, small, tmp_pat
     for status in ("loaded", "already_loaded"):
         result = jobs.replay(small, targets)
         assert {r["status"] for r in result["raw"].collect()} == {status}
-        assert (result["unit_rows"], result["fuel_rows"], result["system_rows"]) == (2, 2, 1)
-        assert [r["changedRows"] for r in result["revision_pairs"].collect()] == [1]
-        assert {(r["fuel_rows"], r["system_rows"]) for r in result["availability"].collect()} == {(2, 1)}
-    assert spark.read.parquet(targets.unit_revision).count() == 2
-    assert spark.read.parquet(targets.raw).count() == 4
+        assert (result["unit_rows"], result["system_rows"]) == (len(BOTH), 2)
+        assert [r["changedRows"] for r in result["revision_pairs"].collect()] == [CHANGED]
+        loaded = result["availability"].collect()
+        assert sum(r["fuel_rows"] for r in loaded) == len(CELLS)
+        assert sum(r["system_rows"] for r in loaded) == len(DAYS)
+    assert spark.read.parquet(targets.unit_revision).count() == len(BOTH)
+    assert spark.read.parquet(targets.raw).count() == small.count()
 
 
 def test_availability_load_guards(spark, small, tmp_path):
@@ -248,7 +266,7 @@ def test_signals_are_null_when_nothing_moved(spark):
 
 def test_snapshot_directory_feeds_the_job(spark, small, tmp_path):
     pdf = small.toPandas()
-    pdf["outputUsable"] = pdf["outputUsable"].astype(int)
+    pdf["outputUsable"] = pdf["outputUsable"].astype(float)
     for stamp, part in pdf.groupby("publishTime"):
         part.to_parquet(
             tmp_path / f"x_publish_{stamp:%Y%m%dT%H%M%SZ}.parquet", index=False, coerce_timestamps="us"

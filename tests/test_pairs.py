@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import pytest
 from conftest import rows_of, same_rows, utc
 from pyspark.errors import PySparkException
@@ -14,54 +16,52 @@ from vintager.operators.quality import reconcile_availability, reconcile_revisio
 from vintager.plans import jobs
 from vintager.workload import dirty
 
-P0, P1 = utc("2026-08-12"), utc("2026-08-12", 1)
-D = "2026-08-14"
+P0, P1 = utc("2031-03-05", 6), utc("2031-03-05", 7)
+D, D2 = "2031-03-09", "2031-03-11"
+# Fractional measures; R1 leaves and S3 arrives; one row has neither unit nor fuel.
+BEFORE = {"K7": ("HYDRO", "40.5"), "M2": ("HYDRO", "12.25"), "T90": ("COAL", "7"),
+          "V4": ("COAL", "0"), "R1": ("GAS", "3"), None: (None, "1.125")}
+AFTER = {"K7": ("HYDRO", "31.25"), "M2": ("HYDRO", "12.25"), "T90": ("COAL", "0"),
+         "V4": ("COAL", "2.5"), "S3": ("GAS", "9"), None: (None, "1.5")}
+MATCHED = [unit for unit in BEFORE if unit in AFTER]
+
+
+def moved(unit):
+    return Decimal(AFTER[unit][1]) - Decimal(BEFORE[unit][1])
 
 
 @pytest.fixture
 def two(spark):
-    previous = rows_of(
-        spark,
-        [
-            ("UNIT-A", "CCGT", P0, D, 100),
-            ("UNIT-B", "WIND", P0, D, 50),
-            ("UNIT-C", "CCGT", P0, D, 0),
-            ("UNIT-D", "NUCLEAR", P0, D, 25),
-        ],
+    return tuple(
+        rows_of(spark, [(unit, fuel, time, D, mw) for unit, (fuel, mw) in rows.items()])
+        for time, rows in ((P0, BEFORE), (P1, AFTER))
     )
-    latest = rows_of(
-        spark,
-        [
-            ("UNIT-A", "CCGT", P1, D, 130),
-            ("UNIT-B", "WIND", P1, D, 0),
-            ("UNIT-C", "CCGT", P1, D, 40),
-            ("UNIT-D", "NUCLEAR", P1, D, 25),
-        ],
-    )
-    return previous, latest
 
 
-def test_unit_revisions(two):
+def test_matched_units_and_only_those_are_compared(two):
     rows = {r["nationalGridBmUnit"]: r for r in pairs.pair_revisions(*two).collect()}
-    a, b, c, d = (rows[f"UNIT-{x}"] for x in "ABCD")
-    assert (a["revisionMW"], a["absoluteRevisionMW"], a["changeDirection"]) == (30, 30, "UP")
-    assert (b["revisionMW"], b["absoluteRevisionMW"], b["changeDirection"]) == (-50, 50, "DOWN")
-    assert b["becameUnavailable"] and not b["returnedAvailable"]
-    assert c["returnedAvailable"] and not c["becameUnavailable"]
-    assert (d["revisionMW"], d["changeDirection"]) == (0, "UNCHANGED")
+    assert set(rows) == set(MATCHED)
+    for unit, row in rows.items():
+        change = moved(unit)
+        assert row["revisionMW"] == change and row["absoluteRevisionMW"] == abs(change)
+        assert row["changeDirection"] == ("UP" if change > 0 else "DOWN" if change else "UNCHANGED")
+        before, after = (Decimal(side[unit][1]) for side in (BEFORE, AFTER))
+        assert row["becameUnavailable"] == (before > 0 and after == 0)
+        assert row["returnedAvailable"] == (before == 0 and after > 0)
 
 
-def test_fuel_and_system_rollups(two):
+def test_rollups_sum_the_matched_units(two):
     unit = pairs.pair_revisions(*two)
-    fuel = {r["fuelType"]: r for r in pairs.rollup_pair(unit, [C.group]).collect()}
-    ccgt, wind = fuel["CCGT"], fuel["WIND"]
-    assert (ccgt["previousAvailableMW"], ccgt["latestAvailableMW"], ccgt["revisionMW"]) == (100, 170, 70)
-    assert (ccgt["changedUnits"], ccgt["becameUnavailableUnits"], ccgt["returnedAvailableUnits"]) == (2, 0, 1)
-    assert (wind["previousAvailableMW"], wind["latestAvailableMW"], wind["revisionMW"]) == (50, 0, -50)
-    assert (wind["changedUnits"], wind["becameUnavailableUnits"]) == (1, 1)
-    system = pairs.rollup_pair(unit).first()
-    assert (system["previousAvailableMW"], system["latestAvailableMW"], system["revisionMW"]) == (175, 195, 20)
-    assert (system["changedUnits"], system["becameUnavailableUnits"], system["returnedAvailableUnits"]) == (3, 1, 1)
+    groups = {r["fuelType"]: r for r in pairs.rollup_pair(unit, [C.group]).collect()}
+    assert set(groups) == {"HYDRO", "COAL"}  # no fuel, no group
+    for fuel, row in groups.items():
+        members = [u for u in MATCHED if BEFORE[u][0] == fuel]
+        assert row["revisionMW"] == sum(map(moved, members))
+        assert row["changedUnits"] == sum(moved(u) != 0 for u in members)
+    coal, system = groups["COAL"], pairs.rollup_pair(unit).first()
+    assert (coal["becameUnavailableUnits"], coal["returnedAvailableUnits"]) == (1, 1)
+    assert system["revisionMW"] == sum(map(moved, MATCHED)) == Decimal("-13.375")
+    assert system["previousAvailableMW"] + system["revisionMW"] == system["latestAvailableMW"]
 
 
 def test_levels_reconcile(canon):
@@ -75,7 +75,7 @@ def test_levels_reconcile(canon):
 
 def test_no_common_dates_is_an_error(two):
     previous, latest = two
-    moved = latest.withColumn("forecastDate", F.lit("2026-08-20").cast("date"))
+    moved = latest.withColumn("forecastDate", F.lit("2031-04-01").cast("date"))
     with pytest.raises(pairs.NoCommonDates):
         pairs.pair_revisions(previous, moved)
     assert pairs.match_publications(previous, moved).isEmpty()
@@ -92,12 +92,12 @@ def test_a_repeated_key_is_an_error(two):
 
 def test_a_repeated_key_outside_the_common_dates_is_not(spark, two):
     previous, latest = two
-    elsewhere = rows_of(spark, [("UNIT-A", "CCGT", P0, "2026-08-01", 1)] * 2)
-    assert pairs.pair_revisions(previous.unionByName(elsewhere), latest).count() == 4
+    elsewhere = rows_of(spark, [("K7", "HYDRO", P0, "2031-02-01", 1)] * 2)
+    assert pairs.pair_revisions(previous.unionByName(elsewhere), latest).count() == len(MATCHED)
 
 
 def test_fuel_change_and_skipped_publication_drop_the_row(spark):
-    p2 = utc("2026-08-12", 2)
+    p2 = utc("2031-03-05", 8)
     df = rows_of(
         spark,
         [
@@ -149,10 +149,10 @@ def test_all_pairs_equal_each_pair_alone(canon):
 
 
 def test_overlap_counts_pairs_without_common_dates(spark):
-    p2 = utc("2026-08-12", 2)
+    p2 = utc("2031-03-05", 8)
     df = rows_of(
         spark,
-        [("U", "X", P0, D, 1), ("U", "X", P1, D, 1), ("U", "X", p2, "2026-08-30", 1)],
+        [("U", "X", P0, D, 1), ("U", "X", P1, D, 1), ("U", "X", p2, "2031-03-30", 1)],
     )
     overlap = pairs.pair_overlap(df).orderBy("latestPublishTime").collect()
     assert [r["commonDates"] for r in overlap] == [1, 0]
@@ -160,8 +160,8 @@ def test_overlap_counts_pairs_without_common_dates(spark):
 
 def test_top_movers(two):
     unit = pairs.pair_revisions(*two)
-    assert [r["nationalGridBmUnit"] for r in pairs.top_pair_movers(unit, False).collect()] == ["UNIT-B"]
-    assert [r["nationalGridBmUnit"] for r in pairs.top_pair_movers(unit, True).collect()] == ["UNIT-C", "UNIT-A"]
+    assert [r["nationalGridBmUnit"] for r in pairs.top_pair_movers(unit, False).collect()] == ["K7", "T90"]
+    assert [r["nationalGridBmUnit"] for r in pairs.top_pair_movers(unit, True).collect()] == ["V4", None]
 
 
 def test_latest_pair_job(spark, two, tmp_path):
@@ -169,28 +169,27 @@ def test_latest_pair_job(spark, two, tmp_path):
     assert jobs.latest_pair_job(previous) == {"status": "waiting"}
     built = jobs.latest_pair_job(previous.unionByName(latest), str(tmp_path))
     assert built["status"] == "built"
-    assert built["latest_unit_revisions"].count() == 4
-    assert spark.read.parquet(f"{tmp_path}/latest_system_revisions").first()["revisionMW"] == 20
+    assert built["latest_unit_revisions"].count() == len(MATCHED)
+    assert spark.read.parquet(f"{tmp_path}/latest_system_revisions").first()["revisionMW"] == Decimal("-13.375")
     assert built["top_upward"].count() == 2
 
 
 def test_availability(spark):
-    d2 = "2026-08-15"
-    df = rows_of(
-        spark,
-        [
-            ("CCGT-1", "CCGT", P0, D, 100),
-            ("CCGT-2", "CCGT", P0, D, 0),
-            ("WIND-1", "WIND", P0, D, 50),
-            ("CCGT-1", "CCGT", P0, d2, 80),
-            ("WIND-1", "WIND", P0, d2, 20),
-        ],
-    )
+    rows = [("N1", "TIDAL", P0, D, "0.5"), ("N2", "TIDAL", P0, D, "0"), ("N3", "PEAT", P0, D, "0"),
+            ("N1", "TIDAL", P0, D2, "0.75"), ("N2", "TIDAL", P1, D, "2.125")]
+    df = rows_of(spark, rows)
     by_fuel, system = availability(df, [C.group]), availability(df)
-    row = by_fuel.filter("fuelType = 'CCGT'").orderBy("forecastDate").first()
-    assert (row["available_mw"], row["bm_units"], row["zero_availability_units"]) == (100, 2, 1)
-    row = system.orderBy("forecastDate").first()
-    assert (row["total_available_mw"], row["bm_units"], row["zero_availability_units"]) == (150, 3, 1)
+    for frame, measure, keys in ((by_fuel, "available_mw", (2, 3, 1)), (system, "total_available_mw", (2, 3))):
+        cells = {}
+        for row in rows:
+            cells.setdefault(tuple(row[k] for k in keys), []).append((row[0], Decimal(row[4])))
+        found = frame.collect()
+        assert len(found) == len(cells)
+        totals = sorted((r[measure], r["bm_units"], r["zero_availability_units"]) for r in found)
+        assert totals == sorted(
+            (sum(mw for _, mw in c), len({u for u, _ in c}), sum(mw == 0 for _, mw in c))
+            for c in cells.values()
+        )
     assert reconcile_availability(by_fuel, system).isEmpty()
 
 

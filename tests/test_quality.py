@@ -6,8 +6,8 @@ from conftest import rows_of, utc
 from vintager.operators import quality
 from vintager.operators.quality import QualityError
 
-P0, P1 = utc("2026-08-12"), utc("2026-08-12", 1)
-D = "2026-08-14"
+P0, P1 = utc("2031-03-05", 6), utc("2031-03-05", 7)
+D = "2031-03-09"
 
 
 @pytest.fixture

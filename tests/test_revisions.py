@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import pytest
 from conftest import rows_of, same_rows, utc
 from pyspark.sql import functions as F
@@ -11,52 +13,55 @@ from vintager.columns import DEFAULT as C
 from vintager.operators import neighbours, publications, revisions
 from vintager.operators.availability import group_history, system_history
 
-P0, P1 = utc("2026-08-12"), utc("2026-08-12", 1)
-D = "2026-08-14"
+P0, P1, P2 = (utc("2031-03-05", hour) for hour in (6, 7, 9))
+D = "2031-03-09"
+# Three publications: Q skips the second, W changes fuel in the third, E returns to where it was.
+TABLE = [
+    ("Q", "PEAT", P0, "10.5"), ("W", "PEAT", P0, "4"), ("E", "TIDAL", P0, "6.125"),
+    ("W", "PEAT", P1, "4.375"), ("E", "TIDAL", P1, "5"),
+    ("Q", "PEAT", P2, "8"), ("W", "COAL", P2, "3"), ("E", "TIDAL", P2, "6.125"),
+]
 
 
 @pytest.fixture
 def small(spark):
-    return rows_of(
-        spark,
-        [
-            ("UNIT-A", "CCGT", P0, D, 100),
-            ("UNIT-B", "CCGT", P0, D, 50),
-            ("UNIT-C", "WIND", P0, D, 30),
-            ("UNIT-A", "CCGT", P1, D, 110),
-            ("UNIT-B", "OCGT", P1, D, 40),
-            ("UNIT-C", "WIND", P1, D, 30),
-        ],
-    )
+    return rows_of(spark, [(unit, fuel, time, D, mw) for unit, fuel, time, mw in TABLE])
 
 
 def test_group_and_system_history(small):
+    groups, systems = {}, {}
+    for _, fuel, time, mw in TABLE:
+        groups[fuel, time] = groups.get((fuel, time), 0) + Decimal(mw)
+        systems[time] = systems.get(time, 0) + Decimal(mw)
     by_group = group_history(small)
-    assert by_group.count() == 5
-    first = by_group.filter((F.col("fuelType") == "CCGT") & (F.col("publishTime") == F.lit(P0)))
-    assert first.first()["availableMW"] == 150
-    assert [r["availableMW"] for r in system_history(by_group).collect()] == [180, 180]
-
-
-def test_unit_revisions_keep_a_change_of_fuel(small):
-    rows = {r["nationalGridBmUnit"]: r for r in revisions.entity_revisions(small).collect()}
-    assert (rows["UNIT-A"]["revisionMW"], rows["UNIT-A"]["revisionDirection"]) == (10, "up")
-    b = rows["UNIT-B"]
-    assert (b["revisionMW"], b["revisionDirection"], b["previousFuelType"]) == (-10, "down", "CCGT")
-    assert b["fuelTypeChanged"] and not rows["UNIT-A"]["fuelTypeChanged"]
-    assert rows["UNIT-C"]["revisionDirection"] == "unchanged"
-    assert len(rows) == 3
+    assert sorted(r["availableMW"] for r in by_group.collect()) == sorted(groups.values())
+    found = [r["availableMW"] for r in system_history(by_group).orderBy("publishTime").collect()]
+    assert found == [systems[time] for time in (P0, P1, P2)]
+
+
+def test_each_appearance_is_compared_with_the_one_before(small):
+    expected, last = [], {}
+    for unit, fuel, time, mw in TABLE:
+        if unit in last:
+            change = Decimal(mw) - last[unit][1]
+            direction = "up" if change > 0 else "down" if change else "unchanged"
+            expected.append((unit, change, direction, last[unit][0], fuel != last[unit][0]))
+        last[unit] = fuel, Decimal(mw)
+    rows = revisions.entity_revisions(small).select(
+        "nationalGridBmUnit", "revisionMW", "revisionDirection", "previousFuelType", "fuelTypeChanged"
+    )
+    assert sorted(map(tuple, rows.collect())) == sorted(expected)
 
 
-def test_system_revision_nets_to_zero(small):
+def test_system_revisions_sum_to_the_whole_change(small):
     system = system_history(group_history(small))
-    row = revisions.series_revisions(system, C.total_series).first()
-    assert (row["previousAvailableMW"], row["latestAvailableMW"]) == (180, 180)
-    assert (row["revisionMW"], row["revisionDirection"]) == (0, "unchanged")
+    rows = revisions.series_revisions(system, C.total_series).orderBy("latestPublishTime").collect()
+    assert [r["revisionMW"] for r in rows] == [Decimal("-11.25"), Decimal("7.75")]
+    assert [r["revisionDirection"] for r in rows] == ["down", "up"]
 
 
 def test_unknown_measure_is_unchanged_and_gap_is_bridged(spark):
-    p2 = utc("2026-08-12", 2)
+    p2 = utc("2031-03-05", 8)
     df = rows_of(
         spark,
         [
@@ -134,13 +139,13 @@ def test_recent_equals_filtered_history(canon, hours):
 
 
 def test_window_ends_at_the_newest_revision_not_the_newest_publication(spark):
-    p2 = utc("2026-08-13", 12)
+    p2 = utc("2031-03-06", 18)
     df = rows_of(
         spark,
         [
             ("U", "X", P0, D, 10),
             ("U", "X", P1, D, 20),
-            ("NEW", "X", p2, "2026-08-20", 5),
+            ("NEW", "X", p2, "2031-03-20", 5),
         ],
     )
     assert [r["nationalGridBmUnit"] for r in revisions.recent_entity_revisions(df).collect()] == ["U"]
@@ -156,8 +161,8 @@ def test_trailing_window_is_half_open(spark):
 
 
 def test_changed_rows_by_pair(small):
-    row = revisions.changed_rows_by_pair(revisions.entity_revisions(small)).first()
-    assert row["changedRows"] == 2
+    rows = revisions.changed_rows_by_pair(revisions.entity_revisions(small)).collect()
+    assert sum(r["changedRows"] for r in rows) == 5
 
 
 def test_expected_counts_of_the_workload(canon):
@@ -208,9 +213,17 @@ def test_nearest_forecast_is_not_before_the_publication(spark):
     df = rows_of(
         spark,
         [
-            ("U", "X", P1, "2026-08-12", 1),
-            ("U", "X", P1, "2026-08-13", 2),
-            ("U", "X", P1, "2026-08-14", 3),
+            ("U", "X", P1, "2031-03-05", 1),
+            ("U", "X", P1, "2031-03-06", 2),
+            ("U", "X", P1, "2031-03-07", 3),
         ],
     )
     assert [r["outputUsable"] for r in publications.nearest_forecast(df).collect()] == [2]
+
+
+def test_total_rank_keeps_null_groups(spark):
+    rows = spark.createDataFrame([(None, 3), (None, 1), ("a", 2), ("a", 9)], "g string, x int")
+    ranked = neighbours.with_total_rank(rows, ["g"], [F.col("x").desc()], "rank")
+    assert sorted(map(tuple, ranked.collect()), key=str) == sorted(
+        [(None, 3, 1), (None, 1, 2), ("a", 9, 1), ("a", 2, 2)], key=str
+    )

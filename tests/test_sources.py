@@ -290,3 +290,10 @@ def test_backfill_creates_once(spark, tmp_path):
     doubled = df.unionByName(df)
     with pytest.raises(QualityError):
         jobs.backfill(doubled, P0, P1, path)
+
+
+def test_an_upsert_of_null_keys_is_idempotent(spark):
+    schema = "unit string, day int, mw int"
+    rows = spark.createDataFrame([(None, 1, 5), ("x", None, 6), (None, None, 7)], schema)
+    once = tables.merged(rows.limit(0), rows, ["unit", "day"])
+    assert same_rows(tables.merged(once, rows, ["unit", "day"]), rows)

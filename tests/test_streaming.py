@@ -85,3 +85,18 @@ def test_bad_batches_stop_the_stream(spark, paths):
     write_publication(folder, "a.json", 0, {"A": ("X", 1)}, ("2026-08-14", "2026-08-14"))
     with pytest.raises(StreamingQueryException, match="share a source key"):
         ingest_stream(spark, str(folder), base, checkpoint)
+
+
+def test_incremental_revisions_keep_null_units_and_dates(spark):
+    from conftest import rows_of, same_rows, utc
+
+    from vintager.operators.revisions import entity_revisions
+    from vintager.streaming.publications import affected_revisions
+
+    first, second = utc("2031-03-05", 6), utc("2031-03-05", 7)
+    keys = [(None, "PEAT", "2031-03-09"), ("K7", "PEAT", None), ("K7", "PEAT", "2031-03-09")]
+    history = rows_of(
+        spark, [(u, f, t, d, i + (t == second)) for i, (u, f, d) in enumerate(keys) for t in (first, second)]
+    )
+    times = history.filter("publishTime = timestamp'2031-03-05 07:00:00'").select("publishTime").distinct()
+    assert same_rows(affected_revisions(history, times), entity_revisions(history.select(*affected_revisions.__defaults__[0].required)))

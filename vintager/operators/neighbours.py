@@ -9,6 +9,8 @@ again. Ranks come from a range partitioning.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,8 +127,14 @@ def with_total_rank(
         "_first",
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
     )
+    # NULL groups are groups too.
+    side = offsets.withColumnsRenamed({c: f"_of_{c}" for c in [*within, "_part"]})
+    same = reduce(
+        and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*within, "_part"]]
+    )
     return (
-        placed.join(broadcast_if_small(offsets), [*within, "_part"])
+        placed.join(broadcast_if_small(side), same)
+        .drop(*[f"_of_{c}" for c in [*within, "_part"]])
         .withColumn(name, F.col("_slot") - F.col("_first") + F.col("_before") + 1)
         .drop("_slot", "_part", "_first", "_before")
     )

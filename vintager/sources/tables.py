@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
@@ -66,9 +68,12 @@ def write_tables(
 def merged(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``target`` after an upsert: source rows, plus the target rows they do not replace.
 
-    Keys are unique on both sides, so the anti join has no hot key.
+    Keys are unique on both sides, so the anti join has no hot key. NULL keys are equal to
+    each other, so that loading the same rows again changes nothing.
     """
-    kept = target.join(source.select(*keys), list(keys), "left_anti")
+    replaced = source.select(*[F.col(key).alias(f"_new_{key}") for key in keys])
+    same = reduce(and_, [F.col(key).eqNullSafe(F.col(f"_new_{key}")) for key in keys])
+    kept = target.join(replaced, same, "left_anti")
     return kept.select(*target.columns).unionByName(source.select(*target.columns))
 
 
@@ -110,10 +115,8 @@ def upsert(
 
 def merge_table(source: DataFrame, table: str, keys: Sequence[str]) -> None:
     """The same upsert as one MERGE, for table formats with row-level operations."""
-    on = [F.col(f"{table}.{key}") == source[key] for key in keys]
-    condition = on[0]
-    for term in on[1:]:
-        condition = condition & term
+    on = [F.col(f"{table}.{key}").eqNullSafe(source[key]) for key in keys]
+    condition = reduce(and_, on)
     source.mergeInto(table, condition).whenMatched().updateAll().whenNotMatched().insertAll().merge()
 
 

@@ -6,6 +6,9 @@ that is replayed after a failure leaves the same tables.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -102,9 +105,13 @@ def affected_revisions(history: DataFrame, times: DataFrame, c: Columns = DEFAUL
     dates = fresh.agg(
         F.struct(F.min(c.target).alias("low"), F.max(c.target).alias("high"))
     ).scalar()
+    # Series with a NULL unit or date are matched like any other, as in a batch.
+    listed = series.withColumnsRenamed({k: f"_of_{k}" for k in c.entity_series})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in c.entity_series])
     touched = history.filter(
-        F.col(c.target).between(dates.getField("low"), dates.getField("high"))
-    ).join(series, c.entity_series, "left_semi")
+        F.col(c.target).isNull()
+        | F.col(c.target).between(dates.getField("low"), dates.getField("high"))
+    ).join(listed, same, "left_semi")
     revised = entity_revisions(touched.select(*c.required), c)
     for name, flag in ((LATEST_TIME, "_is_new"), (PREVIOUS_TIME, "_follows_new")):
         listed = times.select(F.col(c.published).alias(name), F.lit(True).alias(flag))
