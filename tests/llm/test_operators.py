@@ -72,6 +72,24 @@ def test_jaccard_chain_of_near_copies(spark):
     }
 
 
+def test_jaccard_groups_over_many_cells(spark, monkeypatch):
+    """Near copies in one group that is dealt to cells of a few classes."""
+    monkeypatch.setattr(sketch_join.links, "__defaults__", (4,))
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(60):
+        words = base[:]
+        for _ in range(rng.randrange(5)):
+            words[rng.randrange(90)] = f"n{rng.randrange(9)}"
+        rows.append((i, " ".join(words)))
+    found = sketch_join.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    expected = brute.components(rows, 3, 90)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == {
+        i: expected[(i, t)] for i, t in rows
+    }
+
+
 def test_jaccard_representatives(docs, awkward):
     kept = sketch_join.representatives(docs, 5, 80)
     assert kept.columns == docs.columns

@@ -2,19 +2,23 @@
 
 A document's distinct shingles are hashed to the bits of a sketch, each toggling one bit. Two
 sketches differ in at most as many bits as the sets have shingles apart. A similarity of at least
-t/100 leaves sets of sizes a <= b at most 2b(100-t)/(100+t) apart, so a sketch cut into one block
+t/100 leaves sets of sizes a <= b at most (a+b)(100-t)/(100+t) apart, so a sketch cut into one block
 more than that has an equal block in every linked pair. Sizes fall into bands, which fix the number
 of blocks; a document near the top of its band also joins the next one.
 
-A block is kept as the exclusive or of one random value per set bit, which cancels as the bits do.
-Only blocks that several documents share are looked at again. Within such a group one document, the
-pivot, is verified against all others; the pivot then leaves, groups whose members are all linked
-are done, and the rest goes on with further pivots. So no group is expanded into pairs, none is
-gathered in one task, and yet every pair of a group is verified, or joined already through others.
-
-Shingles are compared by 64-bit hashes. Defined cases: null, empty and blank texts have no shingles
-and link with nothing; a text of fewer words than a shingle is one shingle; repeated rows are linked
-as equal texts; a null doc_id is a document of its own id, ordered first.
+Equal sets are one class, named by a hash of the set; only classes are joined. A block is kept as
+the exclusive or of one random value per set bit, which cancels as the bits do. One shuffle sorts
+the blocks, and a pass over the sorted rows keeps those that several classes share; blocks shared by
+the same classes count once. Within such a group the classes' short sketches, of at least four bits
+a shingle, are compared in numpy. A group of more than ``CELL`` classes is dealt to cells that hold
+two of its parts each, so that no task holds a large group. Of the pairs whose sketches are near
+enough a cell passes on a spanning forest; whole sets verify it. A second round passes on every near
+pair that these links left apart. So pairs are never all emitted, and no link between components is
+lost.
+
+Shingles and sets are compared by 64-bit hashes. Defined cases: null, empty and blank texts have no
+shingles and link with nothing; a text of fewer words than a shingle is one shingle; repeated rows
+are linked as equal texts; a null doc_id is a document of its own id, ordered first.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vintager.llm.common import (
@@ -38,8 +42,12 @@ PERCENT = 90
 # bit set then equals another only if both have that shingle.
 BLOCK_BITS = 1 << 32
 BAND_RATIO = 1.25
-# Pivots of a group in each round but the first, which links the many copies of one text.
-PIVOTS = 32
+# Most classes of a part of a group; a task compares two parts at a time.
+CELL = 1024
+# Classes that a task remembers to have cut into blocks; further copies of them add no rows.
+REMEMBERED = 200_000
+# Longest short sketch; sets of more than a quarter as many shingles are told apart less well.
+MOST_BITS = 1 << 16
 _LAST = [np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)]
 
 
@@ -105,136 +113,270 @@ def blocks(found: np.ndarray, edges: np.ndarray, percent: int) -> Iterator[np.nd
         yield keys[full] if int(full.sum()) > apart else keys
 
 
+def class_of(found: np.ndarray) -> int:
+    """The signed 64-bit name of a set of shingles."""
+    name = mix(np.array([np.add.reduce(mix(found ^ _LAST[0])) ^ np.uint64(len(found))]))
+    return int(name.view(np.int64)[0])
+
+
+def short_sketch(found: np.ndarray) -> bytes:
+    """A parity sketch of at least four bits a shingle. Its length is a power of two, so that a
+    longer one folds to a shorter one by exclusive or."""
+    bits = min(max(256, 1 << (4 * len(found) - 1).bit_length()), MOST_BITS)
+    hits = np.bincount((mix(found ^ _LAST[1]) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((hits & 1).astype(np.uint8)).tobytes()
+
+
 def sketched(docs: DataFrame, k: int, percent: int, ratio: float = BAND_RATIO) -> DataFrame:
-    """(key, node) per block of each document; ``docs`` has node and text."""
+    """(key, cls) per block of each class; ``docs`` has text. Rows may repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = bands(ratio)
+        seen: set[int] = set()
         for batch in slices(batches):
             data, offsets = utf8(batch.column("text"))
-            keys, counts = [], []
+            keys, names, counts = [], [], []
             for found in shingles(*words(lower_ascii(data), offsets), k):
-                own = list(blocks(found, edges, percent)) if len(found) else []
+                name = class_of(found) if len(found) else None
+                if name is None or name in seen:
+                    continue
+                if len(seen) < REMEMBERED:
+                    seen.add(name)
+                own = list(blocks(found, edges, percent))
+                names.append(name)
                 counts.append(sum(map(len, own)))
                 keys += own
             key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            node = np.repeat(batch.column("node").to_numpy(), counts)
+            cls = np.repeat(np.array(names, np.int64), counts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), pa.array(cls)], ["key", "cls"]
+            )
+
+    return docs.select("text").mapInArrow(run, "key long, cls long")
+
+
+def shared_blocks(rows: DataFrame) -> DataFrame:
+    """The distinct (key, cls) of keys with several classes, by one pass over sorted rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, cls = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = False  # whether the row held back belongs to the key before it
+        for batch in batches:
+            key = np.concatenate([key, batch.column("key").to_numpy()])
+            cls = np.concatenate([cls, batch.column("cls").to_numpy()])
+            if not len(key):
+                continue
+            fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])))
+            key, cls = key[fresh], cls[fresh]
+            same = key[1:] == key[:-1]
+            before = np.concatenate(([held], same))
+            keep = before[:-1] | same
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(node)], ["key", "node"]
+                [pa.array(key[:-1][keep]), pa.array(cls[:-1][keep])], ["key", "cls"]
             )
+            key, cls, held = key[-1:], cls[-1:], bool(before[-1])
+        if len(key) and held:
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cls)], ["key", "cls"])
 
-    return docs.mapInArrow(run, "key long, node long")
+    dealt = rows.repartition("key").sortWithinPartitions("key", "cls")
+    return dealt.mapInArrow(run, "key long, cls long")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(node, shingles): all distinct shingle hashes of each document."""
+    """(cls, shingles): all distinct shingle hashes of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             data, offsets = utf8(batch.column("text"))
-            sets = list(shingles(*words(lower_ascii(data), offsets), k))
+            sets = [x for x in shingles(*words(lower_ascii(data), offsets), k) if len(x)]
             ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), lists], ["node", "shingles"])
+            names = pa.array([class_of(x) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([names, lists], ["cls", "shingles"])
 
-    return docs.mapInArrow(run, "node long, shingles array<long>")
+    return docs.select("text").mapInArrow(run, "cls long, shingles array<long>")
 
 
-def shingle_counts(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, node, n_shingles) per row."""
+def memberships(docs: DataFrame, k: int) -> DataFrame:
+    """(doc, node, n_shingles, cls, sketch) per row; cls is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             data, offsets = utf8(batch.column("text"))
-            n = [len(x) for x in shingles(*words(lower_ascii(data), offsets), k)]
+            sets = list(shingles(*words(lower_ascii(data), offsets), k))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), batch.column("node"), pa.array(n, pa.int64())],
-                ["doc", "node", "n_shingles"],
+                [
+                    batch.column("doc"), batch.column("node"),
+                    pa.array([len(x) for x in sets], pa.int64()),
+                    pa.array([class_of(x) if len(x) else None for x in sets], pa.int64()),
+                    pa.array([short_sketch(x) if len(x) else None for x in sets], pa.binary()),
+                ],
+                ["doc", "node", "n_shingles", "cls", "sketch"],
             )
 
-    return docs.mapInArrow(run, "doc long, node long, n_shingles long")
+    return docs.mapInArrow(
+        run, "doc long, node long, n_shingles long, cls long, sketch binary"
+    )
+
 
+def _near(sizes: np.ndarray, sketches: list[bytes], percent: int) -> Iterator[tuple]:
+    """(i, js, distances) per row: the rows before it whose sketches are near enough."""
+    width = min(map(len, sketches))
+    rows = np.stack([
+        np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width // 8), axis=0)
+        for x in sketches
+    ])
+    low, high = 100 * sizes, percent * sizes
+    for i in range(1, len(rows)):
+        limit = (sizes[:i] + sizes[i]) * (100 - percent) // (100 + percent)
+        js = np.flatnonzero((low[:i] >= high[i]) & (low[i] >= high[:i]))
+        if len(js):
+            apart = np.bitwise_count(rows[js] ^ rows[i]).sum(axis=1, dtype=np.int64)
+            near = apart <= limit[js]
+            if near.any():
+                yield i, js[near], apart[near]
+
+
+def _forest(cell: dict, percent: int) -> Iterator[tuple[int, int]]:
+    """Edges that connect what is near in a cell and not yet of one label."""
+    names, labels = cell["cls"], cell["label"].copy()
+    for i, js, apart in _near(cell["n_shingles"], cell["sketch"], percent):
+        js = js[np.argsort(apart, kind="stable")]
+        kinds, first = np.unique(labels[js], return_index=True)
+        for kind, at in zip(kinds.tolist(), first.tolist(), strict=True):
+            if kind != labels[i]:
+                yield names[js[at]], names[i]
+        labels[np.isin(labels, kinds)] = labels[i]
+
+
+def _all_apart(cell: dict, percent: int) -> Iterator[tuple[int, int]]:
+    """All near pairs of different labels."""
+    names, labels = cell["cls"], cell["label"]
+    for i, js, _ in _near(cell["n_shingles"], cell["sketch"], percent):
+        for j in js[labels[js] != labels[i]].tolist():
+            yield names[j], names[i]
+
+
+def compared(cells: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """(a, b): pairs to verify; ``cells`` has key, lo, hi, cls, label, n_shingles, sketch."""
+    choose = _forest if forest else _all_apart
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The linked ones among ``pairs`` (a, b), by whole sets."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def pairs(table: pa.Table, most: int) -> Iterator[tuple[int, int]]:
+            cuts = _starts(table)
+            column = {c: table.column(c).to_numpy() for c in ("cls", "label", "n_shingles")}
+            sketches = table.column("sketch").to_pylist()
+            for start, end in zip(cuts[:most], [*cuts[1:], table.num_rows][:most], strict=True):
+                cell = {c: v[start:end] for c, v in column.items()}
+                if len(np.unique(cell["label"])) > 1:
+                    yield from choose(cell | {"sketch": sketches[start:end]}, percent)
+
+        def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            ends = np.array(found, np.int64).reshape(-1, 2)
+            ends.sort(axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+            if not table.num_rows:
+                continue
+            # The last cell may go on in the next batch.
+            cuts = _starts(table)
+            yield out(list(pairs(table, len(cuts) - 1)))
+            rest = table.slice(cuts[-1])
+        if rest is not None:
+            yield out(list(pairs(rest, 1)))
+
+    dealt = cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "cls")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _starts(table: pa.Table) -> list[int]:
+    parts = [table.column(c).to_numpy() for c in ("key", "lo", "hi")]
+    new = np.ones(table.num_rows, bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in parts])
+    return np.flatnonzero(new).tolist()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """The linked ones among ``pairs`` (a, b), by whole sets of the texts of one row per class."""
+    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    nodes = (
+        members.join(broadcast_if_small(stored(ends)), "cls", "left_semi")
+        .groupBy("cls").agg(F.min("node").alias("node")).select("node")
+    )
+    texts = docs.select("node", "text").join(broadcast_if_small(stored(nodes)), "node", "left_semi")
+    sets = stored(shingle_sets(texts, k).dropDuplicates(["cls"]))
+    left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(right, "b").join(left, "a")
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
     return both.filter(100 * common >= percent * union).select("a", "b")
 
 
-def links(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): links that connect exactly the components of the whole link graph.
+def links(docs: DataFrame, members: DataFrame, k: int, percent: int, most: int = CELL) -> DataFrame:
+    """(a, b): links of classes with exactly the components of the whole link graph.
 
-    ``docs`` has node, one per distinct document, and text.
+    ``docs`` has node and text, ``members`` the rows of ``memberships``.
     """
-    rows = sketched(docs, k, percent)
-    shared = stored(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
-    groups = stored(rows.join(shared, "key"))
-    members = broadcast_if_small(stored(groups.select("node").distinct()))
-    sets = stored(shingle_sets(docs.join(members, "node", "left_semi").select("node", "text"), k))
-    groups = groups.withColumn("label", F.col("node"))
-    found, wanted = None, 1
-    while True:
-        # Pivots of the rarest labels, so that few rounds separate the odd ones out.
-        kinds = groups.groupBy("key", "label").agg(F.count("*").alias("n"))
-        kinds = kinds.withColumnsRenamed({"key": "k", "label": "l"})
-        counted = groups.join(kinds, (F.col("key") == F.col("k")) & (F.col("label") == F.col("l")))
-        place = F.row_number().over(Window.partitionBy("key").orderBy("n", "node"))
-        if wanted == 1:
-            pivots = groups.groupBy("key").agg(F.min("node").alias("node"))
-            pivots = pivots.withColumn("label", F.col("node"))
-        else:
-            pivots = counted.withColumn("place", place).filter(F.col("place") <= wanted)
-        pivots = stored(
-            pivots.select(
-                F.col("key").alias("k"), F.col("node").alias("pivot"), F.col("label").alias("pl")
-            )
-        )
-        tested = groups.join(pivots, F.col("key") == F.col("k")).filter("label <> pl")
-        pairs = tested.select(
-            F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")
-        ).distinct()
-        new = verified(pairs, sets, percent)
-        found = stored(new if found is None else found.union(new))
-        labels = components(found).withColumnRenamed("v", "node")
-        used = (F.col("key") == F.col("k")) & (F.col("node") == F.col("pivot"))
-        labelled = (
-            groups.drop("label").join(pivots, used, "left_anti").join(labels, "node", "left")
-            .select("key", "node", F.coalesce("label", "node").alias("label"))
-        )
-        open_keys = labelled.groupBy("key").agg(
-            F.min("label").alias("lo"), F.max("label").alias("hi")
-        ).filter("lo <> hi").select(F.col("key").alias("k"))
-        groups = stored(labelled.join(open_keys, F.col("key") == F.col("k")).drop("k"))
-        if groups.isEmpty():
-            return found
-        wanted = PIVOTS
+    groups = stored(shared_blocks(sketched(docs, k, percent)))
+    marks = [F.bit_xor(F.xxhash64("cls", F.lit(i))).alias(f"mark{i}") for i in (1, 2)]
+    kinds = groups.groupBy("key").agg(F.count("*").alias("n"), *marks)
+    once = kinds.groupBy("n", "mark1", "mark2").agg(F.min("key").alias("key")).select("key", "n")
+    groups = stored(groups.join(broadcast_if_small(stored(once)), "key"))
+    inside = broadcast_if_small(stored(groups.select("cls").distinct()))
+    sketches = (
+        members.join(inside, "cls", "left_semi").dropDuplicates(["cls"])
+        .select("cls", "n_shingles", "sketch")
+    )
+    parts = F.ceil(F.col("n") / most)
+    own = F.pmod(F.xxhash64("cls"), parts)
+    dealt = groups.select(
+        "key", "cls", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other")
+    )
+    cells = dealt.select(
+        "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "cls"
+    )
+    first = cells.withColumn("label", F.col("cls")).join(sketches, "cls")
+    pairs = stored(compared(first, percent, forest=True))
+    found = stored(verified(pairs, docs, members, k, percent))
+    labels = components(found).withColumnRenamed("v", "cls")
+    labelled = cells.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    again = compared(labelled.join(sketches, "cls"), percent, forest=False)
+    again = stored(again.join(pairs, ["a", "b"], "left_anti"))
+    if again.isEmpty():
+        return found
+    return stored(found.union(verified(again, docs, members, k, percent)))
 
 
 def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc, ver, node, n_shingles, component_id) per row of ``docs``.
+    """(doc, node, n_shingles, component_id) per row of ``docs``.
 
     doc is the id, with ``NULL_ID`` for null, and component_id the smallest in its component.
-    A node is a distinct (doc_id, text), so repeated rows are one.
     """
-    keyed = docs.select(
-        doc_key().alias("doc"), text_version().alias("ver"), F.coalesce("text", F.lit("")).alias("text")
-    ).withColumn("node", F.xxhash64("doc", "ver"))
-    edges = links(keyed.select("node", "text"), k, percent)
-    ends = edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct()
-    counts = stored(shingle_counts(keyed, k))
-    # Documents of one id are reached through each other's links, as the result is per id.
-    labels = components(edges)
-    ids = counts.select("node", "doc").join(ends, F.col("node") == F.col("v"), "left_semi")
-    of_ids = labels.join(ids.distinct(), F.col("v") == F.col("node")).groupBy("label").agg(
-        F.min("doc").alias("component")
+    keyed = docs.select(doc_key().alias("doc"), text_version().alias("ver"), "text")
+    keyed = keyed.select("doc", F.xxhash64("doc", "ver").alias("node"), "text")
+    members = stored(memberships(keyed, k))
+    labels = components(links(keyed, members, k, percent)).withColumnRenamed("v", "cls")
+    rows = members.select("doc", "node", "n_shingles", "cls")
+    # One row per class with links or copies; all others are components of their own.
+    low = rows.filter("cls IS NOT NULL").groupBy("cls").agg(
+        F.min("doc").alias("low"), F.count("*").alias("n")
     )
-    named = stored(labels.join(of_ids, "label").select("v", "component"))
-    return counts.join(named, F.col("node") == F.col("v"), "left").select(
+    grouped = stored(
+        low.join(broadcast_if_small(stored(labels)), "cls", "left").filter("n > 1 OR label IS NOT NULL")
+        .select("cls", "low", F.coalesce("label", "cls").alias("label"))
+    )
+    component = grouped.groupBy("label").agg(F.min("low").alias("component"))
+    named = stored(
+        grouped.join(broadcast_if_small(stored(component)), "label").select("cls", "component")
+    )
+    return rows.join(broadcast_if_small(named), "cls", "left").select(
         "doc", "node", "n_shingles", F.coalesce("component", "doc").alias("component_id")
     )
 
@@ -248,23 +390,21 @@ def joined(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
 
 def representatives(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """One row of each group of ``docs``: the smallest node of the smallest doc_id."""
-    rows = classes(docs, k, percent)
-    first = (
-        rows.filter("n_shingles > 0 AND doc = component_id")
-        .groupBy("component_id").agg(F.min("node").alias("node")).select("node")
-    )
-    free = rows.filter("n_shingles = 0").select("node").distinct()
-    stay = first.union(free)
-    node = F.xxhash64(doc_key(), text_version())
-    kept = docs.withColumn("__node", node)
-    kept = kept.join(stay.withColumnRenamed("node", "__stay"), F.col("__node") == F.col("__stay"), "left_semi")
-    # Rows repeated with id and text are copies too, unless they are blank.
-    again = stored(
-        rows.filter("n_shingles > 0").groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-        .select(F.col("node").alias("__stay"))
+    rows = stored(classes(docs, k, percent)).filter("n_shingles > 0")
+    first = rows.filter("doc = component_id").groupBy("component_id").agg(F.min("node").alias("first"))
+    placed = rows.groupBy("node", "component_id").agg(F.count("*").alias("n"))
+    # Nodes that leave, and those that stay but are repeated with id and text.
+    marked = stored(
+        placed.join(first, "component_id")
+        .select(F.col("node").alias("__node"), (F.col("node") == F.col("first")).alias("__stays"), "n")
+        .filter("NOT __stays OR n > 1")
     )
+    gone = broadcast_if_small(marked.filter("NOT __stays").select("__node"))
+    again = stored(marked.filter("__stays").select("__node"))
+    kept = docs.withColumn("__node", F.xxhash64(doc_key(), text_version()))
+    kept = kept.join(gone, "__node", "left_anti")
     if again.isEmpty():
         return kept.drop("__node")
-    same = F.col("__node") == F.col("__stay")
-    once = kept.join(again, same, "left_semi").dropDuplicates(["__node"])
-    return kept.join(again, same, "left_anti").unionByName(once).drop("__node")
+    same = broadcast_if_small(again)
+    repeated = kept.join(same, "__node", "left_semi").dropDuplicates(["__node"])
+    return kept.join(same, "__node", "left_anti").unionByName(repeated).drop("__node")
