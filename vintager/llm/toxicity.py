@@ -40,6 +40,8 @@ RATE = 0.05
 GAIN = 40.0
 DECAY = 1e-4
 THRESHOLD = 0.7
+# Neutral words that scoring adds to a text, so that one word does not decide a short text.
+NEUTRAL = 10
 CACHE_WORDS = 200_000
 
 
@@ -68,7 +70,12 @@ class Model:
         self.weight, self.bias = weight, bias
 
     def word(self, word: str) -> float:
-        return 0.0 if self.weight is None else float(self.weight[subwords(word)].mean())
+        """The mean over the subwords that training has seen; 0 if there are none."""
+        if self.weight is None:
+            return 0.0
+        found = self.weight[subwords(word)]
+        found = found[found != 0]
+        return float(found.mean()) if len(found) else 0.0
 
 
 class _Sparse:
@@ -198,7 +205,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             out = []
             for text in batch.column("text").to_pylist():
                 found = tokens(text)
-                mean = sum(map(cache.__getitem__, found)) / len(found) if found else 0.0
+                mean = sum(map(cache.__getitem__, found)) / (len(found) + NEUTRAL)
                 out.append(1 / (1 + np.exp(-np.clip(mean + model.bias, -30, 30))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "score"]
