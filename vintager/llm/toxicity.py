@@ -60,8 +60,9 @@ def subwords(word: str) -> list[int]:
     plain = marked.isascii()
     # Bytes are cut faster; they are the same n-grams only where every character is one byte.
     base = marked.encode("ascii") if plain else marked
-    ends = range(len(base))
-    grams = {base: None} | {base[i : i + n]: None for n in NGRAMS for i in ends[: len(base) - n + 1]}
+    grams = {base: None} | {
+        base[i : i + n]: None for n in NGRAMS for i in range(len(base) - n + 1)
+    }
     raw = grams if plain else [g.encode("utf-8", "surrogatepass") for g in grams]
     return [zlib.crc32(g) % BUCKETS for g in raw]
 
