@@ -78,6 +78,32 @@ def test_a_replayed_batch_changes_nothing(spark, paths, tmp_path):
     assert_current(spark, base, table)
 
 
+def test_a_publication_pulled_again_is_no_error(spark, paths):
+    from vintager.plans.jobs import ingest_landing
+
+    folder, base, checkpoint, _ = paths
+    write_publication(folder, "a.json", 0, {"A": ("X", 1)})
+    ingest_landing(spark, str(folder), base)
+    write_publication(folder, "b.json", 0, {"A": ("X", 8)})
+    assert [r["created"] for r in ingest_landing(spark, str(folder), base).collect()] == [False]
+    ingest_stream(spark, str(folder), base, checkpoint)
+    assert [float(r["outputUsable"]) for r in store.read_store(spark, base).collect()] == [1.0]
+
+
+def test_a_bad_publication_leaves_the_range_to_the_others(spark, paths):
+    from vintager.operators.quality import QualityError
+    from vintager.plans.jobs import backfill
+    from vintager.sources.landing import read_landing
+
+    folder, base, _, _ = paths
+    write_publication(folder, "a.json", 3, {"A": ("X", 1)})
+    write_publication(folder, "b.json", 4, {"A": ("X", 2)}, ("2026-08-14", "2026-08-14"))
+    rows = read_landing(spark, str(folder))
+    with pytest.raises(QualityError, match="2 rows share a source key.*04:00:00"):
+        backfill(rows, "2026-08-12T00:00:00Z", "2026-08-13T00:00:00Z", base)
+    assert [float(r["outputUsable"]) for r in store.read_store(spark, base).collect()] == [1.0]
+
+
 def test_bad_batches_stop_the_stream(spark, paths):
     from pyspark.errors import StreamingQueryException
 

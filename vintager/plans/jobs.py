@@ -23,21 +23,25 @@ from vintager.operators.pairs import (
 from vintager.operators.publications import latest_publication, latest_publications, require_publications
 from vintager.operators.quality import (
     QualityError,
-    assert_ingest,
     assert_quality,
+    ingest_report,
     require_rows,
     source_details,
 )
 from vintager.operators.revisions import changed_rows_by_pair, entity_revisions, series_revisions
 from vintager.plans import relational
 from vintager.plans.audit import audit_complete, audit_fail, audit_start
+from vintager.session import ensure_checkpoint_dir
 from vintager.sources.landing import one_publication, publish_range, read_landing
 from vintager.sources.snapshots import canonical_history
 from vintager.sources.store import (
+    admit,
     append_if_absent,
     append_new_publications,
+    new_rows,
     publication_status,
     read_store,
+    unstored,
 )
 from vintager.sources.tables import read_dataset, upsert, verify_load, write_parquet, write_tables
 
@@ -152,8 +156,7 @@ def ingest_landing(
     """Validate landing files and store their new publications; each is parsed once."""
     rows = read_landing(spark, landing, c=c).persist()
     try:
-        assert_ingest(rows, c)
-        return append_new_publications(rows, store, c)
+        return admit(rows, store, c)
     finally:
         rows.unpersist()
 
@@ -178,12 +181,24 @@ def backfill(
     store: str,
     c: Columns = DEFAULT,
 ) -> DataFrame:
-    """Store the publications of a range in one pass; returns the one-row summary."""
+    """Store the publications of a range in one pass; returns the one-row summary.
+
+    Each publication is judged on its own: those with duplicated keys are left out and named in
+    the error that is raised once the others are stored.
+    """
     rows = publish_range(df, start, end, c=c).filter(F.col(c.published).isNotNull())
-    if not rows.isEmpty():
-        assert_ingest(rows, c)
-        return backfill_summary(append_new_publications(rows, store, c))
-    return backfill_summary(publication_status(rows, rows, c))
+    if rows.isEmpty():
+        return backfill_summary(publication_status(rows, rows, c))
+    ensure_checkpoint_dir(df.sparkSession)
+    bad = ingest_report(unstored(rows, store, c), c).filter("duplicate_key_rows > 0")
+    bad = bad.select(c.published, "duplicate_key_rows").checkpoint()
+    good = new_rows(rows, bad, c)
+    status = append_new_publications(good, store, c)
+    if not bad.isEmpty():
+        total = bad.agg(F.sum("duplicate_key_rows")).first()[0]
+        named = ", ".join(str(r[0]) for r in bad.orderBy(c.published).limit(20).collect())
+        raise QualityError(f"{total} rows share a source key, in publications {named}.")
+    return backfill_summary(status)
 
 
 def backfill_summary(status: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from vintager.columns import DEFAULT, PUBLISH_DATE, Columns
 from vintager.functions.scalars import publication_stamp
 from vintager.operators.publications import NoPublications
-from vintager.operators.quality import ingest_report
+from vintager.operators.quality import assert_ingest, ingest_report
 from vintager.operators.sizing import broadcast_if_small
 from vintager.session import ensure_checkpoint_dir
 from vintager.sources.tables import path_exists
@@ -155,6 +155,26 @@ def append_new_publications(df: DataFrame, store: str, c: Columns = DEFAULT) ->
     return outcome
 
 
+def unstored(df: DataFrame, store: str, c: Columns = DEFAULT) -> DataFrame:
+    """Rows of publications that the store does not list."""
+    spark = df.sparkSession
+    if not path_exists(spark, manifest_path(store)):
+        return df
+    return new_rows(df, read_manifest(spark, store), c)
+
+
+def admit(df: DataFrame, store: str, c: Columns = DEFAULT) -> DataFrame:
+    """Validate and store the new publications of ``df``; returns as ``append_new_publications``.
+
+    Publications that are stored already are reported as not created and not judged again, so
+    pulling one a second time is no error.
+    """
+    fresh = unstored(df, store, c)
+    if df.isEmpty() or not fresh.isEmpty():
+        assert_ingest(fresh, c)
+    return append_new_publications(df, store, c)
+
+
 def append_if_absent(spark: SparkSession, path: str, source: DataFrame, time: str) -> DataFrame:
     """Append the publications of ``source`` that the table at ``path`` has no row of.
 

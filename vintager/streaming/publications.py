@@ -16,12 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vintager.columns import DEFAULT, LATEST_TIME, PREVIOUS_TIME, PUBLISH_DATE, Columns
-from vintager.operators.quality import assert_ingest
 from vintager.operators.revisions import entity_revisions
 from vintager.operators.sizing import broadcast_if_small
 from vintager.schema import LANDING
 from vintager.sources.landing import parse_landing
-from vintager.sources.store import append_new_publications, read_store
+from vintager.sources.store import admit, read_store
 from vintager.sources.tables import upsert
 
 
@@ -71,8 +70,7 @@ def ingest_stream(
         rows = batch.persist()
         try:
             if not rows.isEmpty():
-                assert_ingest(rows, c)
-                append_new_publications(rows, store, c)
+                admit(rows, store, c)
                 if revisions is not None:
                     times = rows.select(c.published).filter(F.col(c.published).isNotNull())
                     refresh_revisions(spark, store, times.distinct(), revisions, c)
