@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vintager.llm import (
-    chat, decontaminate, mixing, pii, prefix_doubling, quality, recompression, sketch_join,
+    chat, decontaminate, mixing, oracle, pii, prefix_doubling, quality, recompression, sketch_join,
     toxicity, warc,
 )
 from vintager.llm.common import table
@@ -19,7 +19,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages")).drop("payload", "url")
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("payload", "url", "n_segments")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +80,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.ALL)
