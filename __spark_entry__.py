@@ -86,16 +86,23 @@ def _stored(df: DataFrame) -> DataFrame:
 
 
 def _pair(df: DataFrame) -> DataFrame:
-    """The two newest publications compared: what the gold tables are loaded with."""
+    """The two newest publications compared."""
     return pairs.latest_pair_revisions(df)
 
 
+def _gold_pair(df: DataFrame) -> DataFrame:
+    """The newest adjacent pair that has revisions, of a history that ends with a publication
+    that shares no target date with the one before it; written once, as several products read it.
+    """
+    return _stored(pairs.newest_revised_pair(pairs.all_pair_revisions(w.with_disjoint_end(df))))
+
+
 def _units(unit: DataFrame) -> DataFrame:
     return gold.latest_changed_units(relational.unit_revisions(unit))
 
 
 def _gold_units(df: DataFrame) -> DataFrame:
-    return _units(_stored(_pair(df)))
+    return _units(_gold_pair(df))
 
 
 def _totals(unit: DataFrame) -> DataFrame:
@@ -103,7 +110,7 @@ def _totals(unit: DataFrame) -> DataFrame:
 
 
 def _gold_system(df: DataFrame) -> DataFrame:
-    return _totals(_stored(_pair(df)))
+    return _totals(_gold_pair(df))
 
 
 def _outlook(df: DataFrame) -> DataFrame:
@@ -115,7 +122,7 @@ def _health(df: DataFrame) -> DataFrame:
 
 
 def _dashboard(df: DataFrame) -> DataFrame:
-    unit = _stored(_pair(df))
+    unit = _gold_pair(df)
     return gold.dashboard_kpis(_outlook(df), _units(unit), _totals(unit), _health(df))
 
 
@@ -281,7 +288,9 @@ def _queries() -> dict[str, Query]:
         "q_top10_downward": h(lambda df: pairs.top_pair_movers(_pair(df), upward=False)),
         "q_top10_upward": h(lambda df: pairs.top_pair_movers(_pair(df), upward=True)),
         "q_latest_pair": h(
-            lambda df: gold.latest_pair(relational.unit_revisions(pairs.all_pair_revisions(df)))
+            lambda df: gold.latest_pair(
+                relational.unit_revisions(pairs.all_pair_revisions(w.with_disjoint_end(df)))
+            )
         ),
         # Gold
         "q_latest_availability_outlook": h(_outlook),
@@ -290,7 +299,7 @@ def _queries() -> dict[str, Query]:
         "q_latest_changed_units": h(_gold_units),
         "q_latest_fuel_revision_ranking": h(
             lambda df: gold.fuel_revision_ranking(
-                relational.group_revisions(pairs.rollup_pair(_stored(_pair(df)), [C.group]))
+                relational.group_revisions(pairs.rollup_pair(_gold_pair(df), [C.group]))
             )
         ),
         "q_latest_unit_revision_ranking": h(

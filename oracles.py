@@ -60,6 +60,14 @@ RELATIONS: dict[str, tuple[list[str], str]] = {
         ["canon"],
         "SELECT * FROM canon WHERE publishTime < TIMESTAMP '2024-01-25 00:00:00'",
     ),
+    # A last publication without an overlap, and the newest pair that has revisions before it.
+    "ended": (
+        ["canon"],
+        """SELECT * FROM canon UNION ALL
+           SELECT dataset, fuelType, nationalGridBmUnit, bmUnit, publishTime + INTERVAL 12 HOURS,
+             forecastDate + 400, outputUsable, collectedAt
+           FROM canon WHERE publishTime = (SELECT MAX(publishTime) FROM canon)""",
+    ),
     "dup": (
         ["canon"],
         """SELECT * FROM canon UNION ALL SELECT * FROM canon
@@ -152,16 +160,19 @@ RELATIONS: dict[str, tuple[list[str], str]] = {
              AND latestPublishTime <= (SELECT MAX(latestPublishTime) FROM frev)""",
     ),
     # Publication calendar and revisions against the adjacent publication.
-    "cal": (
-        ["canon"],
-        """SELECT publishTime, lag(publishTime) OVER (ORDER BY publishTime) AS previousPublishTime,
-             lead(publishTime) OVER (ORDER BY publishTime) AS nextPublishTime,
-             row_number() OVER (ORDER BY publishTime) AS publicationNumber
-           FROM (SELECT DISTINCT publishTime FROM canon)""",
-    ),
     **{
         name: (
-            ["cal", source],
+            [source],
+            f"""SELECT publishTime, lag(publishTime) OVER (ORDER BY publishTime) AS previousPublishTime,
+                 lead(publishTime) OVER (ORDER BY publishTime) AS nextPublishTime,
+                 row_number() OVER (ORDER BY publishTime) AS publicationNumber
+               FROM (SELECT DISTINCT publishTime FROM {source})""",
+        )
+        for name, source in (("cal", "canon"), ("calended", "ended"))
+    },
+    **{
+        name: (
+            [times, source],
             f"""SELECT l.nationalGridBmUnit, l.fuelType, l.forecastDate, p.publishTime AS previousPublishTime,
                  p.outputUsable AS previousAvailableMW, l.publishTime AS latestPublishTime,
                  l.outputUsable AS latestAvailableMW, l.outputUsable - p.outputUsable AS revisionMW,
@@ -171,17 +182,24 @@ RELATIONS: dict[str, tuple[list[str], str]] = {
                       ELSE 'UNCHANGED' END AS changeDirection,
                  coalesce(p.outputUsable > 0 AND l.outputUsable = 0, false) AS becameUnavailable,
                  coalesce(p.outputUsable = 0 AND l.outputUsable > 0, false) AS returnedAvailable
-               FROM {source} l JOIN cal ON cal.publishTime = l.publishTime
+               FROM {source} l JOIN {times} cal ON cal.publishTime = l.publishTime
                JOIN {source} p ON p.publishTime = cal.previousPublishTime
                 AND p.nationalGridBmUnit = l.nationalGridBmUnit AND p.forecastDate = l.forecastDate
                 AND p.fuelType IS NOT DISTINCT FROM l.fuelType""",
         )
-        for name, source in (("prev", "canon"), ("prevdirty", "dirty"))
+        for name, source, times in (
+            ("prev", "canon", "cal"), ("prevdirty", "dirty", "cal"), ("prevended", "ended", "calended")
+        )
     },
     "pair": (
         ["prev"],
         "SELECT * FROM prev WHERE latestPublishTime = (SELECT MAX(publishTime) FROM canon)",
     ),
+    "goldpair": (
+        ["prevended"],
+        """SELECT * FROM prevended WHERE (latestPublishTime, previousPublishTime) =
+             (SELECT (latestPublishTime, previousPublishTime) FROM prevended ORDER BY 1 DESC LIMIT 1)""",
+    ),
     **{
         name: (
             [source],
@@ -198,8 +216,8 @@ RELATIONS: dict[str, tuple[list[str], str]] = {
             ("pfuel", "prev", ", fuelType", ""),
             ("pfueldirty", "prevdirty", ", fuelType", "WHERE fuelType IS NOT NULL"),
             ("psys", "prev", "", ""),
-            ("lastfuel", "pair", ", fuelType", ""),
-            ("lastsys", "pair", "", ""),
+            ("lastfuel", "goldpair", ", fuelType", ""),
+            ("lastsys", "goldpair", "", ""),
         )
     },
     **{
@@ -233,7 +251,7 @@ RELATIONS: dict[str, tuple[list[str], str]] = {
            GROUP BY ALL""",
     ),
     "changed": (
-        ["pair"],
+        ["goldpair"],
         """SELECT previousPublishTime AS previous_publish_time, latestPublishTime AS latest_publish_time,
              forecastDate AS forecast_date, nationalGridBmUnit AS national_grid_bm_unit,
              fuelType AS fuel_type, CAST(previousAvailableMW AS DOUBLE) AS previous_available_mw,
@@ -242,7 +260,7 @@ RELATIONS: dict[str, tuple[list[str], str]] = {
              CAST(absoluteRevisionMW AS DOUBLE) AS absolute_revision_mw,
              changeDirection AS change_direction, becameUnavailable AS became_unavailable,
              returnedAvailable AS returned_available
-           FROM pair WHERE revisionMW <> 0""",
+           FROM goldpair WHERE revisionMW <> 0""",
     ),
     "gsys": (
         ["lastsys"],
@@ -560,9 +578,9 @@ QUERIES: dict[str, tuple[list[str], str]] = {
         for name, test, order in (("downward", "< 0", "ASC"), ("upward", "> 0", "DESC"))
     },
     "q_latest_pair": (
-        ["prev"],
+        ["prevended"],
         """SELECT previousPublishTime AS previous_publish_time, latestPublishTime AS latest_publish_time
-           FROM prev ORDER BY 2 DESC, 1 DESC LIMIT 1""",
+           FROM prevended ORDER BY 2 DESC, 1 DESC LIMIT 1""",
     ),
     "q_latest_availability_outlook": (["outlook"], "SELECT * FROM outlook"),
     "q_latest_availability_mix": (

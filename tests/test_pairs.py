@@ -197,3 +197,17 @@ def test_availability_of_unknown_measures_is_zero(spark):
     df = rows_of(spark, [("U", "X", P0, D, None), ("V", None, P0, D, 5)])
     rows = availability(df, [C.group]).collect()
     assert [(r["fuelType"], r["available_mw"]) for r in rows] == [("X", 0)]
+
+
+def test_newest_revised_pair_passes_over_a_publication_without_overlap(spark):
+    times = [utc("2033-11-02", hour) for hour in (4, 9, 21)]
+    rows = [
+        ("V1", "PEAT", times[0], "2033-11-05", 30), ("V1", "PEAT", times[1], "2033-11-05", 44),
+        ("V2", "TIDE", times[0], "2033-11-06", 12), ("V2", "TIDE", times[1], "2033-11-06", 12),
+        ("V1", "PEAT", times[2], "2033-12-24", 90),
+    ]
+    history = rows_of(spark, rows)
+    found = pairs.newest_revised_pair(pairs.all_pair_revisions(history)).collect()
+    assert {(r.nationalGridBmUnit, int(r.revisionMW)) for r in found} == {("V1", 14), ("V2", 0)}
+    alone = history.filter(F.col("forecastDate") == "2033-12-24")
+    assert pairs.newest_revised_pair(pairs.all_pair_revisions(alone)).isEmpty()

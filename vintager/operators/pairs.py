@@ -186,6 +186,16 @@ def latest_pair_revisions(df: DataFrame, c: Columns = DEFAULT) -> DataFrame:
     )
 
 
+def newest_revised_pair(unit_revisions: DataFrame) -> DataFrame:
+    """The revisions of the newest pair that has any; publications without a match are passed over.
+
+    The pair is a scalar subquery, so the rows are filtered without a join.
+    """
+    newest = unit_revisions.agg(F.max(F.struct(LATEST_TIME, PREVIOUS_TIME))).scalar()
+    same = [F.col(name) == newest.getField(name) for name in (LATEST_TIME, PREVIOUS_TIME)]
+    return unit_revisions.filter(same[0] & same[1])
+
+
 def rollup_pair(unit_revisions: DataFrame, groups: Sequence[str] = (), c: Columns = DEFAULT) -> DataFrame:
     """Sums and unit counters of matched revisions by pair, target date and groups.
 

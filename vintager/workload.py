@@ -59,6 +59,21 @@ def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_disjoint_end(df: DataFrame) -> DataFrame:
+    """The history and one more publication, whose target dates no other publication has.
+
+    It repeats the newest publication half a day later and 400 days further ahead.
+    """
+    last = df.filter(F.col(C.published) == df.agg(F.max(C.published)).scalar())
+    end = last.withColumns(
+        {
+            C.published: F.col(C.published) + F.expr("INTERVAL 12 HOURS"),
+            C.target: F.date_add(F.col(C.target), 400),
+        }
+    )
+    return df.unionByName(end)
+
+
 def unit_number() -> Column:
     return F.substring_index(F.col(C.entity), "-", -1).cast("int")
 
