@@ -17,6 +17,7 @@ other columns are never read.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -115,21 +116,32 @@ def fit(sample: list[tuple[str | None, int]], steps: int = STEPS, seed: int = 3)
     prior = float(np.log(share / (1 - share)))
     if labels.min() == labels.max():
         return Model(None, prior)
-    counts = [Counter(tokens(text)) for text, _ in sample]
-    seen = Counter(word for count in counts for word in count)
+    # Two passes over the texts: the counts of one text at a time, entries in flat arrays.
+    seen: Counter = Counter()
+    for text, _ in sample:
+        seen.update(set(tokens(text)))
     vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n >= LEAST_DOCUMENTS))}
-    entries = [
-        (d, vocabulary[w], n / max(1, sum(count.values())))
-        for d, count in enumerate(counts) for w, n in count.items() if w in vocabulary
-    ]
-    if not entries:
+    del seen
+    entries = array("i"), array("i"), array("d")
+    for d, (text, _) in enumerate(sample):
+        count = Counter(tokens(text))
+        total = max(1, sum(count.values()))
+        for w, n in count.items():
+            if w in vocabulary:
+                for values, value in zip(entries, (d, vocabulary[w], n / total), strict=True):
+                    values.append(value)
+    if not entries[0]:
         return Model(None, prior)
-    grams = [(i, b) for w, i in vocabulary.items() for b in subwords(w)]
-    gram_rows, buckets = (np.array(x) for x in zip(*grams, strict=True))
+    gram_rows, buckets = array("i"), array("i")
+    for w, i in vocabulary.items():
+        own = subwords(w)
+        gram_rows.extend([i] * len(own))
+        buckets.extend(own)
+    gram_rows, buckets = np.array(gram_rows), np.array(buckets)
     used, buckets = np.unique(buckets, return_inverse=True)
     share_of = 1.0 / np.bincount(gram_rows)[gram_rows]
     words = _Sparse(gram_rows, buckets, share_of, len(used))
-    rows, columns, weights = (np.array(x) for x in zip(*entries, strict=True))
+    rows, columns, weights = (np.array(x) for x in entries)
     kept, rows = np.unique(rows, return_inverse=True)
     docs = _Sparse(rows, columns, weights, len(vocabulary))
     target = labels[kept]
