@@ -32,7 +32,7 @@ from vintager.operators.revisions import changed_rows_by_pair, entity_revisions,
 from vintager.plans import relational
 from vintager.plans.audit import audit_complete, audit_fail, audit_start
 from vintager.session import ensure_checkpoint_dir
-from vintager.sources.landing import one_publication, publish_range, read_landing
+from vintager.sources.landing import FILE, one_publication, publish_range, read_landing, united
 from vintager.sources.snapshots import canonical_history
 from vintager.sources.store import (
     admit,
@@ -154,7 +154,7 @@ def ingest_landing(
     spark: SparkSession, landing: str, store: str, c: Columns = DEFAULT
 ) -> DataFrame:
     """Validate landing files and store their new publications; each is parsed once."""
-    rows = read_landing(spark, landing, c=c).persist()
+    rows = read_landing(spark, landing, c=c, files=True).persist()
     try:
         return admit(rows, store, c)
     finally:
@@ -187,6 +187,7 @@ def backfill(
     the error that is raised once the others are stored.
     """
     rows = publish_range(df, start, end, c=c).filter(F.col(c.published).isNotNull())
+    rows = united(rows, c) if FILE in rows.columns else rows
     if rows.isEmpty():
         return backfill_summary(publication_status(rows, rows, c))
     ensure_checkpoint_dir(df.sparkSession)

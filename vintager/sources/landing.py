@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +18,26 @@ from vintager.functions.scalars import (
     utc_instant,
 )
 from vintager.operators.quality import QualityError, require_rows, single_publication_time
+from vintager.operators.sizing import broadcast_if_small
 from vintager.schema import LANDING
 
 
+# Where a row came from: kept until its publication is admitted, never stored.
+FILE_TIME, FILE = "_file_time", "_file"
+
+
+def with_file(raw: DataFrame) -> DataFrame:
+    """Rows of a file source with the modification time and path of their file."""
+    return raw.select(
+        "*",
+        F.col("_metadata.file_modification_time").alias(FILE_TIME),
+        F.col("_metadata.file_path").alias(FILE),
+    )
+
+
 def parse_landing(raw: DataFrame, c: Columns = DEFAULT, collected: Column | None = None) -> DataFrame:
     """Canonical columns from landing text; values that do not parse become NULL."""
+    origin = [name for name in (FILE_TIME, FILE) if name in raw.columns]
     return raw.select(
         c.dataset,
         c.group,
@@ -30,6 +47,7 @@ def parse_landing(raw: DataFrame, c: Columns = DEFAULT, collected: Column | None
         lenient_date(F.col(c.target)).alias(c.target),
         lenient_decimal(F.col(c.measure)).alias(c.measure),
         (F.current_timestamp() if collected is None else collected).alias(c.collected),
+        *origin,
     )
 
 
@@ -40,16 +58,45 @@ def read_landing(
     entities: Sequence[str] | None = None,
     c: Columns = DEFAULT,
     arrays: bool = True,
+    files: bool = False,
 ) -> DataFrame:
     """JSON records, one or more publications per file.
 
     A file with one JSON array is read by one task; ``arrays=False`` reads one record
-    per line, which large files can be split by.
+    per line, which large files can be split by. ``files`` keeps each row's file, for
+    ``united``.
     """
     raw = spark.read.schema(LANDING).option("multiLine", arrays).json(path)
+    raw = with_file(raw) if files else raw
     return select_listed(parse_landing(raw, c), groups, entities, c)
 
 
+def united(rows: DataFrame, c: Columns = DEFAULT) -> DataFrame:
+    """Each publication once, whichever files its rows lie in, without the files' columns.
+
+    Rows of a publication in several files are put together; of a key that several files
+    have, the rows of the first file (by time, then path) stay. A key repeated within one
+    file stays repeated, which the ingest verdict rejects.
+    """
+    origin = F.struct(FILE_TIME, FILE)
+    several = (
+        rows.groupBy(c.published)
+        .agg(F.min(origin).alias("_low"), F.max(origin).alias("_high"))
+        .filter((F.col("_low") != F.col("_high")) & F.col(c.published).isNotNull())
+        .select(c.published)
+    )
+    known = broadcast_if_small(several)
+    split = rows.join(known, c.published, "left_semi")
+    # One row per key on the other side, so adaptive execution can split a hot key.
+    first = split.groupBy(*[F.col(k).alias(f"_of_{k}") for k in c.key]).agg(
+        F.min(origin).alias("_first")
+    )
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in c.key])
+    kept = split.join(first, same & (origin == F.col("_first")), "left_semi")
+    whole = rows.join(known, c.published, "left_anti")
+    return whole.unionByName(kept).drop(FILE_TIME, FILE)
+
+
 def select_listed(
     df: DataFrame,
     groups: Sequence[str] | None = None,

@@ -17,6 +17,7 @@ from vintager.operators.publications import NoPublications
 from vintager.operators.quality import assert_ingest, ingest_report
 from vintager.operators.sizing import broadcast_if_small
 from vintager.session import ensure_checkpoint_dir
+from vintager.sources.landing import FILE, FILE_TIME, united
 from vintager.sources.tables import path_exists
 
 STAMP = "publish_stamp"
@@ -167,12 +168,17 @@ def admit(df: DataFrame, store: str, c: Columns = DEFAULT) -> DataFrame:
     """Validate and store the new publications of ``df``; returns as ``append_new_publications``.
 
     Publications that are stored already are reported as not created and not judged again, so
-    pulling one a second time is no error.
+    pulling one a second time is no error. Rows that carry their file are united first.
     """
-    fresh = unstored(df, store, c)
+    fresh, known = unstored(df, store, c), None
+    if path_exists(df.sparkSession, manifest_path(store)):
+        times = read_manifest(df.sparkSession, store).select(c.published)
+        known = df.join(broadcast_if_small(times), c.published, "left_semi").drop(FILE_TIME, FILE)
+    if FILE in df.columns:
+        fresh = united(fresh, c)
     if df.isEmpty() or not fresh.isEmpty():
         assert_ingest(fresh, c)
-    return append_new_publications(df, store, c)
+    return append_new_publications(fresh if known is None else fresh.unionByName(known), store, c)
 
 
 def append_if_absent(spark: SparkSession, path: str, source: DataFrame, time: str) -> DataFrame:

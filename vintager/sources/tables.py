@@ -19,6 +19,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of Spark's file systems, if it is there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def read_dataset(spark: SparkSession, name: str) -> DataFrame:
     """A catalog table if one has this name, else a Parquet path; an error if neither."""
     if "/" not in name and spark.catalog.tableExists(name):

@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vintager.columns import DEFAULT, LATEST_TIME, PREVIOUS_TIME, PUBLISH_DATE, Columns
+from vintager.operators.quality import assert_ingest
 from vintager.operators.revisions import entity_revisions
 from vintager.operators.sizing import broadcast_if_small
 from vintager.schema import LANDING
-from vintager.sources.landing import parse_landing
-from vintager.sources.store import admit, read_store
-from vintager.sources.tables import upsert
+from vintager.sources.landing import parse_landing, united, with_file
+from vintager.sources.store import admit, read_store, unstored
+from vintager.sources.tables import path_exists, remove_path, upsert
 
 
 def landing_stream(
@@ -38,7 +39,7 @@ def landing_stream(
         .option("maxFilesPerTrigger", files_per_batch)
         .json(landing)
     )
-    return parse_landing(raw, c)
+    return parse_landing(with_file(raw), c)
 
 
 def run_available(
@@ -62,22 +63,36 @@ def ingest_stream(
     checkpoint: str,
     c: Columns = DEFAULT,
     revisions: str | None = None,
+    files_per_batch: int = 1000,
 ) -> StreamingQuery:
-    """Store each publication once; with ``revisions``, keep that table up to date too."""
+    """Store each publication once; with ``revisions``, keep that table up to date too.
+
+    Batches only stage their parsed rows, beside ``checkpoint`` and by batch, so a replay
+    overwrites its own. Publications are admitted once the run's last batch is staged, from
+    all staged rows: a publication in several files is whole, however the files fall into
+    batches. What is staged is removed last, so a run that dies in between is finished by the
+    next one.
+    """
+    staged = f"{checkpoint}-staged"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        # The batch is used several times; without this its files are parsed each time.
-        rows = batch.persist()
-        try:
-            if not rows.isEmpty():
-                admit(rows, store, c)
-                if revisions is not None:
-                    times = rows.select(c.published).filter(F.col(c.published).isNotNull())
-                    refresh_revisions(spark, store, times.distinct(), revisions, c)
-        finally:
-            rows.unpersist()
-
-    return run_available(landing_stream(spark, landing, c), handle, checkpoint)
+        path = f"{staged}/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(path)
+        # A file lies in one batch, so a key repeated within a file stops the stream here.
+        fresh = unstored(spark.read.parquet(path), store, c)
+        if not fresh.isEmpty():
+            assert_ingest(united(fresh, c), c)
+
+    query = run_available(landing_stream(spark, landing, c, files_per_batch), handle, checkpoint)
+    if path_exists(spark, staged):
+        rows = spark.read.parquet(staged).drop("batch")
+        if not rows.isEmpty():
+            admit(rows, store, c)
+            if revisions is not None:
+                times = rows.select(c.published).filter(F.col(c.published).isNotNull())
+                refresh_revisions(spark, store, times.distinct(), revisions, c)
+        remove_path(spark, staged)
+    return query
 
 
 def affected_revisions(history: DataFrame, times: DataFrame, c: Columns = DEFAULT) -> DataFrame:
