@@ -288,8 +288,10 @@ def test_backfill_creates_once(spark, tmp_path):
     }
     assert set(jobs.backfill(df, "2020-01-01", "2020-01-02", path).first().asDict().values()) == {0}
     doubled = df.unionByName(df)
+    # Stored publications are not judged again; new ones with repeated keys are refused.
+    assert jobs.backfill(doubled, P0, P1, path).first()["publications_existing"] == 2
     with pytest.raises(QualityError):
-        jobs.backfill(doubled, P0, P1, path)
+        jobs.backfill(doubled, P0, P1, str(tmp_path / "other"))
 
 
 def test_an_upsert_of_null_keys_is_idempotent(spark):
