@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -95,6 +95,52 @@ def pii(text):
     return [f"{kind}:{start}:{end}" for start, _, end, kind in out]
 
 
+def patterns(found, i):
+    """The patterns of the ``i``-th word of a text: the word before it."""
+    before = found[i - 1][0] if i else "0"
+    return [] if re.search("[0-9@]", before) else [re.sub(r"^[\W_]+", "", before.lower())]
+
+
+def contexts(docs, least=3, confident=0.5, accepted=0.7):
+    """{(doc_id, start, end)} of context spans: the bootstrap over all words, to its fixed point."""
+    total, pairs, seeds, spots = Counter(), Counter(), set(), []
+    for doc_id, text in docs:
+        base = [tuple(map(int, s.split(":")[1:])) for s in pii(text)]
+        found = list(WORD.finditer(text or ""))
+        total.update(re.sub(r"^[\W_]+", "", m[0].lower()) for m in found)
+        for i, m in enumerate(found):
+            value = re.sub(r"^[\W_]+|[\W_]+$", "", m[0].lower())
+            if not value or not re.search("[0-9@]", m[0]):
+                continue
+            covered = any(a < m.end() and b > m.start() for a, b in base)
+            start = m.start() + len(re.match(r"[\W_]*", m[0])[0])
+            for p in filter(None, patterns(found, i)):
+                pairs[p, value] += 1
+                seeds |= {value} if covered else set()
+                spots.append((doc_id, start, start + len(value), p, value, covered))
+    score, sure = {v: float(v in seeds) for _, v in pairs}, {}
+    while True:
+        hits, values, odds = Counter(), Counter(), defaultdict(lambda: 1.0)
+        for (p, v), n in pairs.items():
+            if score[v] >= accepted:
+                hits[p] += n * score[v]
+                values[p] += 1
+        sure = {
+            p: min(hits[p] / total[p], 1 - 1e-9)
+            for p in hits if values[p] >= least and hits[p] / total[p] >= confident
+        }
+        for p, v in pairs:
+            odds[v] *= 1 - sure.get(p, 0.0)
+        after = {v: 1.0 if v in seeds else 1 - odds[v] for v in score}
+        if all(after[v] - score[v] < 1e-12 for v in score):
+            break
+        score = after
+    return {
+        (i, start, end) for i, start, end, p, v, covered in spots
+        if not covered and p in sure and score[v] >= accepted
+    }
+
+
 def word_repeats(docs, width=20):
     """[(doc_id, text, n_words, n_removed, sha)]; docs of one id are one document."""
     rank = lambda d: -(2**63) if d is None else d

@@ -183,6 +183,52 @@ def test_contexts_discover_identifiers(spark):
     assert found[30] == "" and found[0].startswith("email:")
 
 
+def _contexts(spark, rows):
+    """Context spans that the operator finds in ``rows``."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = set()
+    for r in pii.reported(docs).collect():
+        for kind, start, end in (s.split(":") for s in r.spans.split(",") if s):
+            if kind == "context":
+                out.add((r.doc_id, int(start), int(end)))
+    return out
+
+
+def test_contexts_reach_patterns_without_seeds(spark):
+    """handle: precedes no e-mail, ping: only what handle: adds, call: only what ping: adds, ..."""
+    rows = [(i, f"email: user{i}@mail.org") for i in range(40)]
+    chain = ["email:", "handle:", "ping:", "call:", "nick:", "ask:"]
+    for k, (label, following) in enumerate(zip(chain, chain[1:])):
+        for j in range(6):
+            name = f"u{k}{j}[at]y.org"
+            rows += [(100 + 10 * k + j, f"{label} {name}")]
+            rows += [(1000 * i + 10 * k + j, f"{following} {name}") for i in range(1, 5)]
+    rows += [(300, "ask: u98[at]z.org"), (301, "ask: u99[at]z.org"), (302, "the u97[at]z.org")]
+    found = _contexts(spark, rows)
+    assert found == brute.contexts(rows)
+    texts = dict(rows)
+    assert {texts[i][a:b] for i, a, b in found} == {
+        *(f"u{k}{j}[at]y.org" for k in range(5) for j in range(6)), "u98[at]z.org", "u99[at]z.org",
+    }
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_contexts_of_random_texts(spark, seed):
+    rng = random.Random(seed)
+    labels = ["mail:", "at", "(Tel", "id", "tel2:", "--", "@"]
+    rows = [(0, None), (1, "")]
+    for i in range(2, 90):
+        out = []
+        for _ in range(rng.randrange(1, 6)):
+            out.append(rng.choice(labels[: 3 + 2 * seed]))
+            for _ in range(rng.choice([1, 1, 1, 2, 3])):
+                n = rng.randrange(12)
+                mail = [f"u{n}@m.org", f"u{n}@m.org,", f"<U{n}@m.org>"]
+                out.append(rng.choice([*mail, *mail, *mail, f"v{n}[at]m", f"(V{n}[at]m.", "so"]))
+        rows.append((i, rng.choice([" ", "\n ", "  "]).join(out)))
+    assert _contexts(spark, rows) == brute.contexts(rows)
+
+
 def test_redaction(spark):
     rows = [(1, "a@b.cd or 4111 1111 1111 1111!", 30), (2, None, 0), (3, "1.2.3.4@x.yz", 12), (4, "no", 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")

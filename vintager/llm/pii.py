@@ -9,7 +9,8 @@ Bootstrapping: words with a digit or an @ are instances, those under a base span
 before an instance is its pattern. A pattern's confidence is the summed score of its instances over
 all occurrences of that word in the corpus; an instance's score is the noisy or of its patterns'
 confidence, and 1 for a seed. Both are computed in turn over the aggregated graph of (pattern,
-instance) pairs. Instances with a score over the threshold that follow a confident pattern (enough
+instance) pairs; they only rise, and rounds go on until no score does, so a pattern without seeds
+counts once others have its instances accepted. Instances with a score over the threshold that follow a confident pattern (enough
 different values, mostly identifiers) are spans of kind ``context``.
 
 Only SQL functions run. Defined cases: a null text is empty; an empty table gives no rows; repeated
@@ -39,10 +40,11 @@ _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 INSTANCE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 
-ROUNDS = 3
 LEAST_VALUES = 3
 CONFIDENT = 0.5
 ACCEPTED = 0.7
+# Scores that rise by less in a round have settled.
+SETTLED = 1e-9
 SPAN = "array<struct<start:long,end:long,place:int,kind:string>>"
 
 
@@ -165,21 +167,26 @@ def context_spans(docs: DataFrame) -> DataFrame:
             F.count("*").alias("n"), F.max(F.col("covered").cast("int")).alias("seed")
         )
     )
-    # Patterns with enough different seeds; the others can't become confident in any round.
-    seeded = stored(
-        graph.groupBy("left").agg(F.sum("seed").alias("seeds")).filter(F.col("seeds") >= LEAST_VALUES)
-        .select("left")
+    # Patterns with enough different values, accepted or not; the others can't become confident.
+    wide = stored(
+        graph.groupBy("left").agg(F.count("*").alias("values"), F.sum("n").alias("most"))
+        .filter(F.col("values") >= LEAST_VALUES).select("left", "most")
     )
     body = F.coalesce(F.col("text"), F.lit(""))
     words = docs.select(F.explode(F.regexp_extract_all(body, F.lit(f"({WORD})"), F.lit(1))).alias("w"))
     total = stored(
         words.select(_pattern(F.col("w")).alias("left"))
-        .join(broadcast_if_small(seeded), "left", "left_semi")
+        .join(broadcast_if_small(wide), "left", "left_semi")
         .groupBy("left").agg(F.count("*").alias("total"))
     )
-    pairs = stored(graph.join(total, "left").withColumn("score", F.col("seed").cast("double")))
+    # Nor can those that would lack confidence if all their instances were accepted.
+    able = total.join(wide, "left").filter(F.col("most") / F.col("total") >= CONFIDENT)
+    pairs = stored(
+        graph.join(able.drop("most"), "left").withColumn("score", F.col("seed").cast("double"))
+    )
     sure = F.col("score") >= ACCEPTED
-    for _ in range(ROUNDS):
+    moved = True
+    while moved:
         confidence = pairs.groupBy("left").agg(
             # What is not accepted yet counts as no identifier, so that doubt can't feed itself.
             (F.sum(F.when(sure, F.col("n") * F.col("score")).otherwise(0.0)) / F.max("total")).alias(
@@ -191,7 +198,7 @@ def context_spans(docs: DataFrame) -> DataFrame:
             (F.col("values") >= LEAST_VALUES) & (F.col("confidence") >= CONFIDENT),
             F.least(F.col("confidence"), F.lit(1 - 1e-9)),
         ).otherwise(0.0)
-        rated = pairs.drop("score").join(confidence.select("left", held.alias("confidence")), "left")
+        rated = pairs.withColumnRenamed("score", "was").join(confidence.select("left", held.alias("confidence")), "left")
         scores = rated.groupBy("value").agg(
             F.max("seed").alias("is_seed"),
             (1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("or"),
@@ -207,7 +214,9 @@ def context_spans(docs: DataFrame) -> DataFrame:
         accepted = pairs.filter(
             (F.col("seed") == 0) & (F.col("confidence") > 0) & (F.col("score") >= ACCEPTED)
         ).select("left", "value")
-        pairs = pairs.drop("confidence")
+        more = F.col("score") - F.col("was") > SETTLED
+        moved = not pairs.filter(more | (sure & (F.col("was") < ACCEPTED))).isEmpty()
+        pairs = pairs.drop("confidence", "was")
     chosen = broadcast_if_small(stored(accepted))
     span = F.struct(
         "start", "end", F.lit(len(KINDS)).alias("place"), F.lit("context").alias("kind")
