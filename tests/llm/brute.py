@@ -95,35 +95,54 @@ def pii(text):
     return [f"{kind}:{start}:{end}" for start, _, end, kind in out]
 
 
+def bare(word):
+    return re.sub(r"^[\W_]+", "", word.lower()) or word.lower()
+
+
+def label_after(found, i):
+    """The last word before the ``i``-th without a digit or @, and the number of words since."""
+    k = 0
+    while k < i and re.search("[0-9@]", found[i - 1 - k][0]):
+        k += 1
+    return (bare(found[i - 1 - k][0]), k) if k < i else None
+
+
 def patterns(found, i):
-    """The patterns of the ``i``-th word of a text: the word before it."""
-    before = found[i - 1][0] if i else "0"
-    return [] if re.search("[0-9@]", before) else [re.sub(r"^[\W_]+", "", before.lower())]
+    """The word before the ``i``-th of a text; after instances, also their label and number."""
+    label = label_after(found, i)
+    out = [bare(found[i - 1][0])] if i else []
+    return out + [label] if label and label[1] else out
 
 
 def contexts(docs, least=3, confident=0.5, accepted=0.7):
     """{(doc_id, start, end)} of context spans: the bootstrap over all words, to its fixed point."""
-    total, pairs, seeds, spots = Counter(), Counter(), set(), []
+    total, pairs, seeds, inner, spots = Counter(), Counter(), set(), set(), []
     for doc_id, text in docs:
         base = [tuple(map(int, s.split(":")[1:])) for s in pii(text)]
         found = list(WORD.finditer(text or ""))
-        total.update(re.sub(r"^[\W_]+", "", m[0].lower()) for m in found)
+        total.update(bare(m[0]) for m in found)
+        total.update(patterns([*found, "?"], i + 1)[-1] for i, m in enumerate(found) if (
+            re.search("[0-9@]", m[0]) and label_after([*found, "?"], i + 1)
+        ))
         for i, m in enumerate(found):
             value = re.sub(r"^[\W_]+|[\W_]+$", "", m[0].lower())
             if not value or not re.search("[0-9@]", m[0]):
                 continue
-            covered = any(a < m.end() and b > m.start() for a, b in base)
+            under = [a for a, b in base if a < m.end() and b > m.start()]
+            covered, begins = bool(under), any(a >= m.start() for a in under)
+            seeds |= {value} if begins else set()
             start = m.start() + len(re.match(r"[\W_]*", m[0])[0])
-            for p in filter(None, patterns(found, i)):
+            for p in patterns(found, i):
                 pairs[p, value] += 1
-                seeds |= {value} if covered else set()
+                inner |= {(p, value)} if covered and not begins else set()
                 spots.append((doc_id, start, start + len(value), p, value, covered))
     score, sure = {v: float(v in seeds) for _, v in pairs}, {}
     while True:
         hits, values, odds = Counter(), Counter(), defaultdict(lambda: 1.0)
         for (p, v), n in pairs.items():
-            if score[v] >= accepted:
-                hits[p] += n * score[v]
+            mark = 1.0 if (p, v) in inner else score[v]
+            if mark >= accepted:
+                hits[p] += n * mark
                 values[p] += 1
         sure = {
             p: min(hits[p] / total[p], 1 - 1e-9)
@@ -137,7 +156,7 @@ def contexts(docs, least=3, confident=0.5, accepted=0.7):
         score = after
     return {
         (i, start, end) for i, start, end, p, v, covered in spots
-        if not covered and p in sure and score[v] >= accepted
+        if not covered and p in sure and ((p, v) in inner or score[v] >= accepted)
     }
 
 

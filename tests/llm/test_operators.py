@@ -212,6 +212,24 @@ def test_contexts_reach_patterns_without_seeds(spark):
     }
 
 
+def test_contexts_after_other_instances(spark):
+    """Second ones of a list, labels with a digit, groups of digits, labels of marks alone."""
+    rows = [(i, f"email: a{i}@b.cd, c{i}@x.org so") for i in range(20)]
+    rows += [(100, "email: a1@b.cd, u4[at]x.org so"), (101, "email: a1@b.cd, u5[at]x.org, u6@x")]
+    rows += [(200 + i, f"call tel2: +{i + 1} {200 + i} {555 - i} {i:04}") for i in range(20)]
+    rows += [(300, "tel2: 555-1234"), (301, "call tel2: 303 777 9999 1234 and")]
+    rows += [(400 + i, f"by = e{i}@b.cd and") for i in range(9)] + [(500, "by = e9[at]b.cd and")]
+    rows += [(600 + i, f"@ f{i}@b.cd and") for i in range(9)] + [(700, "@ f9[at]b.cd and")]
+    found = _contexts(spark, rows)
+    assert found == brute.contexts(rows)
+    texts = dict(rows)
+    words = {(i, texts[i][a:b]) for i, a, b in found}
+    assert words >= {
+        (100, "u4[at]x.org"), (101, "u5[at]x.org"), (300, "555-1234"), (301, "303"), (301, "777"),
+        (301, "9999"), (301, "1234"), (500, "e9[at]b.cd"), (700, "f9[at]b.cd"),
+    }
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_contexts_of_random_texts(spark, seed):
     rng = random.Random(seed)

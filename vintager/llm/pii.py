@@ -5,9 +5,11 @@ split at the same expression: the lengths of gaps and matches are the places. Ev
 only start where a run starts or where the last match ended, and repeats possessively, which finds
 the same spans in linear time.
 
-Bootstrapping: words with a digit or an @ are instances, those under a base span are seeds. The word
-before an instance is its pattern. A pattern's confidence is the summed score of its instances over
-all occurrences of that word in the corpus; an instance's score is the noisy or of its patterns'
+Bootstrapping: words with a digit or an @ are instances, those under a base span are seeds (the later
+words of a span, only where they stand). The word before an instance is its pattern, also if it is an
+instance itself; then "label #k" is a second one, for the last other word and the k instances since.
+Without a word before it, an instance has no pattern. A pattern's confidence is the summed score of its instances over
+all occurrences of that word, or of that label with k instances, in the corpus; an instance's score is the noisy or of its patterns'
 confidence, and 1 for a seed. Both are computed in turn over the aggregated graph of (pattern,
 instance) pairs; they only rise, and rounds go on until no score does, so a pattern without seeds
 counts once others have its instances accepted. Instances with a score over the threshold that follow a confident pattern (enough
@@ -38,6 +40,7 @@ EXPRESSIONS = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 INSTANCE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+RUN = INSTANCE + r"(?:[\x20\x09-\x0D]++[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)*+"
 EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 
 LEAST_VALUES = 3
@@ -133,38 +136,69 @@ def with_base(docs: DataFrame) -> DataFrame:
 
 
 def _instances(docs: DataFrame) -> DataFrame:
-    """(doc, ver, start, end, value, left, seed) per word with a digit or @."""
+    """(doc, ver, covered, begins, start, end, value, label, place, previous) of every instance.
+
+    A run is a sequence of instances with nothing else between; label is the word before it, place
+    counts the run's earlier instances, and previous is the one just before.
+    """
     body = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select(
         doc_key().alias("doc"), text_version().alias("ver"), "text", "base"
     )
-    found = located(slim, body, INSTANCE, "__words", body.rlike("[0-9@]"))
-    rows = found.select("doc", "ver", "base", F.posexplode("__words").alias("i", "w"))
-    # Words before it: the last of the gap. A gap of blanks means another instance comes first.
-    left = F.regexp_extract(F.col("w.gap"), r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 1)
-    under = F.expr("filter(base, s -> s.start < w.end AND s.end > w.start)")
+    runs = located(slim, body, RUN, "__runs", body.rlike("[0-9@]")).select(
+        "doc", "ver", "base", F.explode("__runs").alias("run")
+    )
+    label = F.regexp_extract(F.col("run.gap"), rf"({WORD})[\x20\x09-\x0D]+$", 1)
+    listed = located(runs, F.col("run.match"), WORD, "__words", F.lit(True)).select(
+        "doc", "ver", "base", F.col("run.start").alias("from"), label.alias("label"),
+        F.transform(
+            "__words",
+            lambda w, i: w.withField("previous", F.get("__words", i - 1)["match"]),
+        ).alias("__words"),
+    )
+    rows = listed.select(
+        "doc", "ver", "base", "from", "label", F.posexplode("__words").alias("place", "w")
+    ).withColumns({"begin": F.col("from") + F.col("w.start"), "stop": F.col("from") + F.col("w.end")})
+    under = F.expr("filter(base, s -> s.start < stop AND s.end > begin)")
     value = F.regexp_replace(F.lower("w.match"), EDGES, "")
     return rows.select(
         "doc", "ver",
-        (F.col("w.start") + F.length(F.regexp_extract("w.match", r"^[^\p{L}\p{N}]*", 0))).alias("start"),
-        value.alias("value"), _pattern(left).alias("left"),
+        (F.col("begin") + F.length(F.regexp_extract("w.match", r"^[^\p{L}\p{N}]*", 0))).alias("start"),
+        value.alias("value"), _pattern(F.col("label")).alias("label"), "place",
+        _pattern(F.col("w.previous")).alias("previous"),
         (F.size(under) > 0).alias("covered"),
-        F.exists(under, lambda s: s["start"] >= F.col("w.start")).alias("begins"),
-    ).withColumn("end", F.col("start") + F.length("value")).filter(
-        (F.col("value") != "") & (F.col("left") != "") & (~F.col("covered") | F.col("begins"))
-    )
+        F.exists(under, lambda s: s["start"] >= F.col("begin")).alias("begins"),
+    ).withColumn("end", F.col("start") + F.length("value"))
 
 
 def _pattern(word: Column) -> Column:
-    return F.regexp_replace(F.lower(word), r"^[^\p{L}\p{N}]+", "")
+    """The word in lower case without leading marks, unless it has nothing else."""
+    bare = F.regexp_replace(F.lower(word), r"^[^\p{L}\p{N}]+", "")
+    return F.when(bare == "", F.lower(word)).otherwise(bare)
+
+
+def _after(label: Column, place: Column) -> Column:
+    """The pattern of a label and ``place`` instances after it; no word has a blank."""
+    return F.concat(label, F.lit(" #"), place)
 
 
 def context_spans(docs: DataFrame) -> DataFrame:
     """(doc, ver, extra): spans that confident contexts add; ``docs`` has base spans."""
-    found = stored(_instances(docs))
+    spots = stored(_instances(docs))
+    labelled = F.when(F.col("label") != "", F.when(F.col("place") == 0, F.col("label")).otherwise(
+        _after(F.col("label"), F.col("place"))
+    ))
+    found = (
+        spots.filter(F.col("value") != "")
+        .withColumn("left", F.explode(F.array(labelled, F.col("previous"))))
+        .filter(F.col("left").isNotNull())
+    )
     graph = stored(
         found.groupBy("left", "value").agg(
-            F.count("*").alias("n"), F.max(F.col("covered").cast("int")).alias("seed")
+            F.count("*").alias("n"),
+            # The later words of a base span, which may be few digits, are seeds of their pattern only.
+            F.max((F.col("covered") & ~F.col("begins")).cast("int")).alias("inner"),
+            F.min(F.col("covered").cast("int")).alias("all_covered"),
         )
     )
     # Patterns with enough different values, accepted or not; the others can't become confident.
@@ -174,15 +208,22 @@ def context_spans(docs: DataFrame) -> DataFrame:
     )
     body = F.coalesce(F.col("text"), F.lit(""))
     words = docs.select(F.explode(F.regexp_extract_all(body, F.lit(f"({WORD})"), F.lit(1))).alias("w"))
+    ends = spots.filter(F.col("label") != "").select(
+        _after(F.col("label"), F.col("place") + 1).alias("left")
+    )
     total = stored(
-        words.select(_pattern(F.col("w")).alias("left"))
+        words.select(_pattern(F.col("w")).alias("left")).union(ends)
         .join(broadcast_if_small(wide), "left", "left_semi")
         .groupBy("left").agg(F.count("*").alias("total"))
     )
     # Nor can those that would lack confidence if all their instances were accepted.
     able = total.join(wide, "left").filter(F.col("most") / F.col("total") >= CONFIDENT)
+    # Seeds are so wherever they stand, also after words that are no pattern.
+    seeds = spots.filter("begins AND value <> ''").select("value", F.lit(1).alias("seed")).distinct()
     pairs = stored(
-        graph.join(able.drop("most"), "left").withColumn("score", F.col("seed").cast("double"))
+        graph.join(able.drop("most"), "left").join(seeds, "value", "left")
+        .fillna(0, ["seed"])
+        .withColumn("score", F.greatest("seed", "inner").cast("double"))
     )
     sure = F.col("score") >= ACCEPTED
     moved = True
@@ -198,21 +239,16 @@ def context_spans(docs: DataFrame) -> DataFrame:
             (F.col("values") >= LEAST_VALUES) & (F.col("confidence") >= CONFIDENT),
             F.least(F.col("confidence"), F.lit(1 - 1e-9)),
         ).otherwise(0.0)
-        rated = pairs.withColumnRenamed("score", "was").join(confidence.select("left", held.alias("confidence")), "left")
+        rated = pairs.withColumnRenamed("score", "was").join(
+            confidence.select("left", held.alias("confidence")), "left"
+        )
         scores = rated.groupBy("value").agg(
-            F.max("seed").alias("is_seed"),
             (1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("or"),
         )
-        pairs = stored(
-            rated.join(
-                scores.select(
-                    "value", F.when(F.col("is_seed") == 1, 1.0).otherwise(F.col("or")).alias("score")
-                ),
-                "value",
-            )
-        )
+        score = F.when((F.col("seed") == 1) | (F.col("inner") == 1), 1.0).otherwise(F.col("or"))
+        pairs = stored(rated.join(scores, "value").withColumn("score", score).drop("or"))
         accepted = pairs.filter(
-            (F.col("seed") == 0) & (F.col("confidence") > 0) & (F.col("score") >= ACCEPTED)
+            (F.col("all_covered") == 0) & (F.col("confidence") > 0) & (F.col("score") >= ACCEPTED)
         ).select("left", "value")
         more = F.col("score") - F.col("was") > SETTLED
         moved = not pairs.filter(more | (sure & (F.col("was") < ACCEPTED))).isEmpty()
