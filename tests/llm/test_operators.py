@@ -247,6 +247,15 @@ def test_contexts_of_random_texts(spark, seed):
     assert _contexts(spark, rows) == brute.contexts(rows)
 
 
+def test_context_spans_are_broadcast_by_their_number(spark, monkeypatch):
+    one = spark.sql("SELECT 1L AS doc, 2L AS ver, array(1, 2, 3) AS extra")
+    hinted = lambda: "ResolvedHint" in pii._checked(one)._jdf.queryExecution().analyzed().toString()
+    assert hinted()
+    monkeypatch.setattr(pii, "BROADCAST_SPANS", 2)
+    assert not hinted()
+    assert pii._checked(one.limit(0)).collect() == []
+
+
 def test_redaction(spark):
     rows = [(1, "a@b.cd or 4111 1111 1111 1111!", 30), (2, None, 0), (3, "1.2.3.4@x.yz", 12), (4, "no", 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")

@@ -48,6 +48,8 @@ CONFIDENT = 0.5
 ACCEPTED = 0.7
 # Scores that rise by less in a round have settled.
 SETTLED = 1e-9
+# Context spans of all documents that are broadcast; a span is some 60 bytes.
+BROADCAST_SPANS = 100_000
 SPAN = "array<struct<start:long,end:long,place:int,kind:string>>"
 
 
@@ -263,10 +265,16 @@ def context_spans(docs: DataFrame) -> DataFrame:
     )
 
 
+def _checked(extra: DataFrame) -> DataFrame:
+    """Broadcast ``extra`` if its spans, not only its rows, are few; else AQE joins by a shuffle."""
+    total = extra.agg(F.sum(F.size("extra"))).first()[0] or 0
+    return F.broadcast(extra) if total <= BROADCAST_SPANS else extra
+
+
 def found(docs: DataFrame) -> DataFrame:
     """``docs`` with ``base`` and ``spans``, arrays of (start, end, place, kind) in order."""
     based = with_base(docs.drop("base", "spans"))
-    extra = broadcast_if_small(stored(context_spans(based)))
+    extra = _checked(stored(context_spans(based)))
     side = extra.withColumnsRenamed({"doc": "__doc", "ver": "__ver"})
     on = (doc_key() == F.col("__doc")) & (text_version() == F.col("__ver"))
     joined = based.join(side, on, "left").drop("__doc", "__ver")
