@@ -309,6 +309,8 @@ def reported(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets, and n_chars to match."""
     columns = docs.columns
+    # Columns of the input that have the names of columns made here stay as they are.
+    own = {c: f"__own_{c}" for c in ("base", "spans", "extra") if c in columns}
     begun = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -320,7 +322,7 @@ def redacted(docs: DataFrame) -> DataFrame:
             F.when(fresh, more).otherwise(acc["out"]).alias("out"),
         )
 
-    rows = found(docs).withColumn(
+    rows = found(docs.withColumnsRenamed(own)).withColumn(
         "__done", F.when(F.size("spans") > 0, F.aggregate("spans", begun, step))
     )
     rest = F.expr("substring(text, cast(__done.at as int) + 1)")
@@ -332,4 +334,4 @@ def redacted(docs: DataFrame) -> DataFrame:
     if "n_chars" in columns:
         changed = F.length("__text").cast(docs.schema["n_chars"].dataType)
         out["n_chars"] = F.when(F.col("__done").isNotNull(), changed).otherwise(F.col("n_chars"))
-    return rows.withColumns(out).select(*columns)
+    return rows.withColumns(out).select(*[F.col(own.get(c, c)).alias(c) for c in columns])
