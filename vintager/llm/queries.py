@@ -6,12 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vintager.llm import (
-    chat, decontaminate, mixing, oracle, pii, prefix_doubling, quality, recompression, sketch_join,
-    toxicity, warc,
+    alignment, chat, decontaminate, mixing, oracle, pieces, pii, prefix_doubling, quality,
+    recompression, repair, sketch_join, toxicity, warc,
 )
 from vintager.llm.common import table
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -64,6 +70,24 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(turns.unionByName(probe)))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_file("piece_bpe_32k.model")
+    ids = pieces.encoded(table(spark, sf_dir, "documents"), model)
+    return pieces.digested(pieces.decoded(ids, model))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repair.damaged(table(spark, sf_dir, "conversations"))
+    return repair.digested(repair.audited(rows, "present"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.scored(
+        table(spark, sf_dir, "documents"),
+        tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +98,8 @@ def queries() -> dict:
     own = (
         op1_decontamination, op2_warc, op3_toxicity, op4_jaccard_join, op5_pii,
         op6_substring_dedup, op7_mixing, op8_quality_rules, op9_suffix_dedup,
-        op10_chat_formatting, pipeline,
+        op10_chat_formatting, op11_sentencepiece, op12_conversation_repair,
+        op13_tokenizer_alignment, pipeline,
     )
     return {f.__name__: f for f in own}
 
