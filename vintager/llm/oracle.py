@@ -154,6 +154,93 @@ SELECT conv_id, n_turns, sha256(body) AS turns_sha256, length(learned) AS loss_c
 FROM summed
 """
 
+REPAIR = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k:
+      CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v
+    FROM range(256) AS r(i))),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(conv_id || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+      lambda x: CAST(ascii(x) AS BIGINT)) AS codes
+  FROM conversations),
+fated AS (
+  SELECT conv_id, turn, role, text,
+    xor(list_reduce(list_prepend(4294967295, codes),
+      lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS fate
+  FROM keyed, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END
+      AS text
+  FROM fated, range(2) AS r(copy)
+  WHERE fate <> 0 AND (copy = 0 OR fate = 3)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    left(role, 1) AS x, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said
+  FROM damaged),
+faults AS (
+  SELECT *, CASE WHEN said = '' THEN 'b'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+      WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+    lag(x) OVER (PARTITION BY conv_id ORDER BY i) || x AS pair
+  FROM placed),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+    count(*) FILTER (WHERE fault = 't') AS truncated,
+    count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM faults GROUP BY conv_id),
+best(conv_id, i, none, led, pair, half) AS (
+  SELECT conv_id, n + 1, {'c': 0, 'e': ''}, {'c': 6, 'e': 'II'}, {'c': 0, 'e': ''}, {'c': 3, 'e': 'I'}
+  FROM counted
+  UNION ALL
+  SELECT conv_id, i,
+    list_min([b0, {'c': h.c + 3, 'e': 'I' || h.e}]), list_min([b1, {'c': h.c + 3, 'e': 'I' || h.e}]),
+    list_min([b2, {'c': b3.c + 3, 'e': 'I' || b3.e}]), h
+  FROM (
+    SELECT *, list_min([b3, {'c': b2.c + 3, 'e': 'I' || b2.e}]) AS h FROM (
+      SELECT conv_id, i,
+        list_min([{'c': none.c + 4, 'e': 'D' || none.e}, u,
+          {'c': led.c + extra + CASE WHEN x = 's' THEN 0 ELSE 1000000 END, 'e': 'K' || led.e}]) AS b0,
+        list_min([{'c': led.c + 4, 'e': 'D' || led.e}, u]) AS b1,
+        list_min([{'c': pair.c + 4, 'e': 'D' || pair.e}, u]) AS b2,
+        list_min([{'c': half.c + 4, 'e': 'D' || half.e}, a]) AS b3
+      FROM (
+        SELECT best.*, f.i AS i, x, extra,
+          {'c': half.c + extra + CASE WHEN x = 'u' THEN 0 ELSE 3 END,
+           'e': CASE WHEN x = 'u' THEN 'K' ELSE 'R' END || half.e} AS u,
+          {'c': pair.c + extra + CASE WHEN x = 'a' THEN 0 ELSE 3 END,
+           'e': CASE WHEN x = 'a' THEN 'K' ELSE 'R' END || pair.e} AS a
+        FROM (SELECT conv_id, i AS after, none, led, pair, half FROM best) AS best
+        JOIN (
+          SELECT conv_id AS conv, i, x,
+            CASE fault WHEN '' THEN 0 WHEN 't' THEN 3 ELSE 1000000 END AS extra
+          FROM faults) AS f ON f.conv = best.conv_id AND f.i = after - 1)))),
+repairs AS (SELECT conv_id, none.c AS cost, none.e AS audit FROM best WHERE i = 1),
+edits AS (
+  SELECT conv_id, p, substr(audit, p, 1) AS edit FROM (
+    SELECT conv_id, audit, CAST(unnest(range(1, length(audit) + 1)) AS BIGINT) AS p FROM repairs)),
+numbered AS (
+  SELECT *, count(*) FILTER (WHERE edit <> 'I') OVER (PARTITION BY conv_id ORDER BY p) AS i,
+    count(*) FILTER (WHERE edit <> 'D') OVER (PARTITION BY conv_id ORDER BY p DESC) AS k
+  FROM edits),
+lines AS (
+  SELECT numbered.conv_id, string_agg(
+      CASE WHEN edit = 'K' THEN role WHEN k % 2 = 1 THEN 'assistant' ELSE 'user' END || ':'
+      || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS body
+  FROM numbered LEFT JOIN faults ON faults.conv_id = numbered.conv_id AND faults.i = numbered.i
+  WHERE edit <> 'D' GROUP BY numbered.conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank,
+  coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS o
+LEFT JOIN counted ON counted.conv_id = o.conv_id LEFT JOIN repairs ON repairs.conv_id = o.conv_id
+LEFT JOIN lines ON lines.conv_id = o.conv_id
+"""
+
 ALL = {
     "op2_warc": WARC,
     "op4_jaccard_join": JACCARD,
@@ -161,4 +248,5 @@ ALL = {
     "op8_quality_rules": QUALITY,
     "op9_suffix_dedup": BYTE_REPEATS,
     "op10_chat_formatting": CHAT,
+    "op12_conversation_repair": REPAIR,
 }
