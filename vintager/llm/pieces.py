@@ -6,9 +6,11 @@ Characters that are no piece become their bytes' pieces. Decoding joins the piec
 Arrow batch the ids and the decoded texts are compared with those of the sentencepiece library; a
 difference stops the job with the document's id.
 
-Two adjacent characters that no piece of the vocabulary holds next to each other can never be merged
-across, so a text is cut there and each stretch has an agenda of its own; what a stretch gave is kept
-for its next occurrence, within a bound. The result is the agenda's over the whole text.
+Where no piece holds a space after another character, nothing can be merged across the start of a
+run of spaces, so a text is cut there and each stretch has an agenda of its own; the result is the
+agenda's over the whole text. The agendas of all new stretches of an Arrow batch are worked off side
+by side in numpy, one merge of each at a time; a long stretch has a heap of its own. What a stretch
+gave is kept for its next occurrence, within a bound.
 
 The model file is read in the driver and its bytes travel with the function, so executors need no
 file. Models are refused by name that are not of merge type, have no byte pieces, change characters
@@ -39,8 +41,10 @@ SPACE = "▁"
 MERGES = 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 ENCODED = "doc_id long, ids array<int>"
-# Stretches of up to so many characters are remembered, and so many of them.
-REMEMBERED_CHARS, REMEMBERED = 48, 1 << 18
+DECODED = "doc_id long, ids array<int>, text string"
+NEVER = np.iinfo(np.int64).max
+# Stretches of up to so many characters are merged side by side and remembered, about so many.
+SHORT, REMEMBERED = 40, 1 << 18
 
 
 class PieceModel:
@@ -78,21 +82,134 @@ class PieceModel:
                 self.byte_ids[value] = i
                 self.surface.append(bytes([value]))
             elif p.type == CONTROL:
-                self.ids[p.piece] = i
                 self.surface.append(b"")
             elif p.type == UNKNOWN:
                 self.surface.append(spec.trainer_spec.unk_surface.encode())
             else:
                 self.surface.append(p.piece.replace(SPACE, " ").encode())
         self.opens = np.array([p.type == NORMAL and p.piece[:1] == SPACE for p in spec.pieces])
-        self.neighbours = {p[i : i + 2] for p in self.order for i in range(len(p) - 1)}
-        # Where no piece goes on with a space after another character, a space opens a stretch.
-        inner = any(pair[1] == SPACE != pair[0] for pair in self.neighbours)
+        inner = any(SPACE in p.lstrip(SPACE) for p in self.order)
         self.stretches = re.compile(r"(?s).+" if inner else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-        self.known = _Known(self)
+        self.known: dict[str, bytes] = {}
+        self._index_pairs()
+
+    def _index_pairs(self) -> None:
+        """Every pair of symbols that makes a piece, with the piece's place in the order of scores.
+
+        A symbol is a piece's id, or for a character that is no piece ``base`` plus its code point.
+        """
+        self.base = len(self.surface)
+        self.symbols = np.arange(self.base, self.base + 0x110000, dtype=np.int64)
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.symbols[ord(piece)] = i
+        self.span = self.base + 0x110000
+        ranks = dict(zip(sorted(set(self.order.values())), range(len(self.order)), strict=False))
+        keys, rank, into = [], [], []
+
+        def symbol(part: str) -> int | None:
+            return int(self.symbols[ord(part)]) if len(part) == 1 else self.ids.get(part)
+
+        for piece, i in self.ids.items():
+            for cut in range(1, len(piece)):
+                left, right = symbol(piece[:cut]), symbol(piece[cut:])
+                if left is not None and right is not None:
+                    keys.append(left * self.span + right)
+                    rank.append(ranks[self.order[piece]])
+                    into.append(i)
+        order = np.argsort(np.array(keys, np.int64))
+        self.pair_keys = np.append(np.array(keys, np.int64)[order], np.iinfo(np.int64).max)
+        self.pair_rank = np.append(np.array(rank, np.int64)[order], NEVER)
+        self.pair_into = np.append(np.array(into, np.int64)[order], 0)
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (NEVER if they make no piece) and piece of each pair of symbols."""
+        keys = left * self.span + right
+        place = np.searchsorted(self.pair_keys, keys)
+        found = self.pair_keys[place] == keys
+        return np.where(found, self.pair_rank[place], NEVER), self.pair_into[place]
+
+    def merged_together(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols that are left of all stretches, and the stretch of each, in order."""
+        counts = np.array([len(x) for x in stretches], np.int64)
+        points = np.frombuffer("".join(stretches).encode("utf-32-le"), "<u4")
+        symbol, owner = self.symbols[points], np.repeat(np.arange(len(counts)), counts)
+        rank = np.full(len(symbol), NEVER, np.int64)
+        into = np.zeros(len(symbol), np.int64)
+        inside = np.flatnonzero(owner[1:] == owner[:-1])
+        rank[inside], into[inside] = self._pairs(symbol[inside], symbol[inside + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(symbol):
+            start = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            lowest = np.repeat(np.minimum.reduceat(rank, start), np.diff(np.append(start, len(owner))))
+            open_ = lowest < NEVER
+            if not open_.all():
+                done.append((owner[~open_], symbol[~open_]))
+                symbol, owner, rank, into, lowest = (
+                    x[open_] for x in (symbol, owner, rank, into, lowest)
+                )
+                if not len(symbol):
+                    break
+            hit = np.flatnonzero(rank == lowest)
+            hit = hit[np.append(True, owner[hit][1:] != owner[hit][:-1])]
+            symbol[hit] = into[hit]
+            rest = np.ones(len(symbol), bool)
+            rest[hit + 1] = False
+            symbol, owner = symbol[rest], owner[rest]
+            # The merged symbol has the pair of the one it took in until its own is looked up.
+            rank[hit], into[hit] = rank[hit + 1], into[hit + 1]
+            rank, into = rank[rest], into[rest]
+            at = hit - np.arange(len(hit))
+            for left in (at, at - 1):
+                left = left[(left >= 0) & (left + 1 < len(owner))]
+                left = left[owner[left] == owner[left + 1]]
+                rank[left], into[left] = self._pairs(symbol[left], symbol[left + 1])
+        owner = np.concatenate([x for x, _ in done]) if done else np.zeros(0, np.int64)
+        symbol = np.concatenate([x for _, x in done]) if done else np.zeros(0, np.int64)
+        order = np.argsort(owner, kind="stable")
+        return symbol[order], owner[order]
+
+    def _ids_together(self, stretches: list[str]) -> list[bytes]:
+        """The ids of each stretch, as the bytes of 32-bit integers."""
+        symbol, owner = self.merged_together(stretches)
+        plain = symbol < self.base
+        if not plain.all():
+            foreign = {
+                int(x): [self.byte_ids[b] for b in chr(int(x) - self.base).encode()]
+                for x in np.unique(symbol[~plain])
+            }
+            lists = [[x] if x < self.base else foreign[x] for x in symbol.tolist()]
+            owner = np.repeat(owner, [len(x) for x in lists])
+            symbol = np.array([i for x in lists for i in x], np.int64)
+        raw = symbol.astype(np.int32).tobytes()
+        cuts = (4 * np.searchsorted(owner, np.arange(len(stretches) + 1))).tolist()
+        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text and the end id."""
+        rows = [self.stretches((self.prefix + t).replace(" ", SPACE)) if t else [] for t in texts]
+        wanted = set().union(*rows)
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = [x for x in wanted if x not in self.known]
+        short = [x for x in new if len(x) <= SHORT]
+        self.known.update(zip(short, self._ids_together(short), strict=True))
+        long = [x for x in new if len(x) > SHORT]
+        for x in long:
+            ids = [self.ids.get(s) or [self.byte_ids[b] for b in s.encode()] for s in self.merged(x)]
+            flat = [i for y in ids for i in (y if isinstance(y, list) else [y])]
+            self.known[x] = np.array(flat, np.int32).tobytes()
+        end = np.array([self.end], np.int32).tobytes()
+        out = [np.frombuffer(b"".join(map(self.known.__getitem__, r)) + end, np.int32) for r in rows]
+        for x in long:
+            del self.known[x]
+        return out
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_batch([text])[0]
 
     def merged(self, text: str) -> list[str]:
-        """The symbols that are left when no adjacent pair of symbols is a piece."""
+        """The symbols that are left of one stretch of any length, with the agenda as a heap."""
         n, order = len(text), self.order
         symbols: list[str] = list(text)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -121,28 +238,6 @@ class PieceModel:
                     heappush(agenda, (order[longer], leader, longer))
         return [s for s in symbols if s]
 
-    def stretch_ids(self, stretch: str) -> bytes:
-        """The ids of a stretch, as the bytes of 32-bit integers."""
-        out: list[int] = []
-        start = 0
-        for i in range(1, len(stretch) + 1):
-            if i < len(stretch) and stretch[i - 1 : i + 1] in self.neighbours:
-                continue
-            for symbol in self.merged(stretch[start:i]):
-                found = self.ids.get(symbol)
-                if found is None:
-                    out += [self.byte_ids[b] for b in symbol.encode()]
-                else:
-                    out.append(found)
-            start = i
-        return np.array(out, np.int32).tobytes()
-
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of a text and the end id."""
-        escaped = (self.prefix + text).replace(" ", SPACE) if text else ""
-        raw = b"".join(map(self.known.__getitem__, self.stretches(escaped)))
-        return np.append(np.frombuffer(raw, np.int32), np.int32(self.end))
-
     def decode(self, ids: np.ndarray) -> str:
         kind = self.kind[ids]
         said = np.flatnonzero(kind != CONTROL)
@@ -168,22 +263,6 @@ class PieceModel:
         return "".join(out)
 
 
-class _Known(dict):
-    """Ids of stretches, found when first asked for; emptied when it holds too many."""
-
-    def __init__(self, model: PieceModel):
-        super().__init__()
-        self.model = model
-
-    def __missing__(self, stretch: str) -> bytes:
-        ids = self.model.stretch_ids(stretch)
-        if len(stretch) <= REMEMBERED_CHARS:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[stretch] = ids
-        return ids
-
-
 def _lenient(raw: bytes) -> str:
     out = ""
     while raw:
@@ -212,56 +291,78 @@ def read_model(path: str) -> bytes:
         return file.read()
 
 
-def encoded(docs: DataFrame, path: str, check: bool = True) -> DataFrame:
+def _checked_ids(model: PieceModel, texts: list[str], doc_ids: pa.Array) -> list[np.ndarray]:
+    """The ids of the texts of an Arrow batch; an error where the library has others."""
+    rows = model.encode_batch(texts)
+    library = model.library.encode(texts, add_eos=True, num_threads=1, out_type="numpy")
+    for i, (own, theirs) in enumerate(zip(rows, library, strict=True)):
+        if not np.array_equal(own, theirs):
+            raise ValueError(f"Ids differ from the library's: document {doc_ids[i]}")
+    return rows
+
+
+def _checked_texts(model: PieceModel, rows: list[np.ndarray], doc_ids: pa.Array) -> list[str]:
+    """The decoded texts of an Arrow batch; an error where the library has others."""
+    texts = [model.decode(ids) for ids in rows]
+    library = model.library.decode([ids.tolist() for ids in rows]) if rows else []
+    for i, (own, theirs) in enumerate(zip(texts, library, strict=True)):
+        if own != theirs:
+            raise ValueError(f"Text differs from the library's: document {doc_ids[i]}")
+    return texts
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)])
+    flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+
+
+def encoded(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids) per row of docs, equal to the library's ids with the end id."""
+    return _coded(docs, path, both=False)
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids, text) per row of docs: its ids, and what they decode to, in one pass."""
+    return _coded(docs, path, both=True)
+
+
+def _coded(docs: DataFrame, path: str, both: bool) -> DataFrame:
     raw = read_model(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(raw)
         for batch in slices(batches):
+            doc_ids = batch.column("doc_id")
             texts = pc.fill_null(batch.column("text"), "").to_pylist()
-            rows = [model.encode(t) for t in texts]
-            if check:
-                library = model.library.encode(texts, add_eos=True, num_threads=1)
-                for i, (own, theirs) in enumerate(zip(rows, library, strict=True)):
-                    if own.tolist() != theirs:
-                        raise ValueError(f"Ids differ from the library's: {batch.column('doc_id')[i]}")
-            ends = np.cumsum([0, *map(len, rows)])
-            flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
+            rows = _checked_ids(model, texts, doc_ids)
+            columns = [doc_ids, _lists(rows)]
+            if both:
+                columns.append(pa.array(_checked_texts(model, rows, doc_ids), pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "text"][: len(columns)])
 
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return slim.mapInArrow(run, ENCODED)
-
-
-def _id_rows(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    ids = batch.column("ids")
-    flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
-    for start, end in zip(ends[:-1], ends[1:], strict=True):
-        yield flat[start:end]
+    return slim.mapInArrow(run, DECODED if both else ENCODED)
 
 
-def decoded(rows: DataFrame, path: str, check: bool = True) -> DataFrame:
+def decoded(rows: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, text) of encoded rows, the text equal to the library's; null ids count as none."""
     raw = read_model(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(raw)
         for batch in batches:
-            own = [model.decode(ids) for ids in _id_rows(batch)]
-            if check and own:
-                theirs = model.library.decode([ids.tolist() for ids in _id_rows(batch)])
-                for i, (a, b) in enumerate(zip(own, theirs, strict=True)):
-                    if a != b:
-                        raise ValueError(f"Text differs from the library's: {batch.column('doc_id')[i]}")
+            ids = batch.column("ids")
+            ends = ids.offsets.to_numpy()
+            flat = ids.values.to_numpy()
+            lists = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            texts = _checked_texts(model, lists, batch.column("doc_id"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("ids"), pa.array(own, pa.string())],
-                ["doc_id", "ids", "text"],
+                [batch.column("doc_id"), ids, pa.array(texts, pa.string())], ["doc_id", "ids", "text"]
             )
 
     slim = rows.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    return slim.mapInArrow(run, ENCODED + ", text string")
+    return slim.mapInArrow(run, DECODED)
 
 
 def digested(rows: DataFrame) -> DataFrame:

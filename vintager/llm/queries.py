@@ -72,8 +72,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_file("piece_bpe_32k.model")
-    ids = pieces.encoded(table(spark, sf_dir, "documents"), model)
-    return pieces.digested(pieces.decoded(ids, model))
+    return pieces.digested(pieces.round_trip(table(spark, sf_dir, "documents"), model))
 
 
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
