@@ -20,23 +20,23 @@ whatever their names, are left out. The files are read in the driver and travel
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import os
-import uuid
-from collections.abc import Iterator
-from itertools import chain
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintager.llm.common import slices
-from vintager.session import ensure_checkpoint_dir
+from vintager.llm.common import slices, written
 
 BLOCK = 1 << 21
+# What follows an id in the written groups: another id of its side, the other side, a group, nothing.
+MARKS = (b",", b"|", b";", b"")
 ALIGNED = (
     "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string,"
     " pairs array<long>, times array<int>"
@@ -54,14 +54,58 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class Pieces:
+    """Byte strings by number, laid end to end."""
+
+    def __init__(self, pieces: list[bytes]):
+        self.data = np.frombuffer(b"".join(pieces), np.uint8)
+        self.lengths = np.array([len(x) for x in pieces], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of these numbers as one array of bytes, and where each ends."""
+        lengths = self.lengths[numbers]
+        ends = np.cumsum(lengths)
+        if not len(ends):
+            return np.zeros(0, np.uint8), ends
+        place = np.repeat(self.starts[numbers] - (ends - lengths), lengths)
+        return self.data[place + np.arange(ends[-1])], ends
+
+
 class Side:
-    """A tokenizer's ids per text and the bytes of each id."""
+    """A tokenizer: the ids of texts, and the bytes that each id stands for."""
+
+    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], spelled: list[bytes]):
+        self.encode, self.size = encode, len(spelled)
+        self.spelled = Pieces(spelled)
+        # The decimal id with what follows it in the written groups; number = mark * size + id.
+        self.named = Pieces([b"%d%s" % (i, mark) for mark in MARKS for i in range(len(spelled))])
 
-    def __init__(self, encode, spelled: list[bytes]):
-        self.encode, self.spelled = encode, spelled
-        self.lengths = np.array([len(x) for x in spelled], np.int64)
-        # A token's id with what follows it in the written groups.
-        self.named = [[f"{i}{mark}" for i in range(len(spelled))] for mark in (",", "|", ";", "")]
+
+# A word boundary for every reading of the byte-level pattern: a space before a character that is
+# certainly not white space. What else stands after a space stays with what is before it.
+_SOLID = r"[!-~¡-\u167f\u1681-\u180d\u180f-\u1fff\u2070-\u2fff\u3001-\ufefe\uff00-\U0010ffff]"
+_UNSURE = re.compile(rf"(?:^|(?<= ))(?!{_SOLID})").search
+_SURE = re.compile(_SOLID).match
+REMEMBERED_CHARS, REMEMBERED = 40, 1 << 18
+
+
+def spaced_parts(text: str) -> list[str]:
+    """``text`` cut at spaces, so that the tokens of each part and the space before it are its own.
+
+    The byte-level pattern takes a space to the word that follows it, and of longer white space
+    the last space alone, whatever stands before.
+    """
+    parts = text.split(" ")
+    if _UNSURE(text) is None:
+        return parts
+    out = parts[:1]
+    for part in parts[1:]:
+        if _SURE(part):
+            out.append(part)
+        else:
+            out[-1] += " " + part
+    return out
 
 
 def side_a(file: bytes) -> Side:
@@ -75,9 +119,27 @@ def side_a(file: bytes) -> Side:
     for entry, i in tokenizer.get_vocab().items():
         spelled[i] = bytes(value[c] for c in entry) if all(c in value for c in entry) else b""
 
-    def encode(texts: list[str]) -> list[list[int]]:
+    def library(texts: list[str]) -> list[np.ndarray]:
         rows = tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        return [r.ids for r in rows]
+        return [np.array(r.ids, np.int32) for r in rows]
+
+    form = json.loads(file)
+    before = form["pre_tokenizer"] or {}
+    if form["normalizer"] or before.get("type") != "ByteLevel" or not before.get("use_regex", True):
+        return Side(library, spelled)
+    known: dict[str, bytes] = {}
+
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        rows = [spaced_parts(t) for t in texts]
+        if len(known) > REMEMBERED:
+            known.clear()
+        new = [x for x in set().union(*rows) if x not in known]
+        known.update(zip(new, (ids.tobytes() for ids in library(new)), strict=True))
+        out = [np.frombuffer(b"".join(map(known.__getitem__, r)), np.int32) for r in rows]
+        for part in new:
+            if len(part) > REMEMBERED_CHARS:
+                del known[part]
+        return out
 
     return Side(encode, spelled)
 
@@ -94,7 +156,7 @@ def side_b(file: bytes) -> Side:
             b"" if special else bytes([int(piece[3:5], 16)]) if model.is_byte(i)
             else piece.replace("▁", " ").encode()
         )
-    return Side(lambda texts: model.encode(texts, num_threads=1), spelled)
+    return Side(lambda texts: model.encode(texts, num_threads=1, out_type="numpy"), spelled)
 
 
 _sides: dict[str, tuple[Side, Side]] = {}
@@ -112,12 +174,17 @@ def sides(file_a: bytes, file_b: bytes) -> tuple[Side, Side]:
 class _Tokens:
     """The tokens of all texts of a batch: document, id and byte range in the texts' joined bytes."""
 
-    def __init__(self, side: Side, rows: list[list[int]]):
+    def __init__(self, side: Side, rows: list[np.ndarray]):
         self.counts = np.array([len(r) for r in rows], np.int64)
-        self.ids = np.fromiter(chain.from_iterable(rows), np.int64, int(self.counts.sum()))
+        self.ids = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
         self.doc = np.repeat(np.arange(len(rows)), self.counts)
-        self.ends = np.cumsum(side.lengths[self.ids])
-        self.starts = self.ends - side.lengths[self.ids]
+        self.bytes, self.ends = side.spelled.joined(self.ids)
+        self.starts = self.ends - side.spelled.lengths[self.ids]
+
+    def spell(self, lengths: np.ndarray, raw: np.ndarray) -> bool:
+        """Whether every document's tokens spell its text."""
+        own = np.bincount(self.doc, self.ends - self.starts, len(lengths))
+        return bool((own == lengths).all()) and np.array_equal(self.bytes, raw)
 
     def frame(self, name: str) -> pd.DataFrame:
         return pd.DataFrame(
@@ -140,7 +207,7 @@ def overlaps(a: _Tokens, b: _Tokens) -> tuple[np.ndarray, np.ndarray]:
 
 def _written_groups(
     a: _Tokens, b: _Tokens, side_1: Side, side_2: Side, n_docs: int
-) -> tuple[list[str], np.ndarray]:
+) -> tuple[list[bytes], np.ndarray]:
     """The groups of each document as text, and how many they are."""
     shared = np.intersect1d(a.ends, b.ends, assume_unique=True)
     group = np.concatenate([np.searchsorted(shared, a.ends), np.searchsorted(shared, b.ends)])
@@ -153,36 +220,51 @@ def _written_groups(
     closes = np.ones(len(ids), bool)
     closes[:-1] = doc[1:] != doc[:-1]
     mark = np.where(last, np.where(second == 0, 1, np.where(closes, 3, 2)), 0)
-    parts = [
-        (side_2 if s else side_1).named[m][i]
-        for i, m, s in zip(ids.tolist(), mark.tolist(), second.tolist(), strict=True)
-    ]
-    cuts = np.searchsorted(doc, np.arange(n_docs + 1)).tolist()
-    texts = ["".join(parts[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    # Both sides' names as one set of pieces: those of B follow those of A.
+    names = _both_names(side_1, side_2)
+    size = np.where(second == 0, side_1.size, side_2.size)
+    text, ends = names.joined(second * len(side_1.named.lengths) + mark * size + ids)
+    counts = np.bincount(doc, minlength=n_docs)
+    cuts = np.append(0, ends)[np.append(0, np.cumsum(counts))].tolist()
+    raw = text.tobytes()
+    texts = [raw[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
     return texts, np.bincount(doc[last & (second == 1)], minlength=n_docs)
 
 
+def _both_names(side_1: Side, side_2: Side) -> Pieces:
+    both = getattr(side_1, "both", None)
+    if both is None or both[0] is not side_2:
+        joined = Pieces([])
+        joined.data = np.concatenate([side_1.named.data, side_2.named.data])
+        joined.lengths = np.concatenate([side_1.named.lengths, side_2.named.lengths])
+        joined.starts = np.cumsum(joined.lengths) - joined.lengths
+        both = side_1.both = (side_2, joined)
+    return both[1]
+
+
 def align(texts: list[str | None], side_1: Side, side_2: Side) -> list[tuple]:
     """Per text (n_a, n_b, n_groups, n_links, groups, distinct pairs, their multiplicities)."""
-    said = [i for i, t in enumerate(texts) if t]
-    rows_a, rows_b = ([s.encode([texts[i] for i in said]) if said else [] for s in (side_1, side_2)])
-    good = []
-    for n, i in enumerate(said):
-        raw = (" " + texts[i]).encode()
-        spelled = (b"".join([s.spelled[x] for x in r[n]]) for s, r in ((side_1, rows_a), (side_2, rows_b)))
-        if all(x == raw for x in spelled):
-            good.append(n)
-    a = _Tokens(side_1, [rows_a[n] for n in good])
-    b = _Tokens(side_2, [rows_b[n] for n in good])
-    none = (0, 0, 0, 0, None, np.zeros(0, np.int64), np.zeros(0, np.int64))
-    out = [none] * len(texts)
+    out: list[tuple] = [(0, 0, 0, 0, b"", np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(texts)
+    good = [i for i, t in enumerate(texts) if t]
     if not good:
         return out
+    rows_a, rows_b = (s.encode([texts[i] for i in good]) for s in (side_1, side_2))
+    raw = [(" " + texts[i]).encode() for i in good]
+    a, b = _Tokens(side_1, rows_a), _Tokens(side_2, rows_b)
+    lengths, joined = np.array([len(x) for x in raw]), np.frombuffer(b"".join(raw), np.uint8)
+    if not (a.spell(lengths, joined) and b.spell(lengths, joined)):
+        spelled = [
+            n for n, x in enumerate(raw)
+            if all(s.spelled.joined(r[n])[0].tobytes() == x for s, r in ((side_1, rows_a), (side_2, rows_b)))
+        ]
+        if not spelled:
+            return out
+        good = [good[n] for n in spelled]
+        a, b = _Tokens(side_1, [rows_a[n] for n in spelled]), _Tokens(side_2, [rows_b[n] for n in spelled])
     i, j = overlaps(a, b)
-    written, n_groups = _written_groups(a, b, side_1, side_2, len(good))
+    written_groups, n_groups = _written_groups(a, b, side_1, side_2, len(good))
     n_links = np.bincount(a.doc[i], minlength=len(good))
-    vocabulary = len(side_2.spelled)
-    pairs = a.ids[i] * vocabulary + b.ids[j]
+    pairs = a.ids[i] * side_2.size + b.ids[j]
     # Sorted by document, then pair, without forming a combined number that could overflow.
     order = np.lexsort((pairs, a.doc[i]))
     doc, pairs = a.doc[i][order], pairs[order]
@@ -190,10 +272,10 @@ def align(texts: list[str | None], side_1: Side, side_2: Side) -> list[tuple]:
     times = np.diff(np.append(first, len(pairs)))
     doc, pairs = doc[first], pairs[first]
     cuts = np.searchsorted(doc, np.arange(len(good) + 1))
-    for d, n in enumerate(good):
+    for d, place in enumerate(good):
         own = slice(cuts[d], cuts[d + 1])
-        out[said[n]] = (
-            int(a.counts[d]), int(b.counts[d]), int(n_groups[d]), int(n_links[d]), written[d],
+        out[place] = (
+            int(a.counts[d]), int(b.counts[d]), int(n_groups[d]), int(n_links[d]), written_groups[d],
             pairs[own], times[own],
         )
     return out
@@ -205,10 +287,11 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat).cast(kind))
 
 
-def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+def aligned(docs: DataFrame, path_a: str, path_b: str, groups: bool = False) -> DataFrame:
     """Per row of docs: counts, the digest of its groups, its distinct linked pairs and how often.
 
-    A pair is id of A times the size of B's vocabulary plus id of B.
+    A pair is id of A times the size of B's vocabulary plus id of B. With ``groups`` the groups
+    themselves are a column too, as ``a1,a2|b1;a3|b2,b3``.
     """
     files = []
     for path in (path_a, path_b):
@@ -220,28 +303,19 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         for batch in slices(batches):
             rows = align(batch.column("text").to_pylist(), *both)
             columns = list(zip(*rows, strict=True)) or [[]] * 7
-            digests = [None if g is None else hashlib.sha256(g.encode()).hexdigest() for g in columns[4]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:4]),
-                    pc.fill_null(pa.array(digests, pa.string()), ""),
-                    _lists(list(columns[5]), pa.int64()), _lists(list(columns[6]), pa.int32()),
-                ],
-                [x.split()[0] for x in ALIGNED.split(", ")],
-            )
-
+            digests = [hashlib.sha256(g).hexdigest() if g else "" for g in columns[4]]
+            arrays = [
+                batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:4]),
+                pa.array(digests, pa.string()),
+                _lists(list(columns[5]), pa.int64()), _lists(list(columns[6]), pa.int32()),
+            ]
+            if groups:
+                arrays.append(pa.array(columns[4], pa.binary()).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in schema.split(", ")])
+
+    schema = ALIGNED + (", groups string" if groups else "")
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return slim.mapInArrow(run, ALIGNED)
-
-
-def _written(df: DataFrame) -> DataFrame:
-    """A table in the shared folder; columns of numbers take a fraction of a checkpoint there."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    shared = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{shared}/aligned-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
+    return slim.mapInArrow(run, schema)
 
 
 def pair_counts(rows: DataFrame, vocabulary: int) -> DataFrame:
@@ -249,7 +323,7 @@ def pair_counts(rows: DataFrame, vocabulary: int) -> DataFrame:
     counted = rows.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(
         F.count("*").alias("n_docs")
     )
-    counted = _written(counted.withColumn("a", F.expr(f"pair div {vocabulary}")))
+    counted = written(counted.withColumn("a", F.expr(f"pair div {vocabulary}")))
     # One row per id of A: the vocabulary bounds it, whatever the documents.
     most = counted.groupBy("a").agg(F.max("n_docs").alias("most"))
     return counted.join(F.broadcast(most), "a").select(
@@ -290,11 +364,11 @@ def _scores(rows: DataFrame, block: DataFrame) -> DataFrame:
 def scored(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """Per row of docs: counts and groups, and how its links rank among those of all documents."""
     with open(path_b, "rb") as file:
-        vocabulary = len(side_b(file.read()).spelled)
-    rows = _written(
+        vocabulary = side_b(file.read()).size
+    rows = written(
         aligned(docs, path_a, path_b).withColumn("row_key", F.monotonically_increasing_id())
     )
-    counts = _written(pair_counts(rows, vocabulary))
+    counts = written(pair_counts(rows, vocabulary))
     blocks = max(1, math.ceil(counts.count() / BLOCK))
     block = F.pmod(F.xxhash64("pair"), F.lit(blocks))
     sums = None

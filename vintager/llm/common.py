@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -36,6 +37,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As ``stored``, as a compressed Parquet table: less disk where columns are numbers."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    shared = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{shared}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
 def doc_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
 
