@@ -73,7 +73,7 @@ class PieceModel:
         self.end = self.library.eos_id()
         self.order = {p.piece: -p.score for p in spec.pieces if p.type == NORMAL}
         self.ids = {p.piece: i for i, p in enumerate(spec.pieces) if p.type == NORMAL}
-        self.byte_ids = [0] * 256
+        self.byte_ids = np.zeros(256, np.int32)
         self.surface: list[bytes] = []
         self.kind = np.array([p.type for p in spec.pieces], np.int8)
         for i, p in enumerate(spec.pieces):
@@ -172,15 +172,16 @@ class PieceModel:
     def _ids_together(self, stretches: list[str]) -> list[bytes]:
         """The ids of each stretch, as the bytes of 32-bit integers."""
         symbol, owner = self.merged_together(stretches)
-        plain = symbol < self.base
-        if not plain.all():
-            foreign = {
-                int(x): [self.byte_ids[b] for b in chr(int(x) - self.base).encode()]
-                for x in np.unique(symbol[~plain])
-            }
-            lists = [[x] if x < self.base else foreign[x] for x in symbol.tolist()]
-            owner = np.repeat(owner, [len(x) for x in lists])
-            symbol = np.array([i for x in lists for i in x], np.int64)
+        foreign = np.flatnonzero(symbol >= self.base)
+        if len(foreign):
+            spelled = [chr(x - self.base).encode() for x in symbol[foreign].tolist()]
+            counts = np.ones(len(symbol), np.int64)
+            counts[foreign] = sizes = np.array([len(x) for x in spelled])
+            starts = np.cumsum(counts) - counts
+            symbol, owner = np.repeat(symbol, counts), np.repeat(owner, counts)
+            within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            values = np.frombuffer(b"".join(spelled), np.uint8)
+            symbol[np.repeat(starts[foreign], sizes) + within] = self.byte_ids[values]
         raw = symbol.astype(np.int32).tobytes()
         cuts = (4 * np.searchsorted(owner, np.arange(len(stretches) + 1))).tolist()
         return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -196,9 +197,8 @@ class PieceModel:
         self.known.update(zip(short, self._ids_together(short), strict=True))
         long = [x for x in new if len(x) > SHORT]
         for x in long:
-            ids = [self.ids.get(s) or [self.byte_ids[b] for b in s.encode()] for s in self.merged(x)]
-            flat = [i for y in ids for i in (y if isinstance(y, list) else [y])]
-            self.known[x] = np.array(flat, np.int32).tobytes()
+            ids = ([self.ids[s]] if s in self.ids else self.byte_ids[list(s.encode())] for s in self.merged(x))
+            self.known[x] = np.array([i for y in ids for i in y], np.int32).tobytes()
         end = np.array([self.end], np.int32).tobytes()
         out = [np.frombuffer(b"".join(map(self.known.__getitem__, r)) + end, np.int32) for r in rows]
         for x in long:
@@ -304,7 +304,7 @@ def _checked_ids(model: PieceModel, texts: list[str], doc_ids: pa.Array) -> list
 def _checked_texts(model: PieceModel, rows: list[np.ndarray], doc_ids: pa.Array) -> list[str]:
     """The decoded texts of an Arrow batch; an error where the library has others."""
     texts = [model.decode(ids) for ids in rows]
-    library = model.library.decode([ids.tolist() for ids in rows]) if rows else []
+    library = model.library.decode(rows) if rows else []
     for i, (own, theirs) in enumerate(zip(texts, library, strict=True)):
         if own != theirs:
             raise ValueError(f"Text differs from the library's: document {doc_ids[i]}")
