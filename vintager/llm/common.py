@@ -44,6 +44,8 @@ def written(df: DataFrame) -> DataFrame:
     shared = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     path = f"{shared}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    # What the write shuffled is not read again; Spark removes it once the driver forgets it.
+    spark.sparkContext._jvm.java.lang.System.gc()
     return spark.read.parquet(path)
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintager.llm.common import doc_key, slices, stored, text_version
+from vintager.llm.common import doc_key, slices, text_version, written
 
 # start << 20 | windows << 10 | distance of the first window's anchor
 N_BITS = 10
@@ -72,7 +72,7 @@ class Ranking:
 
     def __init__(self, units: DataFrame, keep_first: bool):
         place = F.struct("doc", "pos", "ver")
-        groups = stored(
+        groups = written(
             units.groupBy("core", "hull").agg(F.min(place).alias("first"), F.max(place).alias("last"))
         )
         start = lambda x: F.struct(
@@ -104,7 +104,7 @@ def _checked(df: DataFrame, items: str) -> DataFrame:
 
 def with_lists(docs: DataFrame, items: DataFrame, how: str) -> DataFrame:
     """``docs`` with the ``items`` (doc, ver, item) of each row as a list; bounded by the text."""
-    lists = stored(items.groupBy("doc", "ver").agg(F.collect_list("item").alias("items")))
+    lists = written(items.groupBy("doc", "ver").agg(F.collect_list("item").alias("items")))
     side = _checked(lists, "size(items)").withColumnsRenamed({"doc": "__doc", "ver": "__ver"})
     on = (doc_key() == F.col("__doc")) & (text_version() == F.col("__ver"))
     return docs.join(side, on, how)
@@ -121,12 +121,12 @@ def repeated_spans(
     """
     docs = docs.select("doc_id", "text")
     rows = keyed(docs).mapInArrow(units, UNIT).drop("names")
-    shared = stored(rows.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"))
-    first = Ranking(stored(rows.join(shared, "core", "left_semi")), keep_first)
+    shared = written(rows.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"))
+    first = Ranking(written(rows.join(shared, "core", "left_semi")), keep_first)
     split = with_lists(
         docs, first.split.select("doc", "ver", F.col("pos").alias("item")), "inner"
     ).select(F.col("__doc").alias("doc"), F.col("__ver").alias("ver"), "text", "items")
-    parts = stored(split.mapInArrow(smaller, UNIT))
+    parts = written(split.mapInArrow(smaller, UNIT))
     second = Ranking(parts.drop("names"), keep_first)
     chosen = second.split.select(
         F.col("core").alias("c"), F.col("hull").alias("h"), F.col("doc").alias("dd"),
@@ -138,7 +138,7 @@ def repeated_spans(
         & (F.col("doc") == F.col("dd")) & (F.col("pos") == F.col("pp")),
         "left_semi",
     )
-    single = stored(
+    single = written(
         open_parts.select("core", "doc", "ver", "pos", F.expr(
             "posexplode(transform(sequence(0, cast(length(names) / 8 as int) - 1),"
             " i -> conv(hex(substring(names, i * 8 + 1, 8)), 16, -10)))"
