@@ -8,9 +8,12 @@ each is verified with Myers' bit-parallel distance over the item's surroundings.
 The items are sent to the tasks in blocks of at most ``BLOCK_CHARS`` characters, each block matched
 against all documents; a larger benchmark takes more passes, never fewer items.
 
-Defined cases: null or empty texts contain nothing; items shorter than ``LEAST_CHARS`` after
-normalisation are too common to be evidence and are left out; repeated rows and repeated items each
-give their own matches; empty tables give none.
+An item shorter than ``SHORT_CHARS`` after normalisation has too little in it to allow errors: it is
+searched as it is, from word boundary to word boundary.
+
+Defined cases: null or empty texts contain nothing, null or blank items occur nowhere; a text of any
+length is searched whole; repeated rows and repeated items each give their own matches; empty tables
+give none; other columns, whatever their names, are kept by ``clean`` and left out by ``matches``.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from vintager.llm.common import slices
 
 CHARS_PER_ERROR = 16
-LEAST_CHARS = 32
+SHORT_CHARS = 32
 BLOCK_CHARS = 4_000_000
 
 
@@ -67,14 +70,22 @@ def pieces(item: str, errors: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def allowed(item: str) -> int:
+    """The edits by which an occurrence of a normalised item may differ from it."""
+    return 0 if len(item) < SHORT_CHARS else len(item) // CHARS_PER_ERROR
+
+
 class Matcher:
     """Finds the items of a block in a normalised text."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = items
         where: dict[str, list[tuple[int, int]]] = {}
+        self.budgets = [allowed(text) for _, text in items]
         for i, (_, text) in enumerate(items):
-            for offset, piece in pieces(text, len(text) // CHARS_PER_ERROR):
+            # A short item takes the blanks around it along.
+            short = len(text) < SHORT_CHARS
+            for offset, piece in [(-1, f" {text} ")] if short else pieces(text, self.budgets[i]):
                 where.setdefault(piece, []).append((i, offset))
         self.automaton = ahocorasick.Automaton()
         for piece, found in where.items():
@@ -88,12 +99,13 @@ class Matcher:
         if self.empty:
             return
         at: dict[int, set[int]] = {}
-        for end, (length, found) in self.automaton.iter(text):
+        # The blank put before the text moves every place by one.
+        for end, (length, found) in self.automaton.iter(f" {text} "):
             for i, offset in found:
-                at.setdefault(i, set()).add(end + 1 - length - offset)
+                at.setdefault(i, set()).add(end - length - offset)
         for i, starts in at.items():
             item_id, item = self.items[i]
-            budget, reach, best = len(item) // CHARS_PER_ERROR, -1, None
+            budget, reach, best = self.budgets[i], -1, None
             spans: list[list[int]] = []
             for start in sorted(starts):
                 low, high = max(0, start - budget), start + len(item) + budget
@@ -122,7 +134,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     for i in range(n):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
         rows = [(r[0], normal(r[1])) for r in block.collect()]
-        yield [r for r in rows if len(r[1]) >= LEAST_CHARS]
+        yield [r for r in rows if r[1]]
 
 
 def _finder(items: list[tuple[int, str]]) -> Callable:
