@@ -50,6 +50,8 @@ ACCEPTED = 0.7
 SETTLED = 1e-9
 # Context spans of all documents that are broadcast; a span is some 60 bytes.
 BROADCAST_SPANS = 100_000
+# Matches of a text that are listed one by one before the lists are put together.
+STRETCH = 256
 SPAN = "array<struct<start:long,end:long,place:int,kind:string>>"
 
 
@@ -88,10 +90,7 @@ def located(docs: DataFrame, text: Column, expression: str, name: str, when: Col
             "__gaps": once(F.when(when, F.split(text, expression, -1))),
         }
     )
-    begun = F.struct(
-        F.lit(0).cast("long").alias("at"),
-        F.array().cast("array<struct<start:long,end:long,match:string,gap:string>>").alias("out"),
-    )
+    empty = F.array().cast("array<struct<start:long,end:long,match:string,gap:string>>")
 
     def step(acc: Column, i: Column) -> Column:
         gap, match = F.get("__gaps", i), F.get("__found", i)
@@ -102,9 +101,15 @@ def located(docs: DataFrame, text: Column, expression: str, name: str, when: Col
         )
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    numbers = F.expr("sequence(0, size(__found) - 1)")
-    spans = F.aggregate(numbers, begun, step)["out"]
-    empty = F.array().cast("array<struct<start:long,end:long,match:string,gap:string>>")
+    # Appending copies the list, so matches are gathered in stretches that are put together once.
+    def stretch(acc: Column, low: Column) -> Column:
+        numbers = F.sequence(low, F.least(low + STRETCH, F.size("__found")) - 1)
+        begun = F.struct(F.element_at(acc, -1)["at"].alias("at"), empty.alias("out"))
+        return F.concat(acc, F.array(F.aggregate(numbers, begun, step)))
+
+    begun = F.array(F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")))
+    starts = F.expr(f"sequence(0, size(__found) - 1, {STRETCH})")
+    spans = F.flatten(F.aggregate(starts, begun, stretch)["out"])
     some = F.coalesce(F.size("__found") > 0, F.lit(False))
     return pieces.withColumn(name, once(F.when(some, spans).otherwise(empty))).drop("__found", "__gaps")
 
