@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 from vintager.llm import (
@@ -299,8 +300,9 @@ def test_myers_distance():
 def test_decontamination(spark):
     rng = random.Random(3)
     items = [(i, " ".join(f"t{rng.randrange(300)}" for _ in range(40))) for i in range(5)]
-    items += [(5, "short one"), (6, None), (7, items[0][1])]
-    rows = [(1, None), (2, ""), (3, "x y z " * 4000)]
+    items += [(5, "short one"), (6, None), (7, items[0][1]), (8, " \n "), (9, "Why?")]
+    rows = [(1, None), (2, ""), (3, "x y z " * 4000), (4, "A short\tONE"), (4, "A short\tONE")]
+    rows += [(5, "two short ones, one short"), (6, "why? no"), (7, "so why?? not"), (None, "short one")]
     for i, item in items[:5]:
         filler = " ".join(f"f{rng.randrange(300)}" for _ in range(60))
         for errors in (0, 4, 9, 40):
@@ -309,19 +311,29 @@ def test_decontamination(spark):
                 text[rng.randrange(len(text))] = rng.choice(["", "q", "zz"])
             rows.append((100 * i + errors + 100, f"{filler} {''.join(text).upper()}\n{filler}"))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = docs.withColumns({n: F.lit("mine") for n in ("item_id", "distance", "match_start")})
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
     found = decontaminate.matches(docs, bench).collect()
-    expected = set()
+    expected = []
     for doc_id, text in rows:
         for item_id, item in items:
             item, body = decontaminate.normal(item), decontaminate.normal(text)
-            if len(item) >= decontaminate.LEAST_CHARS:
+            if 0 < len(item) < decontaminate.SHORT_CHARS:
+                if f" {item} " in f" {body} ":
+                    expected.append((doc_id, item_id, 0))
+            elif item:
                 distance = brute.edit_distance(item, body)
                 if distance <= len(item) // decontaminate.CHARS_PER_ERROR:
-                    expected.add((doc_id, item_id, distance))
-    assert {(r.doc_id, r.item_id, r.distance) for r in found} == expected and expected
-    kept = {r.doc_id for r in decontaminate.clean(docs, bench).collect()}
-    assert kept == {i for i, _ in rows} - {i for i, _, _ in expected}
+                    expected.append((doc_id, item_id, distance))
+    assert bag((r.doc_id, r.item_id, r.distance) for r in found) == bag(expected)
+    assert {(4, 5, 0), (6, 9, 0), (None, 5, 0)} <= set(expected)
+    places = {(r.doc_id, r.item_id): (r.match_start, r.match_end) for r in found}
+    assert (places[4, 5], places[6, 9]) == ((2, 11), (0, 4))
+    kept = decontaminate.clean(docs, bench)
+    assert kept.columns == docs.columns
+    assert bag((r.doc_id,) for r in kept.collect()) == bag(
+        (i,) for i, _ in rows if i not in {i for i, _, _ in expected}
+    )
 
 
 def test_warc_round_trip(spark):
