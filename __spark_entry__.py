@@ -20,15 +20,15 @@ import oracles
 from vintager import schema
 from vintager import workload as w
 from vintager.columns import DEFAULT as C
-from vintager.columns import LATEST_TIME
+from vintager.columns import LATEST_TIME, PUBLISH_DATE
 from vintager.functions.labels import fuel_dimension, with_labels
-from vintager.functions.scalars import iso_timestamp, publication_stamp
+from vintager.functions.scalars import clipped_error, iso_timestamp, publication_stamp
 from vintager.operators import pairs, publications, quality, revisions
 from vintager.operators.availability import availability, group_history, system_history
 from vintager.operators.neighbours import chunk_unit
-from vintager.plans import audit, gold, jobs, relational, serving
-from vintager.session import ensure_checkpoint_dir
-from vintager.sources import landing, store, tables
+from vintager.plans import audit, gold, jobs, relational, serving, state
+from vintager.session import ensure_checkpoint_dir, shared_folder
+from vintager.sources import landing, snapshots, store, tables, versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
@@ -92,9 +92,9 @@ def _pair(df: DataFrame) -> DataFrame:
 
 def _gold_pair(df: DataFrame) -> DataFrame:
     """The newest adjacent pair that has revisions, of a history that ends with a publication
-    that shares no target date with the one before it; written once, as several products read it.
+    that shares no target date with the one before it.
     """
-    return _stored(pairs.newest_revised_pair(pairs.all_pair_revisions(w.with_disjoint_end(df))))
+    return pairs.newest_pair_revisions(w.with_disjoint_end(df))
 
 
 def _units(unit: DataFrame) -> DataFrame:
@@ -149,6 +149,35 @@ def _upsert_availability(df: DataFrame) -> DataFrame:
     return tables.merged(target, source, [C.published, C.target, C.group])
 
 
+def _upsert_system(df: DataFrame) -> DataFrame:
+    """System availability, slightly off for all but the newest days, then put right from the
+    twentieth on, through the stored table.
+    """
+    path = shared_folder(df.sparkSession, "upsert")
+    rows = relational.system_availability(availability(df))
+    time = F.col("publish_time")
+    off = rows.filter(time < F.lit(w.STORED_BEFORE)).withColumn(
+        "total_available_mw", (F.col("total_available_mw") + 1).cast("decimal(14,3)")
+    )
+    for part in (off, rows.filter(time >= F.lit("2024-01-20 00:00:00").cast("timestamp"))):
+        tables.upsert(df.sparkSession, path, part, schema.SYSTEM_AVAILABILITY_KEY, "publish_time")
+    return versions.read_version(df.sparkSession, path).drop(PUBLISH_DATE)
+
+
+def _snapshots(df: DataFrame) -> DataFrame:
+    """The history written as snapshot files of differing types and read as one."""
+    folder = shared_folder(df.sparkSession, "snapshots")
+    for i, part in enumerate(w.snapshot_kinds(df)):
+        part.write.parquet(f"{folder}/kind{i}")
+    return snapshots.canonical_history(df.sparkSession, f"{folder}/*", "*.parquet")
+
+
+def _clipped(df: DataFrame) -> DataFrame:
+    """Error messages far longer than the audit log keeps."""
+    long = F.repeat("error_message", F.lit(200))
+    return w.pipeline_runs(df).select("pipeline_run_id", clipped_error(long).alias("error_message"))
+
+
 def _upsert_revisions(df: DataFrame) -> DataFrame:
     rows = relational.unit_revisions(pairs.all_pair_revisions(df))
     time = F.col("latest_publish_time")
@@ -181,20 +210,57 @@ def _nearest(df: DataFrame) -> DataFrame:
 
 
 def _stability(df: DataFrame) -> DataFrame:
+    unit = chunk_unit(df, C.published, series=C.entity_series)
     chunk = chunk_unit(df, C.published)
     return serving.stability(
-        revisions.entity_revisions(df, chunk=chunk),
-        revisions.recent_entity_revisions(df, chunk=chunk),
+        revisions.entity_revisions(df, chunk=unit),
+        revisions.recent_entity_revisions(df, chunk=unit),
         revisions.recent_series_revisions(group_history(df), C.group_series, chunk=chunk),
     )
 
 
+def _state(df: DataFrame) -> tuple[SparkSession, state.RevisionState]:
+    """Stored revisions of the history, of which every ninth publication arrived late."""
+    spark, late = df.sparkSession, w.publication_number(F.col(C.published)) % 9 == 4
+    kept = state.RevisionState(shared_folder(spark, "state"))
+    early = df.filter(~late)
+    for history, new in ((early, early), (df, df.filter(late))):
+        state.refresh(spark, kept, history, publications.publications(new))
+    return spark, kept
+
+
+def _stored_window(spark: SparkSession, kept: state.RevisionState) -> DataFrame:
+    return state.recent(spark, kept.units)
+
+
+def _stored_fuels(spark: SparkSession, kept: state.RevisionState) -> DataFrame:
+    return serving.group_revisions_net(state.recent(spark, kept.groups))
+
+
+def _upsert_null_times(df: DataFrame) -> DataFrame:
+    """Availability whose time some rows lack, stored by two upserts of overlapping rows."""
+    path = shared_folder(df.sparkSession, "upsert")
+    rows = availability(df, [C.group]).withColumn(
+        C.published, F.when(F.col(C.group) != "WIND", F.col(C.published))
+    ).groupBy(C.published, C.target, C.group).agg(F.sum("available_mw").alias("available_mw"))
+    early = rows.filter(F.day(C.target) <= 21)
+    late = rows.filter(F.day(C.target) >= 11).withColumn("available_mw", F.col("available_mw") + 20)
+    for part in (early, late):
+        tables.upsert(df.sparkSession, path, part, [C.published, C.target, C.group], C.published)
+    return versions.read_version(df.sparkSession, path).drop(PUBLISH_DATE)
+
+
 def _backfill(df: DataFrame) -> DataFrame:
     """A range across the edge of the stored history: some publications are new."""
     rows = landing.publish_range(df, "2024-01-23T00:00:00Z", "2024-01-26T12:00:00+00:00")
     return jobs.backfill_summary(store.publication_status(rows, w.stored(df)))
 
 
+def _outcome(df: DataFrame) -> DataFrame:
+    """What one run over landing files does with each publication, some known before."""
+    return store.ingest_outcome(w.landed(df), w.stored(df), w.quarantined(df))
+
+
 def _queries() -> dict[str, Query]:
     h = _on_history
     return {
@@ -206,6 +272,10 @@ def _queries() -> dict[str, Query]:
         "q_filter_fuels_units": h(
             lambda df: landing.select_listed(df, groups=["CCGT", "WIND", "INTFR"])
         ),
+        "q_filter_units": h(
+            lambda df: landing.select_listed(df, entities=["UNIT-3", "UNIT-17", "UNIT-40", "UNIT-x"])
+        ),
+        "q_mixed_snapshots": h(_snapshots),
         "q_publish_range": h(
             lambda df: landing.publish_range(df, "2024-01-10", "2024-01-12T13:00:00+01:00")
         ),
@@ -216,10 +286,13 @@ def _queries() -> dict[str, Query]:
         "q_publication_summary": h(landing.publication_summary),
         # Sinks, as the rows or reports they produce
         "q_new_publications": h(lambda df: store.new_rows(df, w.stored(df))),
+        "q_ingest_outcome": h(_outcome),
         "q_publication_manifest": h(store.publication_manifest),
         "q_raw_load_status": h(lambda df: store.load_status(df, w.stored(df))),
         "q_upsert_fuel": h(_upsert_availability),
+        "q_upsert_system": h(_upsert_system),
         "q_upsert_generic": h(_upsert_revisions),
+        "q_upsert_null_times": h(_upsert_null_times),
         "q_verify_load": h(lambda df: tables.verify_load(df, w.stored(df), C.published)),
         # Data quality
         "q_duplicate_keys": h(lambda df: quality.duplicate_keys(w.duplicated(df))),
@@ -230,6 +303,8 @@ def _queries() -> dict[str, Query]:
         "q_negative_rows": h(lambda df: quality.negative_rows(w.dirty(df))),
         "q_reconcile_availability": h(_reconciled_availability),
         "q_reconcile_availability_dirty": h(lambda df: _reconciled_availability(w.dirty(df))),
+        "q_differing_publications": h(lambda df: quality.differing_publications(df, w.drifted(df))),
+        "q_differing_rows": h(lambda df: quality.differing_rows(df, w.drifted(df))),
         "q_reconcile_revisions": h(_reconciled_revisions),
         # Projections
         "q_raw_rename": h(relational.raw_rows),
@@ -314,6 +389,7 @@ def _queries() -> dict[str, Query]:
         "q_kpis": h(lambda df: serving.kpis(_system(df), _groups(df))),
         "q_system_profile": h(lambda df: serving.system_profile(_system(df))),
         "q_fuel_mix": h(_mix),
+        "q_fuel_mix_fractional": h(lambda df: _mix(w.fractional(df))),
         "q_fuel_mix_top7": h(lambda df: serving.group_mix_top(_mix(df))),
         "q_fuel_revisions_24h": h(lambda df: serving.group_revisions_net(_recent_groups(df))),
         "q_direction_counts": h(
@@ -325,8 +401,15 @@ def _queries() -> dict[str, Query]:
         "q_most_revised_fuel": h(lambda df: serving.most_revised_group(_recent(df))),
         "q_revision_signals": h(lambda df: serving.revision_signals(_recent(df))),
         "q_stability": h(_stability),
+        # Serving from stored revisions
+        "q_stored_stability": h(lambda df: state.stability(*_state(df))),
+        "q_stored_direction_counts": h(lambda df: state.direction_counts(*_state(df))),
+        "q_stored_window_24h": h(lambda df: _stored_window(*_state(df))),
+        "q_stored_fuel_revisions_24h": h(lambda df: _stored_fuels(*_state(df))),
         # Jobs and audit
         "q_backfill_summary": h(_backfill),
+        "q_history_report": h(lambda df: jobs.history_report(df)["row_counts"]),
+        "q_clipped_errors": h(_clipped),
         "q_audit_state": h(lambda df: audit.audit_state(w.run_events(w.pipeline_runs(df)))),
     }
 

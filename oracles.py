@@ -87,6 +87,25 @@ RELATIONS: dict[str, tuple[list[str], str]] = {
         """SELECT * FROM dirty UNION ALL SELECT * FROM dirty
            WHERE CAST(substr(nationalGridBmUnit, 6) AS INT) % 10 = 0""",
     ),
+    "drifted": (
+        ["canon"],
+        """SELECT * EXCLUDE (n, p, copy) FROM (
+             SELECT * REPLACE (
+               CASE WHEN p = 31 AND n % 12 = 6 THEN '' ELSE bmUnit END AS bmUnit,
+               CASE WHEN p = 25 AND n % 29 = 7 THEN outputUsable + 1 ELSE outputUsable END
+                 AS outputUsable), unnest(CASE WHEN p = 9 AND n % 19 = 3 THEN []
+                   WHEN p = 17 AND n % 23 = 5 THEN [1, 2] ELSE [1] END) AS copy
+             FROM (SELECT *, CAST(substr(nationalGridBmUnit, 6) AS INT) AS n,
+               2 * day(publishTime) - CASE WHEN hour(publishTime) < 12 THEN 1 ELSE 0 END AS p
+               FROM canon))""",
+    ),
+    "drift": (
+        ["canon", "drifted"],
+        """SELECT dataset, fuelType, nationalGridBmUnit, bmUnit, publishTime, forecastDate, outputUsable,
+             collectedAt, CAST(SUM(l) AS BIGINT) AS left_copies, CAST(SUM(r) AS BIGINT) AS right_copies
+           FROM (SELECT *, 1 AS l, 0 AS r FROM canon UNION ALL SELECT *, 0, 1 FROM drifted)
+           GROUP BY ALL HAVING SUM(l) <> SUM(r)""",
+    ),
     "fuels": (
         [],
         "SELECT * FROM (VALUES "
@@ -358,6 +377,22 @@ QUERIES: dict[str, tuple[list[str], str]] = {
         ["canon"],
         "SELECT * FROM canon WHERE fuelType IN ('CCGT', 'WIND', 'INTFR')",
     ),
+    "q_filter_units": (
+        ["canon"],
+        "SELECT * FROM canon WHERE nationalGridBmUnit IN ('UNIT-3', 'UNIT-17', 'UNIT-40', 'UNIT-x')",
+    ),
+    "q_mixed_snapshots": (
+        ["canon"],
+        """SELECT dataset, fuelType, nationalGridBmUnit, bmUnit, publishTime,
+             CASE WHEN p <> 2 OR n % 17 <> 0 THEN forecastDate END AS forecastDate,
+             CASE WHEN p = 0 THEN CAST(outputUsable AS DOUBLE)
+               WHEN p = 1 AND n % 13 <> 1 THEN outputUsable + 0.125::DOUBLE
+               WHEN p = 2 AND n % 11 <> 0 THEN CAST(outputUsable AS DOUBLE) END AS outputUsable,
+             collectedAt
+           FROM (SELECT *, CAST(substr(nationalGridBmUnit, 6) AS INT) AS n,
+             (2 * day(publishTime) - CASE WHEN hour(publishTime) < 12 THEN 1 ELSE 0 END) % 3 AS p
+             FROM canon)""",
+    ),
     "q_publish_range": (
         ["canon"],
         """SELECT * FROM canon WHERE publishTime BETWEEN
@@ -382,6 +417,42 @@ QUERIES: dict[str, tuple[list[str], str]] = {
         ["canon", "stored"],
         "SELECT * FROM canon WHERE publishTime NOT IN (SELECT publishTime FROM stored)",
     ),
+    "q_ingest_outcome": (
+        ["canon"],
+        """WITH numbered AS (
+             SELECT *, CAST(substr(nationalGridBmUnit, 6) AS INT) AS n,
+               2 * day(publishTime) - CASE WHEN hour(publishTime) < 12 THEN 1 ELSE 0 END AS p
+             FROM canon),
+           landed AS (
+             SELECT * REPLACE (CASE WHEN p % 7 = 5 AND n % 97 = 5 THEN NULL ELSE publishTime END
+                 AS publishTime), unnest(CASE
+               WHEN p % 7 = 3 AND n % 10 = 0 THEN ['a', 'a'] WHEN p % 5 = 2 THEN ['a', 'b']
+               WHEN p % 5 = 1 AND n % 2 = 1 THEN ['b'] ELSE ['a'] END) AS file
+             FROM numbered),
+           firsts AS (
+             SELECT * FROM landed WHERE publishTime IS NOT NULL
+             QUALIFY file = min(file) OVER (
+               PARTITION BY nationalGridBmUnit, publishTime, forecastDate)),
+           keys AS (
+             SELECT publishTime, count(*) AS n FROM firsts
+             GROUP BY publishTime, nationalGridBmUnit, forecastDate),
+           fresh AS (
+             SELECT publishTime, CAST(sum(n) AS BIGINT) AS n,
+               CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS shared
+             FROM keys GROUP BY publishTime),
+           given AS (
+             SELECT publishTime, max(p) AS p, count(*) AS n FROM landed GROUP BY publishTime)
+           SELECT publishTime,
+             CASE WHEN publishTime IS NULL OR old OR p % 11 = 4 THEN given.n ELSE fresh.n END AS rows,
+             CASE WHEN publishTime IS NULL THEN 'rejected' WHEN old THEN 'existing'
+               WHEN p % 11 = 4 THEN 'quarantined' WHEN shared > 0 THEN 'rejected'
+               ELSE 'created' END AS status,
+             CASE WHEN publishTime IS NULL THEN 'no publication time'
+               WHEN NOT old AND p % 11 <> 4 AND shared > 0
+               THEN shared || ' rows share a source key' END AS reason
+           FROM (SELECT *, publishTime < TIMESTAMP '2024-01-25 00:00:00' AS old FROM given) AS given
+           LEFT JOIN fresh USING (publishTime)""",
+    ),
     "q_publication_manifest": (
         ["canon"],
         """SELECT publishTime, COUNT(*) AS rows, CAST(8 AS BIGINT) AS columns,
@@ -403,6 +474,13 @@ QUERIES: dict[str, tuple[list[str], str]] = {
                   ELSE available_mw END AS available_mw, bm_units, zero_availability_units
            FROM favail""",
     ),
+    "q_upsert_system": (
+        ["savail"],
+        """SELECT publishTime AS publish_time, forecastDate AS forecast_date,
+             CAST(total_available_mw + CASE WHEN publishTime < TIMESTAMP '2024-01-20 00:00:00' THEN 1
+               ELSE 0 END AS DOUBLE) AS total_available_mw, bm_units, zero_availability_units
+           FROM savail""",
+    ),
     "q_upsert_generic": (
         ["prev"],
         """SELECT previousPublishTime AS previous_publish_time, latestPublishTime AS latest_publish_time,
@@ -415,6 +493,16 @@ QUERIES: dict[str, tuple[list[str], str]] = {
              changeDirection AS change_direction, becameUnavailable AS became_unavailable,
              returnedAvailable AS returned_available FROM prev""",
     ),
+    "q_upsert_null_times": (
+        ["canon"],
+        """WITH rows AS (
+             SELECT CASE WHEN fuelType <> 'WIND' THEN publishTime END AS publishTime, forecastDate,
+               fuelType, CAST(SUM(outputUsable) AS BIGINT) AS available_mw
+             FROM canon GROUP BY ALL)
+           SELECT publishTime, forecastDate, fuelType,
+             available_mw + CASE WHEN day(forecastDate) >= 11 THEN 20 ELSE 0 END AS available_mw
+           FROM rows WHERE day(forecastDate) <= 21 OR day(forecastDate) >= 11""",
+    ),
     "q_verify_load": (
         ["canon", "stored"],
         """SELECT publishTime, a.n AS source_rows, coalesce(b.n, 0) AS target_rows,
@@ -489,6 +577,13 @@ QUERIES: dict[str, tuple[list[str], str]] = {
         )
         for suffix, part in (("", ""), ("_dirty", "dirty"))
     },
+    "q_differing_rows": (["drift"], "SELECT * FROM drift"),
+    "q_differing_publications": (
+        ["canon", "drifted", "drift"],
+        """SELECT publishTime, (SELECT COUNT(*) FROM canon c WHERE c.publishTime = d.publishTime) AS left_rows,
+             (SELECT COUNT(*) FROM drifted r WHERE r.publishTime = d.publishTime) AS right_rows
+           FROM (SELECT DISTINCT publishTime FROM drift) AS d""",
+    ),
     "q_reconcile_revisions": (
         ["prev"],
         """SELECT previousPublishTime, latestPublishTime, r AS unitRevisionMW, r AS fuelRevisionMW,
@@ -669,6 +764,23 @@ QUERIES: dict[str, tuple[list[str], str]] = {
            WHERE publishTime = (SELECT MAX(publishTime) FROM shist)""",
     ),
     "q_fuel_mix": (["mix"], "SELECT * FROM mix"),
+    "q_fuel_mix_fractional": (
+        ["canon", "fuels"],
+        f"""WITH eighths AS (
+             SELECT fuelType, publishTime, forecastDate, outputUsable * 1000
+               + 125 * (CAST(substr(nationalGridBmUnit, 6) AS INT) % 8) AS mw FROM canon),
+           latest AS (SELECT * FROM eighths WHERE publishTime = (SELECT MAX(publishTime) FROM eighths)),
+           sums AS (
+             SELECT fuelType, CAST(SUM(mw) AS BIGINT) AS mw FROM latest
+             WHERE forecastDate = (
+               SELECT MIN(forecastDate) FROM latest WHERE forecastDate >= publishTime)
+             GROUP BY 1)
+           SELECT fuelType AS fuel_type, concat(coalesce(long_name, fuelType), ' (', fuelType, ')')
+               AS fuel_label, coalesce(short_name, fuelType) AS short_label,
+             mw / 1000.0::DOUBLE AS available_mw,
+             CASE WHEN total > 0 THEN {_pct("mw", "total", 1)} ELSE 0.0 END AS share_pct
+           FROM (SELECT *, SUM(mw) OVER () AS total FROM sums) LEFT JOIN fuels ON code = fuelType""",
+    ),
     "q_fuel_mix_top7": (
         ["mix"],
         f"""SELECT fuel_type, short_label, fuel_label, available_mw,
@@ -749,6 +861,22 @@ QUERIES: dict[str, tuple[list[str], str]] = {
                  FROM canon WHERE publishTime BETWEEN TIMESTAMP '2024-01-23 00:00:00'
                    AND TIMESTAMP '2024-01-26 12:00:00' GROUP BY 1)""",
     ),
+    "q_history_report": (
+        ["fhist", "shist", "urev", "frev", "srev"],
+        " UNION ALL ".join(
+            f"SELECT '{name}' AS dataset, COUNT(*) AS rows FROM {relation}"
+            for name, relation in (
+                ("fuel_availability_history", "fhist"), ("system_availability_history", "shist"),
+                ("unit_revision_history", "urev"), ("fuel_revision_history", "frev"),
+                ("system_revision_history", "srev"),
+            )
+        ),
+    ),
+    "q_clipped_errors": (
+        ["runs"],
+        """SELECT pipeline_run_id, substr(repeat(error_message, 200), 1, 5000) AS error_message
+           FROM runs""",
+    ),
     "q_audit_state": (["runs"], "SELECT * FROM runs"),
 }
 
@@ -769,5 +897,15 @@ def _with(needs: list[str]) -> str:
     return "WITH " + ",\n".join(parts)
 
 
+# Products served from stored revisions equal those derived from the history.
+STORED = {
+    "q_stored_stability": "q_stability",
+    "q_stored_direction_counts": "q_direction_counts",
+    "q_stored_window_24h": "q_window_24h",
+    "q_stored_fuel_revisions_24h": "q_fuel_revisions_24h",
+}
+
+
 def all_sql() -> dict[str, str]:
-    return {key: f"{_with(needs)}\n{text}" for key, (needs, text) in QUERIES.items()}
+    texts = {key: f"{_with(needs)}\n{text}" for key, (needs, text) in QUERIES.items()}
+    return texts | {key: texts[same] for key, same in STORED.items()}

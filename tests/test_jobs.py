@@ -15,6 +15,7 @@ from vintager.operators.availability import availability, group_history
 from vintager.operators.quality import QualityError
 from vintager.plans import audit, gold, jobs, relational, serving
 from vintager.sources import snapshots, store
+from vintager.sources.versions import read_version
 from vintager.workload import pipeline_runs
 
 P0, P1 = utc("2031-03-05", 6), utc("2031-03-05", 7)
@@ -115,8 +116,8 @@ def test_replay_loads_everything_and_twice_changes_nothing(spark, small, tmp_pat
         loaded = result["availability"].collect()
         assert sum(r["fuel_rows"] for r in loaded) == len(CELLS)
         assert sum(r["system_rows"] for r in loaded) == len(DAYS)
-    assert spark.read.parquet(targets.unit_revision).count() == len(BOTH)
-    assert spark.read.parquet(targets.raw).count() == small.count()
+    assert read_version(spark, targets.unit_revision).count() == len(BOTH)
+    assert read_version(spark, targets.raw).count() == small.count()
 
 
 def test_availability_load_guards(spark, small, tmp_path):
@@ -148,13 +149,13 @@ def test_governed_run(spark, tmp_path):
     stages = jobs.standard_stages(spark, str(folder), base, str(tmp_path / "work"), targets)
     assert len(stages) == 6
 
-    land(folder, "a.json", "2026-08-12T00:00:00Z", {"A": 100, "B": 50})
+    land(folder, "a.json", "2031-03-05T00:00:00Z", {"A": 100, "B": 50})
     first = jobs.governed_run(spark, stages, log, "run", "TEST")
     assert first["revision load"] is None and first["rows"] == 2
-    land(folder, "b.json", "2026-08-12T01:00:00Z", {"A": 120, "B": 50})
+    land(folder, "b.json", "2031-03-05T01:00:00Z", {"A": 120, "B": 50})
     second = jobs.governed_run(spark, stages, log, "run", "TEST")
     assert second["revision load"]["unit_rows"] == 2
-    assert spark.read.parquet(targets.system_revision).first()["revision_mw"] == 20
+    assert read_version(spark, targets.system_revision).first()["revision_mw"] == 20
 
     def broken(context):
         raise RuntimeError("no disk")
@@ -172,8 +173,8 @@ def test_governed_run(spark, tmp_path):
 def test_collect_and_run(spark, tmp_path):
     folder = tmp_path / "landing"
     folder.mkdir()
-    land(folder, "a.json", "2026-08-12T00:00:00Z", {"A": 100, "B": 50})
-    land(folder, "b.json", "2026-08-12T01:00:00Z", {"A": 120, "B": 50})
+    land(folder, "a.json", "2031-03-05T00:00:00Z", {"A": 100, "B": 50})
+    land(folder, "b.json", "2031-03-05T01:00:00Z", {"A": 120, "B": 50})
     result = jobs.collect_and_run(
         spark, str(folder), str(tmp_path / "store"), jobs.ParquetSink(str(tmp_path / "out"))
     )

@@ -211,3 +211,32 @@ def test_newest_revised_pair_passes_over_a_publication_without_overlap(spark):
     assert {(r.nationalGridBmUnit, int(r.revisionMW)) for r in found} == {("V1", 14), ("V2", 0)}
     alone = history.filter(F.col("forecastDate") == "2033-12-24")
     assert pairs.newest_revised_pair(pairs.all_pair_revisions(alone)).isEmpty()
+
+
+def test_newest_pair_is_matched_alone(spark, canon, monkeypatch):
+    """The same rows as from all pairs, with only two publications' rows matched at a time."""
+    from vintager.workload import with_disjoint_end
+
+    matched = []
+    real = pairs.match_publications
+
+    def counted(previous, latest, c=C):
+        matched.append((previous.count(), latest.count()))
+        return real(previous, latest, c)
+
+    history = with_disjoint_end(canon)
+    wanted = pairs.newest_revised_pair(pairs.all_pair_revisions(history))
+    monkeypatch.setattr(pairs, "match_publications", counted)
+    assert same_rows(pairs.newest_pair_revisions(history), wanted)
+    sizes = {r["publishTime"]: r["count"] for r in history.groupBy("publishTime").count().collect()}
+    last = sorted(sizes)[-3:]
+    assert matched == [(sizes[last[1]], sizes[last[2]]), (sizes[last[0]], sizes[last[1]])]
+
+
+@pytest.mark.parametrize("hours", [[], [4], [4, 9], [4, 9, 21]])
+def test_newest_pair_of_short_histories(spark, hours):
+    rows = [("V1", "PEAT", utc("2033-11-02", h), f"2033-11-{h:02d}", h) for h in hours]
+    history = rows_of(spark, rows)
+    assert pairs.newest_pair_revisions(history).isEmpty()
+    undated = [("V1", "PEAT", None, "2033-11-04", 3), ("V2", "TIDE", None, "2033-11-04", 4)]
+    assert pairs.newest_pair_revisions(rows_of(spark, rows + undated)).isEmpty()

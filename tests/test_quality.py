@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pytest
 from conftest import rows_of, utc
+from pyspark.sql import functions as F
 
 from vintager.operators import quality
 from vintager.operators.quality import QualityError
@@ -77,3 +78,29 @@ def test_single_publication_time(good):
 def test_quality_report_is_one_scan_and_two_shuffles(good):
     plan = quality.quality_report(good)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(nationalGridBmUnit") == 1
+
+
+def test_equal_bags_have_equal_digests(spark, canon):
+    """Order and partitions don't matter; copies, NULLs and single values do."""
+    assert quality.differing_publications(canon, canon.orderBy(F.rand(3)).repartition(5)).isEmpty()
+    at = utc("2034-02-01", 4)
+    rows = [("H4", "TIDE", at, "2034-02-07", 2), ("H5", "TIDE", at, "2034-02-07", 3)]
+    base = rows_of(spark, rows).drop("collectedAt").withColumn("collectedAt", F.lit(at))
+
+    def of(*cells):
+        return rows_of(spark, list(cells)).drop("collectedAt").withColumn("collectedAt", F.lit(at))
+
+    for other, sizes in (
+        (of(*rows, rows[0]), (2, 3)),
+        (of(rows[0]), (2, 1)),
+        (of(rows[0], (*rows[1], "")), (2, 2)),
+        (of(*rows, (None, "TIDE", None, None, 1)), (0, 1)),
+    ):
+        (found,) = quality.differing_publications(base, other).collect()
+        assert (found["left_rows"], found["right_rows"]) == sizes
+        assert not quality.differing_rows(base, other).isEmpty()
+    # Two copies of a row cancel out in an exclusive or, not in a sum.
+    twice = of(*rows, ("H6", "TIDE", at, "2034-02-07", 9), ("H6", "TIDE", at, "2034-02-07", 9))
+    swapped = of(*rows, ("H7", "TIDE", at, "2034-02-07", 9), ("H7", "TIDE", at, "2034-02-07", 9))
+    assert quality.differing_publications(twice, swapped).count() == 1
+    assert quality.differing_rows(twice, swapped).count() == 2

@@ -114,6 +114,26 @@ def test_one_hot_series(spark):
     assert same_rows(chunked, revisions.entity_revisions(hot, chunk=None).drop("collectedAt"))
 
 
+def test_rows_without_a_unit_are_one_hot_series(spark, monkeypatch):
+    """Few publications don't bound it; its rows do, and its windows stay within the bound."""
+    times = [utc("2033-07-04", hour) for hour in (2, 7, 13, 22)]
+    hot = [(None, "PEAT", t, "2033-07-09", 10 * i * i) for i, t in enumerate(times) for _ in range(60)]
+    cold = [(f"W{n}", "TIDE", t, "2033-07-09", n * i) for i, t in enumerate(times) for n in range(20)]
+    df = rows_of(spark, hot + cold).drop("collectedAt").withColumn("collectedAt", F.lit(times[0]))
+    whole = revisions.entity_revisions(df, chunk=None)
+    monkeypatch.setattr(neighbours, "SERIES_ROWS", 100)
+    assert neighbours.chunk_unit(df, "publishTime") is None
+    unit = neighbours.chunk_unit(df, "publishTime", series=C.entity_series)
+    assert unit == "HOUR"
+    per_window = df.groupBy(*C.entity_series, F.date_trunc(unit, "publishTime")).count()
+    assert per_window.agg(F.max("count")).first()[0] <= 100
+    found = revisions.entity_revisions(df)
+    assert "date_trunc(HOUR" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert same_rows(found, whole) and found.count() == 60 * 4 - 1 + 60
+    monkeypatch.setattr(neighbours, "SERIES_ROWS", 240)
+    assert neighbours.chunk_unit(df, "publishTime", series=C.entity_series) is None
+
+
 def test_revisions_of_a_series_sum_to_last_minus_first(canon):
     change = revisions.entity_revisions(canon).groupBy(*C.entity_series).agg(
         F.sum("revisionMW").alias("total")

@@ -13,23 +13,23 @@ from vintager import schema
 from vintager.operators.publications import NoPublications, latest_publication
 from vintager.operators.quality import QualityError
 from vintager.plans import jobs, relational
-from vintager.sources import landing, snapshots, store, tables
+from vintager.sources import landing, snapshots, store, tables, versions
 
-P0, P1, P2 = utc("2026-08-12"), utc("2026-08-12", 1), utc("2026-08-13")
-D = "2026-08-14"
+P0, P1, P2 = utc("2034-09-21"), utc("2034-09-21", 1), utc("2034-09-22")
+D = "2034-09-25"
 
 
-def frame(published, mw, units=("UNIT-1", "UNIT-2"), alias=None) -> pd.DataFrame:
+def frame(published, mw, units=("GORSE-3", "TARN-8"), alias=None) -> pd.DataFrame:
     return pd.DataFrame(
         {
             "dataset": "TEST",
-            "fuelType": ["CCGT", "WIND"][: len(units)],
+            "fuelType": ["HYDRO", "TIDE"][: len(units)],
             "nationalGridBmUnit": list(units),
             "bmUnit": alias,
             "publishTime": pd.Timestamp(published),
             "forecastDate": pd.Timestamp(D),
             "outputUsable": mw,
-            "collectedAt": pd.Timestamp("2026-08-12T22:00:00.123456Z"),
+            "collectedAt": pd.Timestamp("2034-09-21T19:45:30.654321Z"),
         }
     )
 
@@ -42,21 +42,21 @@ def save(df: pd.DataFrame, path, unit="us") -> None:
 @pytest.fixture
 def mixed(tmp_path):
     """Integer, floating and text measures, an all-NULL column, and one ns file."""
-    save(frame(P0, [100, 50], alias=["T_1", "T_2"]), tmp_path / "x_publish_20260812T000000Z.parquet")
-    save(frame(P1, [90.5, None]), tmp_path / "x_publish_20260812T010000Z.parquet")
-    text = frame(P2, ["70", "bad"])
+    save(frame(P0, [64, 12], alias=["A-GORSE", "A-TARN"]), tmp_path / "x_publish_20340921T000000Z.parquet")
+    save(frame(P1, [63.25, None]), tmp_path / "x_publish_20340921T010000Z.parquet")
+    text = frame(P2, ["58.125", "bad"])
     text["forecastDate"] = [D, "n/a"]
-    save(text, tmp_path / "x_publish_20260813T000000Z.parquet")
-    (tmp_path / "x_publish_20260813T000000Z_metadata.json").write_text("{}")
+    save(text, tmp_path / "x_publish_20340922T000000Z.parquet")
+    (tmp_path / "x_publish_20340922T000000Z_metadata.json").write_text("{}")
     return tmp_path
 
 
 def add_nanos(directory):
-    df = frame(utc("2026-08-13", 1), [1, 2])
-    df["collectedAt"] = pd.Timestamp("2026-08-12T22:00:00.123456789Z")
+    df = frame(utc("2034-09-22", 1), [1, 2])
+    df["collectedAt"] = pd.Timestamp("2034-09-21T19:45:30.654321987Z")
     for name in ("publishTime", "collectedAt"):
         df[name] = df[name].astype("datetime64[ns, UTC]")
-    df.to_parquet(directory / "x_publish_20260813T010000Z.parquet", index=False)
+    df.to_parquet(directory / "x_publish_20340922T010000Z.parquet", index=False)
 
 
 def test_mixed_snapshot_types_become_one_history(spark, mixed):
@@ -67,28 +67,31 @@ def test_mixed_snapshot_types_become_one_history(spark, mixed):
         for r in df.withColumn("h", F.date_format("publishTime", "ddHH")).collect()
     }
     assert len(rows) == 6
-    assert float(rows["UNIT-1", "1200"]["outputUsable"]) == 100.0
-    assert float(rows["UNIT-1", "1201"]["outputUsable"]) == 90.5
-    assert rows["UNIT-2", "1201"]["outputUsable"] is None
-    assert rows["UNIT-1", "1200"]["bmUnit"] == "T_1" and rows["UNIT-1", "1201"]["bmUnit"] is None
-    assert rows["UNIT-2", "1300"]["outputUsable"] is None
-    assert rows["UNIT-2", "1300"]["forecastDate"] is None
-    assert str(rows["UNIT-1", "1300"]["forecastDate"]) == D
+    assert float(rows["GORSE-3", "2100"]["outputUsable"]) == 64.0
+    assert float(rows["GORSE-3", "2101"]["outputUsable"]) == 63.25
+    assert rows["TARN-8", "2101"]["outputUsable"] is None
+    assert rows["GORSE-3", "2100"]["bmUnit"] == "A-GORSE" and rows["GORSE-3", "2101"]["bmUnit"] is None
+    assert rows["TARN-8", "2200"]["outputUsable"] is None
+    assert rows["TARN-8", "2200"]["forecastDate"] is None
+    assert str(rows["GORSE-3", "2200"]["forecastDate"]) == D
 
 
 def test_nanosecond_snapshots_are_read_and_repaired(spark, mixed, tmp_path_factory):
     add_nanos(mixed)
+    setting = "spark.sql.legacy.parquet.nanosAsLong"
+    before = spark.conf.get(setting)
     df = snapshots.canonical_history(spark, str(mixed))
     assert df.count() == 8
-    assert df.filter("collectedAt = timestamp'2026-08-12 22:00:00.123456'").count() == 8
+    assert (df.sparkSession, spark.conf.get(setting)) == (spark, before) and before == "false"
+    assert df.filter("collectedAt = timestamp'2034-09-21 19:45:30.654321'").count() == 8
     target = str(tmp_path_factory.mktemp("repaired") / "out")
     repaired = snapshots.repair_timestamps(spark, str(mixed), target)
     assert [r["path"].rsplit("/", 1)[1] for r in repaired.collect()] == [
-        "x_publish_20260813T010000Z.parquet"
+        "x_publish_20340922T010000Z.parquet"
     ]
     fixed = spark.read.parquet(target)
     assert dict(fixed.dtypes)["collectedAt"] == "timestamp"
-    assert fixed.filter("collectedAt = timestamp'2026-08-12 22:00:00.123456'").count() == 2
+    assert fixed.filter("collectedAt = timestamp'2034-09-21 19:45:30.654321'").count() == 2
     again = snapshots.repair_timestamps(spark, target, target + "2", "*.parquet")
     assert again.isEmpty() and not tables.path_exists(spark, target + "2")
 
@@ -100,7 +103,7 @@ def test_no_snapshot_is_an_error(spark, tmp_path):
         snapshots.canonical_history(spark, str(tmp_path / "absent"))
 
 
-def record(published, unit="UNIT-1", fuel="CCGT", mw=100, target=D):
+def record(published, unit="GORSE-3", fuel="HYDRO", mw=64.5, target=D):
     return {
         "dataset": "TEST",
         "fuelType": fuel,
@@ -117,10 +120,10 @@ def landed(tmp_path):
     folder = tmp_path / "landing"
     folder.mkdir()
     both = [
-        record("2026-08-12T00:00:00Z"),
-        record("2026-08-12T00:00:00Z", "UNIT-2", "WIND", 50),
-        record("2026-08-12T03:00:00+02:00", "UNIT-1", "CCGT", 110),
-        record("2026-08-12T01:00:00Z", "UNIT-2", "WIND", 50),
+        record("2034-09-21T00:00:00Z"),
+        record("2034-09-21T00:00:00Z", "TARN-8", "TIDE", 12),
+        record("2034-09-21T03:00:00+02:00", "GORSE-3", "HYDRO", 66.25),
+        record("2034-09-21T01:00:00Z", "TARN-8", "TIDE", 12),
     ]
     (folder / "a.json").write_text(json.dumps(both))
     return folder
@@ -133,16 +136,16 @@ def test_landing_is_parsed_in_utc_and_leniently(spark, landed):
     bad = df.filter("publishTime IS NULL").first()
     assert bad["outputUsable"] is None and bad["forecastDate"] is None
     assert df.filter(F.col("publishTime") == F.lit(P1)).count() == 2
-    assert landing.read_landing(spark, str(landed), groups=["WIND"]).count() == 2
-    assert landing.read_landing(spark, str(landed), groups=["WIND"], entities=["UNIT-1"]).isEmpty()
+    assert landing.read_landing(spark, str(landed), groups=["TIDE"]).count() == 2
+    assert landing.read_landing(spark, str(landed), groups=["TIDE"], entities=["GORSE-3"]).isEmpty()
     assert landing.select_listed(df, [], None).count() == 5
 
 
 def test_publish_range_is_inclusive_and_in_utc(spark):
     df = rows_of(spark, [("U", "X", t, D, 1) for t in (P0, P1, P2)])
-    assert landing.publish_range(df, "2026-08-12T01:00:00+01:00", "2026-08-12T01:00:00").count() == 2
+    assert landing.publish_range(df, "2034-09-21T01:00:00+01:00", "2034-09-21T01:00:00").count() == 2
     with pytest.raises(ValueError):
-        landing.publish_range(df, "2026-08-12T01:00:00", "2026-08-12T02:00:00+01:00")
+        landing.publish_range(df, "2034-09-21T01:00:00", "2034-09-21T02:00:00+01:00")
 
 
 def test_split_publications(spark):
@@ -191,7 +194,7 @@ def test_a_crashed_write_is_repaired_by_the_next_run(spark, tmp_path):
     (
         df.limit(1)
         .withColumn("publish_date", F.to_date("publishTime"))
-        .withColumn("publish_stamp", F.lit("20260812T000000Z"))
+        .withColumn("publish_stamp", F.lit("20340921T000000Z"))
         .write.partitionBy("publish_date", "publish_stamp")
         .parquet(store.data_path(path))
     )
@@ -221,7 +224,7 @@ def test_append_if_absent(spark, tmp_path):
     assert store.append_if_absent(spark, path, first, "publish_time").first()["status"] == "loaded"
     status = store.append_if_absent(spark, path, both, "publish_time").orderBy("publish_time").collect()
     assert [(r["status"], r["rows"]) for r in status] == [("already_loaded", 1), ("loaded", 1)]
-    assert spark.read.parquet(path).count() == 2
+    assert versions.read_version(spark, path).count() == 2
 
 
 def test_upsert_replaces_and_adds_within_touched_partitions(spark, tmp_path):
@@ -232,14 +235,14 @@ def test_upsert_replaces_and_adds_within_touched_partitions(spark, tmp_path):
     )
     new = relational.raw_rows(rows_of(spark, [("A", "Y", P0, D, 10), ("C", "X", P1, D, 4)]))
     assert tables.upsert(spark, path, old, keys, "publish_time") == 3
-    untouched = set((tmp_path / "silver" / "publish_date=2026-08-13").iterdir())
+    untouched = set((tmp_path / "silver" / "data" / "publish_date=2034-09-22").rglob("*.parquet"))
     for _ in range(2):
         assert tables.upsert(spark, path, new, keys, "publish_time") == 2
-        rows = spark.read.parquet(path).collect()
+        rows = versions.read_version(spark, path).collect()
         assert sorted((r["national_grid_bm_unit"], float(r["output_usable_mw"])) for r in rows) == [
             ("A", 3.0), ("A", 10.0), ("B", 2.0), ("C", 4.0),
         ]
-    assert set((tmp_path / "silver" / "publish_date=2026-08-13").iterdir()) == untouched
+    assert set((tmp_path / "silver" / "data" / "publish_date=2034-09-22").rglob("*.parquet")) == untouched
     assert tables.upsert(spark, path, new.limit(0), keys, "publish_time") == 0
     with pytest.raises(ValueError, match="repeat"):
         tables.upsert(spark, path, new.unionByName(new), keys, "publish_time")
@@ -279,7 +282,7 @@ def test_backfill_creates_once(spark, tmp_path):
     path = str(tmp_path / "store")
     df = rows_of(
         spark,
-        [(u, f, t, D, mw) for t in (P0, P1) for u, f, mw in (("UNIT-1", "CCGT", 100), ("UNIT-2", "WIND", 50))],
+        [(u, f, t, D, mw) for t in (P0, P1) for u, f, mw in (("GORSE-3", "HYDRO", 100), ("TARN-8", "TIDE", 12))],
     )
     store.append_new_publications(df.filter(F.col("publishTime") == F.lit(P1)), path)
     summary = jobs.backfill(df, P0, P1, path).first().asDict()
@@ -299,3 +302,27 @@ def test_an_upsert_of_null_keys_is_idempotent(spark):
     rows = spark.createDataFrame([(None, 1, 5), ("x", None, 6), (None, None, 7)], schema)
     once = tables.merged(rows.limit(0), rows, ["unit", "day"])
     assert same_rows(tables.merged(once, rows, ["unit", "day"]), rows)
+
+
+def test_a_thousand_runs_leave_a_bounded_manifest(spark, tmp_path, monkeypatch):
+    """Each run appends a file; checkpoints gather them, also after a compaction that died."""
+    monkeypatch.setattr(store.compact_manifest, "__defaults__", (3,))
+    path = str(tmp_path / "store")
+    counts, died = [], False
+    for n in range(14):
+        df = rows_of(spark, [("GORSE-3", "HYDRO", utc("2034-09-21", n), D, n)])
+        if n == 6:
+            with monkeypatch.context() as patch:
+                patch.setattr(store, "read_manifest", lambda *_: 1 / 0)
+                with pytest.raises(ZeroDivisionError):
+                    store.compact_manifest(spark, path, 0)
+            died = True
+        store.append_new_publications(df, path)
+        manifest = store.read_manifest(spark, path)
+        assert manifest.select("publishTime").distinct().count() == manifest.count() == n + 1
+        counts.append(len(list((tmp_path / "store").glob("manifest*/**/*.parquet"))))
+    assert died and max(counts) <= 2 * 4 + 2
+    assert store.read_store(spark, path).count() == 14
+    outcome = store.append_new_publications(rows_of(spark, [("GORSE-3", "HYDRO", utc("2034-09-21"), D, 99)]), path)
+    assert [r["created"] for r in outcome.collect()] == [False]
+    assert not store.compact_manifest(spark, path, 100)

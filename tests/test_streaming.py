@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from vintager.columns import PUBLISH_DATE
 from vintager.operators.revisions import entity_revisions
 from vintager.sources import store
+from vintager.sources.versions import read_version
 from vintager.streaming.publications import ingest_stream
 
 
-def write_publication(folder, name, hour, mw, targets=("2026-08-14",)):
+def write_publication(folder, name, hour, mw, targets=("2034-09-25",)):
     rows = [
         {"dataset": "TEST", "fuelType": fuel, "nationalGridBmUnit": unit, "bmUnit": None,
-         "publishTime": f"2026-08-{12 + hour // 24:02d}T{hour % 24:02d}:00:00Z",
+         "publishTime": f"2034-09-{21 + hour // 24:02d}T{hour % 24:02d}:00:00Z",
          "forecastDate": target, "outputUsable": value}
         for target in targets
         for unit, (fuel, value) in mw.items()
@@ -34,7 +35,7 @@ def paths(tmp_path):
 
 def assert_current(spark, base, table):
     stored = store.read_store(spark, base).drop(PUBLISH_DATE)
-    incremental = spark.read.parquet(table).drop(PUBLISH_DATE)
+    incremental = read_version(spark, table).drop(PUBLISH_DATE)
     assert same_rows(incremental, entity_revisions(stored))
 
 
@@ -60,10 +61,10 @@ def test_any_arrival_order_gives_the_batch_revisions(spark, paths, order):
         30: {"A": ("X", 7), "B": ("Y", 9), "C": ("Y", 1)},
     }
     for hour in order:
-        write_publication(folder, f"{hour}.json", hour, values[hour], ("2026-08-14", "2026-08-15"))
+        write_publication(folder, f"{hour}.json", hour, values[hour], ("2034-09-25", "2034-09-26"))
         ingest_stream(spark, str(folder), base, checkpoint, revisions=table)
     assert_current(spark, base, table)
-    changed = spark.read.parquet(table)
+    changed = read_version(spark, table)
     assert changed.filter(F.col("previousPublishTime") >= F.col("latestPublishTime")).isEmpty()
     assert changed.count() == 10
 
@@ -97,20 +98,97 @@ def test_a_bad_publication_leaves_the_range_to_the_others(spark, paths):
 
     folder, base, _, _ = paths
     write_publication(folder, "a.json", 3, {"A": ("X", 1)})
-    write_publication(folder, "b.json", 4, {"A": ("X", 2)}, ("2026-08-14", "2026-08-14"))
+    write_publication(folder, "b.json", 4, {"A": ("X", 2)}, ("2034-09-25", "2034-09-25"))
     rows = read_landing(spark, str(folder))
     with pytest.raises(QualityError, match="2 rows share a source key.*04:00:00"):
-        backfill(rows, "2026-08-12T00:00:00Z", "2026-08-13T00:00:00Z", base)
+        backfill(rows, "2034-09-21T00:00:00Z", "2034-09-22T00:00:00Z", base)
     assert [float(r["outputUsable"]) for r in store.read_store(spark, base).collect()] == [1.0]
 
 
-def test_bad_batches_stop_the_stream(spark, paths):
-    from pyspark.errors import StreamingQueryException
+def quarantined(spark, base):
+    rows = store.read_quarantine(spark, base).orderBy("publishTime").collect()
+    return [(r["publishTime"].hour, r["rows"], r["reason"]) for r in rows]
 
-    folder, base, checkpoint, _ = paths
-    write_publication(folder, "a.json", 0, {"A": ("X", 1)}, ("2026-08-14", "2026-08-14"))
-    with pytest.raises(StreamingQueryException, match="share a source key"):
-        ingest_stream(spark, str(folder), base, checkpoint)
+
+def test_a_bad_publication_does_not_stop_the_stream(spark, paths):
+    """It is named once, its rows are kept aside, and later runs pass it over."""
+    folder, base, checkpoint, table = paths
+    write_publication(folder, "a.json", 3, {"G5": ("PEAT", 1)}, ("2034-09-25", "2034-09-25"))
+    write_publication(folder, "b.json", 4, {"G5": ("PEAT", 2)})
+    for n in range(2):
+        ingest_stream(spark, str(folder), base, checkpoint, revisions=table, files_per_batch=1)
+        assert quarantined(spark, base) == [(3, 2, "2 rows share a source key")]
+        assert store.read_store(spark, base).count() == n + 1
+        write_publication(folder, f"c{n}.json", 5 + n, {"G5": ("PEAT", 3 + n)})
+    assert spark.read.parquet(store.quarantine_ledger_path(base)).count() == 1
+    letters = store.read_quarantine(spark, base).first()["dead_letters"]
+    assert spark.read.parquet(letters).count() == 2
+    ingest_stream(spark, str(folder), base, checkpoint, revisions=table)
+    assert_current(spark, base, table)
+
+
+def test_only_bad_publications(spark, paths):
+    folder, base, checkpoint, table = paths
+    write_publication(folder, "a.json", 3, {"G5": ("PEAT", 1)}, ("2034-09-25", "2034-09-25"))
+    ingest_stream(spark, str(folder), base, checkpoint, revisions=table)
+    assert len(quarantined(spark, base)) == 1
+    with pytest.raises(store.NoPublications):
+        store.read_store(spark, base)
+
+
+def test_batch_ingest_judges_each_publication_alone(spark, paths):
+    from vintager.operators.quality import QualityError
+    from vintager.plans.jobs import ingest_landing
+
+    folder, base, _, _ = paths
+    empty = folder / "empty"
+    empty.mkdir()
+    (empty / "none.json").write_text("[]")
+    with pytest.raises(QualityError, match="no rows"):
+        ingest_landing(spark, str(empty), base)
+    (empty / "none.json").unlink()
+    empty.rmdir()
+    write_publication(folder, "a.json", 3, {"G5": ("PEAT", 1), "L2": ("TIDE", 0.5)})
+    write_publication(folder, "b.json", 4, {"G5": ("PEAT", 2)}, ("2034-09-25", "2034-09-25"))
+    (folder / "c.json").write_text(json.dumps([
+        {"nationalGridBmUnit": "G5", "publishTime": "soon", "forecastDate": "2034-09-25"}
+    ]))
+
+    def outcome():
+        rows = ingest_landing(spark, str(folder), base).collect()
+        return {(r["publishTime"] and r["publishTime"].hour, r["rows"], r["status"], r["created"]) for r in rows}
+
+    undated = (None, 1, "rejected", False)
+    assert outcome() == {(3, 2, "created", True), (4, 2, "rejected", False), undated}
+    assert outcome() == {(3, 2, "existing", False), (4, 2, "quarantined", False), undated}
+    assert store.read_store(spark, base).count() == 2
+    # Released and corrected, the publication is judged anew.
+    write_publication(folder, "b.json", 4, {"G5": ("PEAT", 2)})
+    assert (4, 1, "quarantined", False) in outcome()
+    store.release(spark, base, store.read_quarantine(spark, base))
+    assert quarantined(spark, base) == []
+    assert (4, 1, "created", True) in outcome()
+    assert store.read_store(spark, base).count() == 3
+
+
+def test_a_run_that_died_before_the_ledger_is_repeated(spark, paths, monkeypatch):
+    """Dead letters without a ledger line are written again, once."""
+    from vintager.plans.jobs import ingest_landing
+
+    folder, base, _, _ = paths
+    write_publication(folder, "b.json", 4, {"G5": ("PEAT", 2)}, ("2034-09-25", "2034-09-25"))
+
+    def die(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(store, "_record", die)
+        with pytest.raises(OSError, match="lost"):
+            ingest_landing(spark, str(folder), base)
+    assert quarantined(spark, base) == []
+    ingest_landing(spark, str(folder), base)
+    assert quarantined(spark, base) == [(4, 2, "2 rows share a source key")]
+    assert spark.read.parquet(store.quarantine_rows_path(base)).count() == 2
 
 
 def test_incremental_revisions_keep_null_units_and_dates(spark):
@@ -138,7 +216,7 @@ def test_split_publications_are_whole_for_any_files_per_batch(spark, tmp_path):
     folder.mkdir()
     write_publication(folder, "p.json", 5, {"H3": ("TIDE", 21), "H8": ("TIDE", 4)})
     write_publication(folder, "q.json", 5, {"H8": ("TIDE", 77), "L2": ("PEAT", 6)})
-    write_publication(folder, "r.json", 5, {"N1": ("PEAT", 9)}, ("2026-08-15",))
+    write_publication(folder, "r.json", 5, {"N1": ("PEAT", 9)}, ("2034-09-26",))
     write_publication(folder, "s.json", 8, {"H3": ("TIDE", 30)})
     for place, name in enumerate("pqrs"):
         os.utime(folder / f"{name}.json", (1_700_000_000 + place,) * 2)

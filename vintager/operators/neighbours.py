@@ -20,30 +20,47 @@ from vintager.session import ensure_checkpoint_dir
 
 AUTO = "auto"
 CHUNK_UNITS = ["YEAR", "MONTH", "DAY", "HOUR", "MINUTE", "SECOND"]
-# Rows of one series that a single task may order. Hourly publications reach it
-# after a century.
+# Rows of one series that a single task may order.
 SERIES_ROWS = 1_000_000
 
 
-def chunk_unit(df: DataFrame, order: str, max_rows: int = SERIES_ROWS) -> str | None:
-    """The largest time unit that keeps a series within ``max_rows`` per unit.
-
-    A series has at most one row per publication (the source key is unique), so the
-    number of distinct ``order`` values bounds every series: a one-column scan with
-    map-side combine. ``None`` means no chunking is needed.
+def chunk_unit(
+    df: DataFrame,
+    order: str,
+    max_rows: int | None = None,
+    series: Sequence[str] | None = None,
+) -> str | None:
+    """The largest time unit that keeps every series within ``max_rows`` rows per unit.
+
+    With ``series`` the rows themselves are counted, so that NULL keys and repeated keys,
+    which may put any number of rows into one series, are seen: the whole count first, then
+    one aggregation with map-side combine. Without, the rows are unique per series and
+    ``order``, as aggregated histories are, and the number of distinct ``order`` values is the
+    bound. ``None`` means no chunking is needed. Beyond the smallest unit a series holds one
+    key many times over, which the quality verdict refuses.
     """
-    times = df.select(order).distinct()
-    if times.count() <= max_rows:
+    most = SERIES_ROWS if max_rows is None else max_rows
+    if series is None:
+        df, keys = df.select(order).distinct(), []
+        longest = df.count()
+    else:
+        keys = list(series)
+        longest = df.count()
+        if longest > most:
+            longest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    if longest <= most:
         return None
     for unit in CHUNK_UNITS[:-1]:
-        per_unit = times.groupBy(F.date_trunc(unit, F.col(order)).alias("_unit")).count()
-        if per_unit.agg(F.max("count")).first()[0] <= max_rows:
+        per_unit = df.groupBy(*keys, F.date_trunc(unit, F.col(order)).alias("_unit")).count()
+        if per_unit.agg(F.max("count")).first()[0] <= most:
             return unit
     return CHUNK_UNITS[-1]
 
 
-def resolve_chunk(df: DataFrame, order: str, chunk: str | None) -> str | None:
-    return chunk_unit(df, order) if chunk == AUTO else chunk
+def resolve_chunk(
+    df: DataFrame, order: str, chunk: str | None, series: Sequence[str] | None = None
+) -> str | None:
+    return chunk_unit(df, order, series=series) if chunk == AUTO else chunk
 
 
 def with_predecessor(
@@ -62,7 +79,7 @@ def with_predecessor(
     puts two rows per chunk into a task. The result is the same. Both branches read
     one shuffle: the second is a ReusedExchange.
     """
-    chunk = resolve_chunk(df, order, chunk)
+    chunk = resolve_chunk(df, order, chunk, series)
     marker = next(new for new, source in carry.items() if source == order)
 
     def lagged(frame: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -42,6 +42,7 @@ from vintager.operators.publications import (
     publications,
 )
 from vintager.operators.sizing import BROADCAST_ROWS, broadcast_if_small
+from vintager.session import ensure_checkpoint_dir
 
 
 class NoCommonDates(ValueError):
@@ -96,22 +97,18 @@ def adjacent_pairs(df: DataFrame, c: Columns = DEFAULT) -> DataFrame:
     )
 
 
-def _sized(df: DataFrame, c: Columns, chunk: str | None) -> tuple[str | None, DataFrame]:
-    """The chunk unit, and the adjacent pairs, broadcast if there are few publications.
-
-    The count that settles the chunk also bounds the pairs: one row per publication.
-    """
-    unit = resolve_chunk(df, c.published, chunk)
-    few = unit is None if chunk == AUTO else publications(df, c).count() <= BROADCAST_ROWS
+def _known_pairs(df: DataFrame, c: Columns) -> DataFrame:
+    """The adjacent pairs, broadcast if a count of the publications bounds them."""
+    few = publications(df, c).count() <= BROADCAST_ROWS
     pairs = adjacent_pairs(df, c)
-    return unit, F.broadcast(pairs) if few else pairs
+    return F.broadcast(pairs) if few else pairs
 
 
 def all_pair_revisions(
     df: DataFrame, c: Columns = DEFAULT, chunk: str | None = AUTO
 ) -> DataFrame:
     """Revisions of every adjacent pair of publications at once."""
-    unit, pairs = _sized(df, c, chunk)
+    pairs = _known_pairs(df, c)
     keys = [c.entity, c.group, c.target]
     dated = df.filter(F.col(c.target).isNotNull() & F.col(c.published).isNotNull())
     rows = with_predecessor(
@@ -119,7 +116,7 @@ def all_pair_revisions(
         keys,
         c.published,
         {PREVIOUS_TIME: c.published, PREVIOUS_MW: c.measure},
-        unit,
+        chunk,
     ).withColumnsRenamed({c.published: LATEST_TIME, c.measure: LATEST_MW})
     previous, latest = F.col(PREVIOUS_TIME), F.col(LATEST_TIME)
     checked = rows.withColumn(PREVIOUS_TIME, _unique(previous, previous, latest))
@@ -186,8 +183,38 @@ def latest_pair_revisions(df: DataFrame, c: Columns = DEFAULT) -> DataFrame:
     )
 
 
+def newest_pair_revisions(df: DataFrame, c: Columns = DEFAULT) -> DataFrame:
+    """The revisions of the newest adjacent pair that has any; no rows if none has.
+
+    Publications are taken newest first and only the rows of two of them are matched, so a
+    history of any length costs one column for its publication times and the two
+    publications, again for each pair that is passed over. The matched rows are written once,
+    as whether there are any decides.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    times = publications(df, c).select(F.unix_micros(c.published).alias("at")).checkpoint()
+
+    def newest_before(bound: int | None) -> int | None:
+        known = times if bound is None else times.filter(F.col("at") < bound)
+        return known.agg(F.max("at")).first()[0]
+
+    def rows_at(instant: int) -> DataFrame:
+        return at_time(df, c.published, F.timestamp_micros(F.lit(instant)))
+
+    later = newest_before(None)
+    while later is not None:
+        earlier = newest_before(later)
+        if earlier is None:
+            break
+        rows = match_publications(rows_at(earlier), rows_at(later), c).checkpoint()
+        if not rows.isEmpty():
+            return rows
+        later = earlier
+    return match_publications(df.limit(0), df.limit(0), c)
+
+
 def newest_revised_pair(unit_revisions: DataFrame) -> DataFrame:
-    """The revisions of the newest pair that has any; publications without a match are passed over.
+    """The same of stored revisions; publications without a match have none there.
 
     The pair is a scalar subquery, so the rows are filtered without a join.
     """
@@ -234,12 +261,13 @@ def pair_overlap(df: DataFrame, c: Columns = DEFAULT) -> DataFrame:
     Works on one row per publication and date: a date is common to a pair if its
     previous publication is the adjacent one.
     """
-    unit, pairs = _sized(df, c, AUTO)
+    pairs = _known_pairs(df, c)
     dates = df.select(c.published, c.target).filter(
         F.col(c.published).isNotNull() & F.col(c.target).isNotNull()
-    )
+    ).distinct()
     rows = with_predecessor(
-        dates.distinct(), [c.target], c.published, {PREVIOUS_TIME: c.published}, unit
+        dates, [c.target], c.published, {PREVIOUS_TIME: c.published},
+        resolve_chunk(dates, c.published, AUTO),
     )
     common = rows.groupBy(PREVIOUS_TIME, F.col(c.published).alias(LATEST_TIME)).agg(
         F.count(F.lit(1)).alias("_n")

@@ -12,9 +12,11 @@ from vintager.columns import (
     DEFAULT,
     LATEST_TIME,
     PREVIOUS_TIME,
+    PUBLISH_DATE,
     REVISION,
     Columns,
 )
+from vintager.operators.sizing import broadcast_if_small
 
 
 class QualityError(ValueError):
@@ -208,3 +210,77 @@ def reconcile_revisions(
         .join(level(system, "systemRevisionMW"), pair, "full_outer")
     )
 
+
+
+def publication_digests(df: DataFrame, columns: list[str], c: Columns = DEFAULT) -> DataFrame:
+    """Rows, and two order-free digests of the bag of rows, per publication.
+
+    Each row is hashed twice, and hashes are added and xor-ed, so one aggregation with
+    map-side combine stands for all rows of a publication, however many they are. NULLs and
+    empty texts are told apart, and a row that is there twice counts twice.
+    """
+    # Hashes skip NULLs, so which columns are NULL goes in first.
+    nulls = F.concat(*[F.when(F.col(name).isNull(), "1").otherwise("0") for name in columns])
+    first, second = F.xxhash64(nulls, *columns), F.xxhash64(F.lit(1), nulls, *columns[::-1])
+    return df.groupBy(c.published).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(first.cast("decimal(20,0)")).alias("hash_sum"),
+        F.sum(second.cast("decimal(20,0)")).alias("second_sum"),
+        F.bit_xor(first).alias("hash_xor"),
+    )
+
+
+def differing_publications(
+    left: DataFrame, right: DataFrame, columns: list[str] | None = None, c: Columns = DEFAULT
+) -> DataFrame:
+    """Publications whose bags of rows differ, with the rows of either side (0 if it lacks one).
+
+    One row per publication and side meets here, so tables of any size that are equal are
+    proven so without joining their rows.
+    """
+    names = columns or [name for name in left.columns if name != PUBLISH_DATE]
+    renamed = {"rows": "right_rows", "hash_sum": "_sum", "second_sum": "_second", "hash_xor": "_xor"}
+    other = publication_digests(right, names, c).withColumnsRenamed(
+        renamed | {c.published: "_published"}
+    )
+    both = publication_digests(left, names, c).join(
+        other, F.col(c.published).eqNullSafe(F.col("_published")), "full_outer"
+    )
+    same = (
+        F.col("rows").eqNullSafe(F.col("right_rows"))
+        & F.col("hash_sum").eqNullSafe(F.col("_sum"))
+        & F.col("second_sum").eqNullSafe(F.col("_second"))
+        & F.col("hash_xor").eqNullSafe(F.col("_xor"))
+    )
+    return both.filter(~same).select(
+        F.coalesce(c.published, "_published").alias(c.published),
+        F.coalesce("rows", F.lit(0)).alias("left_rows"),
+        F.coalesce("right_rows", F.lit(0)).alias("right_rows"),
+    )
+
+
+def differing_rows(
+    left: DataFrame, right: DataFrame, columns: list[str] | None = None, c: Columns = DEFAULT
+) -> DataFrame:
+    """The rows that only one side has, or has more often: the row, left_copies, right_copies.
+
+    Only publications whose digests differ are compared row by row, by one aggregation of
+    both sides.
+    """
+    names = columns or [name for name in left.columns if name != PUBLISH_DATE]
+    unequal = differing_publications(left, right, names, c).select(
+        F.col(c.published).alias("_published")
+    )
+    listed = broadcast_if_small(unequal)
+    sides = left.select(*names, F.lit(1).alias("_side")).unionByName(
+        right.select(*names, F.lit(-1).alias("_side"))
+    )
+    open_ = sides.join(listed, F.col(c.published).eqNullSafe(F.col("_published")), "left_semi")
+    return (
+        open_.groupBy(*names)
+        .agg(
+            F.count_if(F.col("_side") > 0).alias("left_copies"),
+            F.count_if(F.col("_side") < 0).alias("right_copies"),
+        )
+        .filter(F.col("left_copies") != F.col("right_copies"))
+    )

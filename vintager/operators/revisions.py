@@ -62,7 +62,7 @@ def series_revisions(
         series,
         c.published,
         {PREVIOUS_TIME: c.published, PREVIOUS_MW: AVAILABLE},
-        chunk,
+        resolve_chunk(history, c.published, chunk),
     )
     return _revised(rows, c.published, AVAILABLE)
 
@@ -125,7 +125,7 @@ def recent_entity_revisions(
     df: DataFrame, hours: int = 24, c: Columns = DEFAULT, chunk: str | None = AUTO
 ) -> DataFrame:
     """The entity revisions of the trailing window, from canonical rows."""
-    unit = resolve_chunk(df, c.published, chunk)
+    unit = resolve_chunk(df, c.published, chunk, c.entity_series)
     return _recent(
         df, c.entity_series, hours, c, lambda rows: entity_revisions(rows, c, unit)
     )

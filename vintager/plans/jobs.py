@@ -35,15 +35,25 @@ from vintager.session import ensure_checkpoint_dir
 from vintager.sources.landing import FILE, one_publication, publish_range, read_landing, united
 from vintager.sources.snapshots import canonical_history
 from vintager.sources.store import (
+    REJECTED,
     admit,
     append_if_absent,
     append_new_publications,
+    manifest_path,
     new_rows,
     publication_status,
+    read_manifest,
     read_store,
-    unstored,
 )
-from vintager.sources.tables import read_dataset, upsert, verify_load, write_parquet, write_tables
+from vintager.sources.tables import (
+    path_exists,
+    read_dataset,
+    upsert,
+    verify_load,
+    write_parquet,
+    write_tables,
+)
+from vintager.sources.versions import read_version
 
 GROUP_HISTORY = "fuel_availability_history"
 SYSTEM_HISTORY = "system_availability_history"
@@ -59,14 +69,14 @@ DATASETS = [GROUP_HISTORY, SYSTEM_HISTORY, ENTITY_REVISIONS, GROUP_REVISIONS, SY
 
 
 def build_datasets(df: DataFrame, c: Columns = DEFAULT) -> dict[str, DataFrame]:
-    """The five history datasets as lazy plans. One count sizes the series for all."""
+    """The five history datasets as lazy plans. One count sizes the aggregated series."""
     chunk = chunk_unit(df, c.published)
     by_group = group_history(df, c)
     system = system_history(by_group, c)
     return {
         GROUP_HISTORY: by_group,
         SYSTEM_HISTORY: system,
-        ENTITY_REVISIONS: entity_revisions(df, c, chunk),
+        ENTITY_REVISIONS: entity_revisions(df, c),
         GROUP_REVISIONS: series_revisions(by_group, c.group_series, c, chunk),
         SYSTEM_REVISIONS: series_revisions(system, c.total_series, c, chunk),
     }
@@ -129,7 +139,7 @@ def run_history_job(
 
     by_group = store(GROUP_HISTORY, group_history(df, c))
     system = store(SYSTEM_HISTORY, system_history(by_group, c))
-    store(ENTITY_REVISIONS, entity_revisions(df, c, chunk))
+    store(ENTITY_REVISIONS, entity_revisions(df, c))
     store(GROUP_REVISIONS, series_revisions(by_group, c.group_series, c, chunk))
     store(SYSTEM_REVISIONS, series_revisions(system, c.total_series, c, chunk))
     return {"quality": quality, "row_counts": counts, "outputs": outputs}
@@ -153,7 +163,11 @@ def history_report(df: DataFrame, c: Columns = DEFAULT) -> dict[str, DataFrame]:
 def ingest_landing(
     spark: SparkSession, landing: str, store: str, c: Columns = DEFAULT
 ) -> DataFrame:
-    """Validate landing files and store their new publications; each is parsed once."""
+    """Judge the new publications of the landing files and store the good ones.
+
+    Returns one row per publication with its status; refused ones are in the store's
+    quarantine. Each file is parsed once.
+    """
     rows = read_landing(spark, landing, c=c, files=True).persist()
     try:
         return admit(rows, store, c)
@@ -191,7 +205,10 @@ def backfill(
     if rows.isEmpty():
         return backfill_summary(publication_status(rows, rows, c))
     ensure_checkpoint_dir(df.sparkSession)
-    bad = ingest_report(unstored(rows, store, c), c).filter("duplicate_key_rows > 0")
+    listed = rows.limit(0)
+    if path_exists(df.sparkSession, manifest_path(store)):
+        listed = read_manifest(df.sparkSession, store)
+    bad = ingest_report(new_rows(rows, listed, c), c).filter("duplicate_key_rows > 0")
     bad = bad.select(c.published, "duplicate_key_rows").checkpoint()
     good = new_rows(rows, bad, c)
     status = append_new_publications(good, store, c)
@@ -305,8 +322,8 @@ def load_availability(
     upsert(spark, targets.fuel_availability, group_rows, schema.GROUP_AVAILABILITY_KEY, time)
     upsert(spark, targets.system_availability, system_rows, schema.SYSTEM_AVAILABILITY_KEY, time)
     return verify_load(
-        spark.read.parquet(targets.fuel_availability),
-        spark.read.parquet(targets.system_availability),
+        read_version(spark, targets.fuel_availability),
+        read_version(spark, targets.system_availability),
         time,
     ).select(
         time,
@@ -394,7 +411,7 @@ def replay(df: DataFrame, targets: RelationalTargets, c: Columns = DEFAULT) -> d
         time,
     )
     back = {name: source for source, name, _ in schema.UNIT_REVISION_TABLE}
-    unit = spark.read.parquet(targets.unit_revision).withColumnsRenamed(back)
+    unit = read_version(spark, targets.unit_revision).withColumnsRenamed(back)
     fuel_rows = upsert(
         spark,
         targets.fuel_revision,
@@ -463,6 +480,7 @@ def standard_stages(
 
     def ingest(context: dict) -> DataFrame:
         status = ingest_landing(spark, landing, store, c)
+        context["rejected"] = status.filter(F.col("status") == REJECTED).count()
         details = source_details(latest(), c).first()
         context["publish_time"], context["rows"] = details[c.published], details["rows"]
         return status

@@ -291,6 +291,17 @@ def stability(
     counted = revisions.agg(
         F.count_if(F.col(DIRECTION) == UNCHANGED).alias("_same"), F.count(F.lit(1)).alias("_all")
     )
+    return stability_of(counted, entity_window, group_window, dimension, c)
+
+
+def stability_of(
+    counted: DataFrame,
+    entity_window: DataFrame,
+    group_window: DataFrame,
+    dimension: DataFrame | None = None,
+    c: Columns = DEFAULT,
+) -> DataFrame:
+    """``stability`` from one row that counts unchanged (``_same``) and all (``_all``) revisions."""
     score = F.when(
         F.col("_all") == 0, F.raise_error("Revision history is empty.").cast("decimal(10,2)")
     ).otherwise(share_or_zero(F.col("_same"), F.col("_all"), 2).cast("decimal(10,2)"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -43,3 +44,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
             raise ValueError("Set spark.checkpoint.dir to a folder all executors share.")
         shared = tempfile.mkdtemp(prefix="vintager-checkpoint-")
     context.setCheckpointDir(shared)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of its own beside the checkpoints, which all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"

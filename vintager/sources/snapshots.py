@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from vintager.operators.publications import NoPublications
 from vintager.schema import CANONICAL
+from vintager.session import use_utc
 
 SNAPSHOT_GLOB = "*_publish_*.parquet"
 NANOS = "timestamp[ns"
@@ -115,11 +116,17 @@ def canonical_history(
 
 
 def _scan(spark: SparkSession, paths: list[str], nanos: bool) -> DataFrame:
-    if nanos:
-        # There is no per-read form, and the scan reads the setting when it runs, so it
-        # stays on. Files without nanosecond timestamps read as before.
-        spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
-    return spark.read.parquet(*paths)
+    """The files as they are; nanosecond timestamps as longs.
+
+    There is no per-read form of that, so such files are scanned by a session of their own,
+    whose setting the caller's never sees. The union puts the rows into the caller's session.
+    """
+    if not nanos:
+        return spark.read.parquet(*paths)
+    own = use_utc(spark.newSession())
+    own.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+    rows = own.read.parquet(*paths)
+    return spark.createDataFrame([], rows.schema).union(rows)
 
 
 def repair_timestamps(

@@ -10,6 +10,15 @@ from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from vintager.columns import DEFAULT, LATEST_TIME, PUBLISH_DATE
+from vintager.session import ensure_checkpoint_dir
+from vintager.sources.versions import (
+    days_of,
+    is_versioned,
+    publish,
+    read_version,
+    version,
+    write_files,
+)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -26,9 +35,11 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 
 def read_dataset(spark: SparkSession, name: str) -> DataFrame:
-    """A catalog table if one has this name, else a Parquet path; an error if neither."""
+    """A catalog table if one has this name, else a (versioned) Parquet path; or an error."""
     if "/" not in name and spark.catalog.tableExists(name):
         return spark.table(name)
+    if "/" in name and is_versioned(spark, name):
+        return read_version(spark, name)
     if "/" in name and path_exists(spark, name):
         return spark.read.parquet(name)
     raise FileNotFoundError(f"Dataset not found: {name}")
@@ -86,16 +97,19 @@ def merged(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFra
 def upsert(
     spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str], time: str
 ) -> int:
-    """Upsert ``source`` into a Parquet table partitioned by the date of ``time``.
+    """Upsert ``source`` into a versioned Parquet table partitioned by the date of ``time``.
 
-    ``time`` is one of the keys, so a row can only replace a row of its own
-    partition: only the source's partitions are read and rewritten. Spark stages the
-    new files and swaps partitions at job commit. One writer at a time.
+    ``time`` is one of the keys, so a row can only replace a row of its own day (rows
+    without a time have a partition of their own): only the source's days are read and
+    written anew. The source is evaluated once. The new version appears by one rename, so
+    a run that dies leaves the old one, and a second writer gets a ``ConcurrentWrite``.
     Returns the number of source rows.
     """
     if time not in keys:
         raise ValueError("The partition time must be part of the key.")
-    dated = source.withColumn(PUBLISH_DATE, F.to_date(time))
+    ensure_checkpoint_dir(spark)
+    base = version(spark, path)
+    dated = source.withColumn(PUBLISH_DATE, F.to_date(time)).checkpoint()
     check = dated.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.max("_n").alias("copies")
     ).first()
@@ -103,19 +117,13 @@ def upsert(
         return 0
     if check["copies"] > 1:
         raise ValueError("The rows to upsert repeat a key.")
+    days = days_of(dated)
     result = dated
-    if path_exists(spark, path):
-        # One date per calendar day written: the pruning list stays small.
-        days = [row[0] for row in dated.select(PUBLISH_DATE).distinct().toLocalIterator()]
-        existing = spark.read.parquet(path)
-        result = merged(existing.filter(F.col(PUBLISH_DATE).isin(days)), dated, keys)
-    (
-        result.hint("rebalance", PUBLISH_DATE)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(PUBLISH_DATE)
-        .parquet(path)
-    )
+    if any(day in base.live for day in days):
+        existing = read_version(spark, path, base, days)
+        result = merged(existing.select(*dated.columns), dated, keys)
+    name = write_files(result, path)
+    publish(spark, path, base, base.live | {day: [name] for day in days})
     return check["rows"]
 
 

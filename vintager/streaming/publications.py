@@ -11,17 +11,16 @@ from operator import and_
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vintager.columns import DEFAULT, LATEST_TIME, PREVIOUS_TIME, PUBLISH_DATE, Columns
-from vintager.operators.quality import assert_ingest
 from vintager.operators.revisions import entity_revisions
 from vintager.operators.sizing import broadcast_if_small
 from vintager.schema import LANDING
-from vintager.sources.landing import parse_landing, united, with_file
-from vintager.sources.store import admit, read_store, unstored
+from vintager.sources.landing import parse_landing, with_file
+from vintager.sources.store import admit, manifest_path, read_store
 from vintager.sources.tables import path_exists, remove_path, upsert
 
 
@@ -70,31 +69,49 @@ def ingest_stream(
     Batches only stage their parsed rows, beside ``checkpoint`` and by batch, so a replay
     overwrites its own. Publications are admitted once the run's last batch is staged, from
     all staged rows: a publication in several files is whole, however the files fall into
-    batches. What is staged is removed last, so a run that dies in between is finished by the
-    next one.
+    batches. One that is refused goes to the store's quarantine and stops nothing. What is
+    staged is removed last, so a run that dies in between is finished by the next one.
     """
     staged = f"{checkpoint}-staged"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        path = f"{staged}/batch={batch_id}"
-        batch.write.mode("overwrite").parquet(path)
-        # A file lies in one batch, so a key repeated within a file stops the stream here.
-        fresh = unstored(spark.read.parquet(path), store, c)
-        if not fresh.isEmpty():
-            assert_ingest(united(fresh, c), c)
+        batch.write.mode("overwrite").parquet(f"{staged}/batch={batch_id}")
 
     query = run_available(landing_stream(spark, landing, c, files_per_batch), handle, checkpoint)
     if path_exists(spark, staged):
         rows = spark.read.parquet(staged).drop("batch")
         if not rows.isEmpty():
             admit(rows, store, c)
-            if revisions is not None:
+            if revisions is not None and path_exists(spark, manifest_path(store)):
                 times = rows.select(c.published).filter(F.col(c.published).isNotNull())
                 refresh_revisions(spark, store, times.distinct(), revisions, c)
         remove_path(spark, staged)
     return query
 
 
+def touched_dates(
+    history: DataFrame, times: DataFrame, c: Columns = DEFAULT
+) -> tuple[Column, Column]:
+    """Scalar bounds of the target dates that publications ``times`` mention."""
+    dates = _rows_of(history, times, c).agg(
+        F.struct(F.min(c.target).alias("low"), F.max(c.target).alias("high"))
+    ).scalar()
+    return dates.getField("low"), dates.getField("high")
+
+
+def _rows_of(history: DataFrame, times: DataFrame, c: Columns) -> DataFrame:
+    """The rows of publications ``times``; of a stored history only their days are read."""
+    fresh = history.join(broadcast_if_small(times), c.published, "left_semi")
+    if PUBLISH_DATE not in history.columns:
+        return fresh
+    days = times.agg(
+        F.struct(
+            F.min(F.to_date(c.published)).alias("low"), F.max(F.to_date(c.published)).alias("high")
+        )
+    ).scalar()
+    return fresh.filter(F.col(PUBLISH_DATE).between(days.getField("low"), days.getField("high")))
+
+
 def affected_revisions(history: DataFrame, times: DataFrame, c: Columns = DEFAULT) -> DataFrame:
     """Revisions that publications ``times`` add or change, from the whole history.
 
@@ -102,28 +119,14 @@ def affected_revisions(history: DataFrame, times: DataFrame, c: Columns = DEFAUL
     stored. Its series are revised as a whole, and the revisions on either side of it
     are returned. Only target dates that the new publications mention are read.
     """
-    known = broadcast_if_small(times)
-    fresh = history.join(known, c.published, "left_semi")
-    if PUBLISH_DATE in history.columns:
-        days = times.agg(
-            F.struct(
-                F.min(F.to_date(c.published)).alias("low"),
-                F.max(F.to_date(c.published)).alias("high"),
-            )
-        ).scalar()
-        fresh = fresh.filter(
-            F.col(PUBLISH_DATE).between(days.getField("low"), days.getField("high"))
-        )
-    series = fresh.select(*c.entity_series).distinct()
-    dates = fresh.agg(
-        F.struct(F.min(c.target).alias("low"), F.max(c.target).alias("high"))
-    ).scalar()
+    series = _rows_of(history, times, c).select(*c.entity_series).distinct()
+    low, high = touched_dates(history, times, c)
     # Series with a NULL unit or date are matched like any other, as in a batch.
     listed = series.withColumnsRenamed({k: f"_of_{k}" for k in c.entity_series})
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in c.entity_series])
     touched = history.filter(
         F.col(c.target).isNull()
-        | F.col(c.target).between(dates.getField("low"), dates.getField("high"))
+        | F.col(c.target).between(low, high)
     ).join(listed, same, "left_semi")
     revised = entity_revisions(touched.select(*c.required), c)
     for name, flag in ((LATEST_TIME, "_is_new"), (PREVIOUS_TIME, "_follows_new")):

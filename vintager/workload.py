@@ -17,6 +17,7 @@ from vintager.columns import DEFAULT as C
 from vintager.operators.availability import availability
 from vintager.operators.publications import NUMBER, publication_calendar
 from vintager.session import use_utc
+from vintager.sources.landing import FILE, FILE_TIME
 
 STORED_BEFORE = datetime(2024, 1, 25, tzinfo=timezone.utc)
 GROUP_CHANGE_AT = datetime(2024, 1, 16, tzinfo=timezone.utc)
@@ -82,6 +83,18 @@ def stored(df: DataFrame) -> DataFrame:
     return df.filter(F.col(C.published) < F.lit(STORED_BEFORE))
 
 
+def drifted(df: DataFrame) -> DataFrame:
+    """The history as another table might hold it: a value off, rows missing, twice or added."""
+    n, p = unit_number(), publication_number(F.col(C.published))
+    copies = F.when((p == 9) & (n % 19 == 3), 0).when((p == 17) & (n % 23 == 5), 2).otherwise(1)
+    rows = df.withColumn(
+        C.alias, F.when((p == 31) & (n % 12 == 6), F.lit("")).otherwise(F.col(C.alias))
+    ).withColumn(
+        C.measure, F.when((p == 25) & (n % 29 == 7), F.col(C.measure) + 1).otherwise(F.col(C.measure))
+    )
+    return rows.select("*", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("_")).drop("_")
+
+
 def duplicated(df: DataFrame) -> DataFrame:
     return df.unionByName(df.filter(unit_number() % 10 == 0))
 
@@ -98,6 +111,31 @@ def dirty(df: DataFrame) -> DataFrame:
     )
 
 
+def fractional(df: DataFrame) -> DataFrame:
+    """Measures in eighths of a megawatt, so that sums, shares and their ties are not whole."""
+    eighths = F.col(C.measure) * 1000 + 125 * (unit_number() % 8)
+    return df.withColumn(C.measure, (eighths.cast("decimal(18,0)") / 1000).cast("decimal(12,3)"))
+
+
+def snapshot_kinds(df: DataFrame) -> list[DataFrame]:
+    """The history in three parts whose columns have other types: whole and floating numbers,
+    and text, some of it no number or date.
+    """
+    n, p = unit_number(), publication_number(F.col(C.published)) % 3
+    measure, target = F.col(C.measure), F.col(C.target)
+    text = {
+        C.measure: F.when(n % 11 == 0, "bad").otherwise(measure.cast("string")),
+        C.target: F.when(n % 17 == 0, "n/a").otherwise(F.date_format(target, "yyyy-MM-dd")),
+        C.published: F.date_format(C.published, "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+    }
+    floating = F.when(n % 13 == 1, F.lit(float("nan"))).otherwise(measure.cast("double") + 0.125)
+    return [
+        df.filter(p == 0),
+        df.filter(p == 1).withColumn(C.measure, floating),
+        df.filter(p == 2).withColumns(text),
+    ]
+
+
 def as_text(df: DataFrame) -> DataFrame:
     n = unit_number()
     return df.select(
@@ -113,6 +151,39 @@ def as_text(df: DataFrame) -> DataFrame:
     )
 
 
+def publication_number(column: Column) -> Column:
+    """1 for the first half of the month's first day, 2 for its second half, and so on."""
+    return 2 * F.day(column) - 1 + (F.hour(column) >= 12).cast("int")
+
+
+def landed(df: DataFrame) -> DataFrame:
+    """The history as rows of landing files: whole, split, pulled twice, with repeated keys,
+    and some without a publication time.
+    """
+    n, p = unit_number(), publication_number(F.col(C.published))
+    copies = (
+        F.when((p % 7 == 3) & (n % 10 == 0), F.array(F.lit("a"), F.lit("a")))
+        .when(p % 5 == 2, F.array(F.lit("a"), F.lit("b")))
+        .when((p % 5 == 1) & (n % 2 == 1), F.array(F.lit("b")))
+        .otherwise(F.array(F.lit("a")))
+    )
+    file = F.col(FILE)
+    return df.select("*", F.explode(copies).alias(FILE)).withColumns(
+        {
+            C.measure: F.col(C.measure) + F.when(file == "b", 20).otherwise(0),
+            C.published: F.when((p % 7 != 5) | (n % 97 != 5), F.col(C.published)),
+            FILE_TIME: F.when(file == "a", F.lit(datetime(2024, 2, 1, tzinfo=timezone.utc)))
+            .otherwise(F.lit(datetime(2024, 2, 2, tzinfo=timezone.utc))),
+        }
+    )
+
+
+def quarantined(df: DataFrame) -> DataFrame:
+    """The later publications that an earlier run refused."""
+    p = publication_number(F.col(C.published))
+    return df.filter((F.col(C.published) >= F.lit(STORED_BEFORE)) & (p % 11 == 4))
+
+
 def pipeline_runs(df: DataFrame) -> DataFrame:
     """One audited run per publication, numbered in order; every seventh one failed."""
     numbers = publication_calendar(df).select(C.published, F.col(NUMBER).alias("id"))
