@@ -419,7 +419,7 @@ QUERIES: dict[str, tuple[list[str], str]] = {
     ),
     "q_ingest_outcome": (
         ["canon"],
-        """WITH numbered AS (
+        """SELECT * FROM (WITH numbered AS (
              SELECT *, CAST(substr(nationalGridBmUnit, 6) AS INT) AS n,
                2 * day(publishTime) - CASE WHEN hour(publishTime) < 12 THEN 1 ELSE 0 END AS p
              FROM canon),
@@ -451,7 +451,7 @@ QUERIES: dict[str, tuple[list[str], str]] = {
                WHEN NOT old AND p % 11 <> 4 AND shared > 0
                THEN shared || ' rows share a source key' END AS reason
            FROM (SELECT *, publishTime < TIMESTAMP '2024-01-25 00:00:00' AS old FROM given) AS given
-           LEFT JOIN fresh USING (publishTime)""",
+           LEFT JOIN fresh USING (publishTime))""",
     ),
     "q_publication_manifest": (
         ["canon"],
@@ -495,13 +495,13 @@ QUERIES: dict[str, tuple[list[str], str]] = {
     ),
     "q_upsert_null_times": (
         ["canon"],
-        """WITH rows AS (
+        """SELECT * FROM (WITH rows AS (
              SELECT CASE WHEN fuelType <> 'WIND' THEN publishTime END AS publishTime, forecastDate,
                fuelType, CAST(SUM(outputUsable) AS BIGINT) AS available_mw
              FROM canon GROUP BY ALL)
            SELECT publishTime, forecastDate, fuelType,
              available_mw + CASE WHEN day(forecastDate) >= 11 THEN 20 ELSE 0 END AS available_mw
-           FROM rows WHERE day(forecastDate) <= 21 OR day(forecastDate) >= 11""",
+           FROM rows WHERE day(forecastDate) <= 21 OR day(forecastDate) >= 11)""",
     ),
     "q_verify_load": (
         ["canon", "stored"],
@@ -766,7 +766,7 @@ QUERIES: dict[str, tuple[list[str], str]] = {
     "q_fuel_mix": (["mix"], "SELECT * FROM mix"),
     "q_fuel_mix_fractional": (
         ["canon", "fuels"],
-        f"""WITH eighths AS (
+        f"""SELECT * FROM (WITH eighths AS (
              SELECT fuelType, publishTime, forecastDate, outputUsable * 1000
                + 125 * (CAST(substr(nationalGridBmUnit, 6) AS INT) % 8) AS mw FROM canon),
            latest AS (SELECT * FROM eighths WHERE publishTime = (SELECT MAX(publishTime) FROM eighths)),
@@ -779,7 +779,7 @@ QUERIES: dict[str, tuple[list[str], str]] = {
                AS fuel_label, coalesce(short_name, fuelType) AS short_label,
              mw / 1000.0::DOUBLE AS available_mw,
              CASE WHEN total > 0 THEN {_pct("mw", "total", 1)} ELSE 0.0 END AS share_pct
-           FROM (SELECT *, SUM(mw) OVER () AS total FROM sums) LEFT JOIN fuels ON code = fuelType""",
+           FROM (SELECT *, SUM(mw) OVER () AS total FROM sums) LEFT JOIN fuels ON code = fuelType)""",
     ),
     "q_fuel_mix_top7": (
         ["mix"],
