@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vintager.llm.common import slices, written
+from vintager.llm.pieces import PairAgenda
 
 BLOCK = 1 << 21
 # What follows an id in the written groups: another id of its side, the other side, a group, nothing.
@@ -108,6 +109,22 @@ def spaced_parts(text: str) -> list[str]:
     return out
 
 
+def _letter_agenda(model: dict, value: dict[str, int]) -> PairAgenda | None:
+    """The merges of a byte-level BPE model, for texts of ASCII characters; None for other models."""
+    if model["type"] != "BPE" or any(
+        model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")
+    ):
+        return None
+    ids = model["vocab"]
+    sign = {byte: character for character, byte in value.items()}
+    symbols = np.array([ids[sign[byte]] for byte in range(128)], np.int64)
+    pairs = []
+    for rank, merge in enumerate(model["merges"]):
+        left, right = merge.split(" ") if isinstance(merge, str) else merge
+        pairs.append((ids[left], ids[right], rank, ids[left + right]))
+    return PairAgenda(symbols, pairs)
+
+
 def side_a(file: bytes) -> Side:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -127,6 +144,7 @@ def side_a(file: bytes) -> Side:
     before = form["pre_tokenizer"] or {}
     if form["normalizer"] or before.get("type") != "ByteLevel" or not before.get("use_regex", True):
         return Side(library, spelled)
+    agenda = _letter_agenda(form["model"], value)
     known: dict[str, bytes] = {}
 
     def encode(texts: list[str]) -> list[np.ndarray]:
@@ -134,7 +152,17 @@ def side_a(file: bytes) -> Side:
         if len(known) > REMEMBERED:
             known.clear()
         new = [x for x in set().union(*rows) if x not in known]
-        known.update(zip(new, (ids.tobytes() for ids in library(new)), strict=True))
+        # A space and ASCII letters are one word of the pattern, whose merges need no library.
+        plain = [x for x in new if len(x) <= REMEMBERED_CHARS and x.isascii() and x.isalpha()]
+        if agenda and plain:
+            ids, owner = agenda.merged([" " + x for x in plain])
+            raw = ids.astype(np.int32).tobytes()
+            cuts = (4 * np.searchsorted(owner, np.arange(len(plain) + 1))).tolist()
+            known.update(
+                (x, raw[a:b]) for x, a, b in zip(plain, cuts[:-1], cuts[1:], strict=True)
+            )
+        other = [x for x in new if x not in known]
+        known.update(zip(other, (ids.tobytes() for ids in library(other)), strict=True))
         out = [np.frombuffer(b"".join(map(known.__getitem__, r)), np.int32) for r in rows]
         for part in new:
             if len(part) > REMEMBERED_CHARS:

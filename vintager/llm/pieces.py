@@ -47,6 +47,72 @@ NEVER = np.iinfo(np.int64).max
 SHORT, REMEMBERED = 40, 1 << 18
 
 
+class PairAgenda:
+    """Agendas of adjacent symbols worked off side by side.
+
+    ``symbols`` gives the symbol of each code point; a pair (left, right, rank, into) of symbols
+    may be merged into another, those of lower rank first.
+    """
+
+    def __init__(self, symbols: np.ndarray, pairs: list[tuple[int, int, int, int]]):
+        self.symbols = symbols
+        left, right, rank, into = np.array(pairs, np.int64).reshape(-1, 4).T
+        self.span = int(max(symbols.max(), into.max(initial=0))) + 1
+        keys = left * self.span + right
+        order = np.argsort(keys)
+        # The last entry stands for pairs that are none.
+        self.pair_keys = np.append(keys[order], np.iinfo(np.int64).max)
+        self.pair_rank = np.append(rank[order], NEVER)
+        self.pair_into = np.append(into[order], 0)
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (NEVER if they make no piece) and piece of each pair of symbols."""
+        keys = left * self.span + right
+        place = np.searchsorted(self.pair_keys, keys)
+        found = self.pair_keys[place] == keys
+        return np.where(found, self.pair_rank[place], NEVER), self.pair_into[place]
+
+    def merged(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols that are left of all stretches, and the stretch of each, in order."""
+        counts = np.array([len(x) for x in stretches], np.int64)
+        points = np.frombuffer("".join(stretches).encode("utf-32-le"), "<u4")
+        symbol, owner = self.symbols[points], np.repeat(np.arange(len(counts)), counts)
+        rank = np.full(len(symbol), NEVER, np.int64)
+        into = np.zeros(len(symbol), np.int64)
+        inside = np.flatnonzero(owner[1:] == owner[:-1])
+        rank[inside], into[inside] = self._pairs(symbol[inside], symbol[inside + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(symbol):
+            start = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            lowest = np.repeat(np.minimum.reduceat(rank, start), np.diff(np.append(start, len(owner))))
+            open_ = lowest < NEVER
+            if not open_.all():
+                done.append((owner[~open_], symbol[~open_]))
+                symbol, owner, rank, into, lowest = (
+                    x[open_] for x in (symbol, owner, rank, into, lowest)
+                )
+                if not len(symbol):
+                    break
+            hit = np.flatnonzero(rank == lowest)
+            hit = hit[np.append(True, owner[hit][1:] != owner[hit][:-1])]
+            symbol[hit] = into[hit]
+            rest = np.ones(len(symbol), bool)
+            rest[hit + 1] = False
+            symbol, owner = symbol[rest], owner[rest]
+            # The merged symbol has the pair of the one it took in until its own is looked up.
+            rank[hit], into[hit] = rank[hit + 1], into[hit + 1]
+            rank, into = rank[rest], into[rest]
+            at = hit - np.arange(len(hit))
+            for left in (at, at - 1):
+                left = left[(left >= 0) & (left + 1 < len(owner))]
+                left = left[owner[left] == owner[left + 1]]
+                rank[left], into[left] = self._pairs(symbol[left], symbol[left + 1])
+        owner = np.concatenate([x for x, _ in done]) if done else np.zeros(0, np.int64)
+        symbol = np.concatenate([x for _, x in done]) if done else np.zeros(0, np.int64)
+        order = np.argsort(owner, kind="stable")
+        return symbol[order], owner[order]
+
+
 class PieceModel:
     """Encoder and decoder of one model, given as the bytes of its file."""
 
@@ -103,9 +169,8 @@ class PieceModel:
         for piece, i in self.ids.items():
             if len(piece) == 1:
                 self.symbols[ord(piece)] = i
-        self.span = self.base + 0x110000
-        ranks = dict(zip(sorted(set(self.order.values())), range(len(self.order)), strict=False))
-        keys, rank, into = [], [], []
+        ranks = {score: i for i, score in enumerate(sorted(set(self.order.values())))}
+        pairs = []
 
         def symbol(part: str) -> int | None:
             return int(self.symbols[ord(part)]) if len(part) == 1 else self.ids.get(part)
@@ -114,64 +179,12 @@ class PieceModel:
             for cut in range(1, len(piece)):
                 left, right = symbol(piece[:cut]), symbol(piece[cut:])
                 if left is not None and right is not None:
-                    keys.append(left * self.span + right)
-                    rank.append(ranks[self.order[piece]])
-                    into.append(i)
-        order = np.argsort(np.array(keys, np.int64))
-        self.pair_keys = np.append(np.array(keys, np.int64)[order], np.iinfo(np.int64).max)
-        self.pair_rank = np.append(np.array(rank, np.int64)[order], NEVER)
-        self.pair_into = np.append(np.array(into, np.int64)[order], 0)
-
-    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank (NEVER if they make no piece) and piece of each pair of symbols."""
-        keys = left * self.span + right
-        place = np.searchsorted(self.pair_keys, keys)
-        found = self.pair_keys[place] == keys
-        return np.where(found, self.pair_rank[place], NEVER), self.pair_into[place]
-
-    def merged_together(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The symbols that are left of all stretches, and the stretch of each, in order."""
-        counts = np.array([len(x) for x in stretches], np.int64)
-        points = np.frombuffer("".join(stretches).encode("utf-32-le"), "<u4")
-        symbol, owner = self.symbols[points], np.repeat(np.arange(len(counts)), counts)
-        rank = np.full(len(symbol), NEVER, np.int64)
-        into = np.zeros(len(symbol), np.int64)
-        inside = np.flatnonzero(owner[1:] == owner[:-1])
-        rank[inside], into[inside] = self._pairs(symbol[inside], symbol[inside + 1])
-        done: list[tuple[np.ndarray, np.ndarray]] = []
-        while len(symbol):
-            start = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-            lowest = np.repeat(np.minimum.reduceat(rank, start), np.diff(np.append(start, len(owner))))
-            open_ = lowest < NEVER
-            if not open_.all():
-                done.append((owner[~open_], symbol[~open_]))
-                symbol, owner, rank, into, lowest = (
-                    x[open_] for x in (symbol, owner, rank, into, lowest)
-                )
-                if not len(symbol):
-                    break
-            hit = np.flatnonzero(rank == lowest)
-            hit = hit[np.append(True, owner[hit][1:] != owner[hit][:-1])]
-            symbol[hit] = into[hit]
-            rest = np.ones(len(symbol), bool)
-            rest[hit + 1] = False
-            symbol, owner = symbol[rest], owner[rest]
-            # The merged symbol has the pair of the one it took in until its own is looked up.
-            rank[hit], into[hit] = rank[hit + 1], into[hit + 1]
-            rank, into = rank[rest], into[rest]
-            at = hit - np.arange(len(hit))
-            for left in (at, at - 1):
-                left = left[(left >= 0) & (left + 1 < len(owner))]
-                left = left[owner[left] == owner[left + 1]]
-                rank[left], into[left] = self._pairs(symbol[left], symbol[left + 1])
-        owner = np.concatenate([x for x, _ in done]) if done else np.zeros(0, np.int64)
-        symbol = np.concatenate([x for _, x in done]) if done else np.zeros(0, np.int64)
-        order = np.argsort(owner, kind="stable")
-        return symbol[order], owner[order]
+                    pairs.append((left, right, ranks[self.order[piece]], i))
+        self.agenda = PairAgenda(self.symbols, pairs)
 
     def _ids_together(self, stretches: list[str]) -> list[bytes]:
         """The ids of each stretch, as the bytes of 32-bit integers."""
-        symbol, owner = self.merged_together(stretches)
+        symbol, owner = self.agenda.merged(stretches)
         foreign = np.flatnonzero(symbol >= self.base)
         if len(foreign):
             spelled = [chr(x - self.base).encode() for x in symbol[foreign].tolist()]
