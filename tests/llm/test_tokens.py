@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from vintager.llm import alignment, pieces
+from vintager.llm import alignment, common, pieces
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -69,6 +69,39 @@ def test_stretches_without_the_memory(model, monkeypatch, short):
             assert whole.merged(text) == own
 
 
+def test_rows_of_ids_are_decoded_together(model):
+    rng = random.Random(7)
+    some = [0, 1, 2, 3 + 0xC3, 3 + 0xE2, 3 + 0x82, 3 + 0xAC, 3 + 255, *map(model.ids.get, "▁t")]
+    rows = [[rng.choice(some) for _ in range(rng.randrange(8))] for _ in range(3000)]
+    rows += model.library.encode(noise(8, 500), add_eos=True)
+    ends = np.cumsum([0, *map(len, rows)])
+    flat = np.array([i for r in rows for i in r], np.int32)
+    assert model.decode_rows(flat, ends) == model.library.decode(rows)
+    assert model.decode_rows(flat[:0], ends[:1]) == []
+    assert model.decode_rows(flat[:0], np.zeros(3, np.int64)) == ["", ""]
+
+
+def test_parts_are_encoded_once():
+    asked = []
+
+    def encode(parts):
+        asked.append(parts)
+        return [np.array([len(p)], np.int32).tobytes() for p in parts]
+
+    memory = common.Remembered(encode)
+    data, rows = common.joined_rows([" é bb é", "", " bb ccccc"])
+    starts = np.flatnonzero(data == 32)
+    for _ in range(2):
+        flat, ends = memory.ids(data, starts, rows, most=100, longest=4)
+        assert flat.tolist() == [2, 3, 2, 3, 6] and ends.tolist() == [0, 3, 3, 5]
+    # What is longer than four characters is not kept.
+    assert asked == [[" é", " bb", " ccccc"], [" ccccc"]]
+    memory.ids(data, starts, rows, most=1, longest=4)
+    assert len(asked[-1]) == 3
+    none = memory.ids(data[:0], starts[:0], np.zeros(3, np.int64), most=1, longest=4)
+    assert [x.tolist() for x in none] == [[], [0, 0, 0]]
+
+
 @pytest.mark.parametrize("change", ["unigram", "bytes", "spaces", "pieces"])
 def test_other_models_are_refused(change):
     from sentencepiece import sentencepiece_model_pb2

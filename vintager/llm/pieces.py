@@ -24,8 +24,8 @@ table gives no rows; other columns, whatever their names, are left out.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
+from functools import cached_property
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintager.llm.common import slices
+from vintager.llm.common import Pieces, Remembered, joined_rows, slices
 
 SPACE = "▁"
 # Fixed values of the model format: the kind of a model and of its pieces.
@@ -44,7 +44,7 @@ ENCODED = "doc_id long, ids array<int>"
 DECODED = "doc_id long, ids array<int>, text string"
 NEVER = np.iinfo(np.int64).max
 # Stretches of up to so many characters are merged side by side and remembered, about so many.
-SHORT, REMEMBERED = 40, 1 << 18
+SHORT, REMEMBERED = 40, 1 << 19
 
 
 class PairAgenda:
@@ -135,7 +135,7 @@ class PieceModel:
         ):
             if wrong:
                 raise ValueError(f"The sentencepiece model {reason}.")
-        self.prefix = SPACE if form.add_dummy_prefix else ""
+        self.prefix = " " if form.add_dummy_prefix else ""
         self.end = self.library.eos_id()
         self.order = {p.piece: -p.score for p in spec.pieces if p.type == NORMAL}
         self.ids = {p.piece: i for i, p in enumerate(spec.pieces) if p.type == NORMAL}
@@ -154,33 +154,35 @@ class PieceModel:
             else:
                 self.surface.append(p.piece.replace(SPACE, " ").encode())
         self.opens = np.array([p.type == NORMAL and p.piece[:1] == SPACE for p in spec.pieces])
-        inner = any(SPACE in p.lstrip(SPACE) for p in self.order)
-        self.stretches = re.compile(r"(?s).+" if inner else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-        self.known: dict[str, bytes] = {}
-        self._index_pairs()
+        self.spelled = Pieces(self.surface)
+        self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.order)
+        self.memory = Remembered(self._new_ids)
+        self.base = len(self.surface)
 
-    def _index_pairs(self) -> None:
+    @cached_property
+    def agenda(self) -> PairAgenda:
         """Every pair of symbols that makes a piece, with the piece's place in the order of scores.
 
         A symbol is a piece's id, or for a character that is no piece ``base`` plus its code point.
+        A plain space is the model's.
         """
-        self.base = len(self.surface)
-        self.symbols = np.arange(self.base, self.base + 0x110000, dtype=np.int64)
+        symbols = np.arange(self.base, self.base + 0x110000, dtype=np.int64)
         for piece, i in self.ids.items():
             if len(piece) == 1:
-                self.symbols[ord(piece)] = i
+                symbols[ord(piece)] = i
+        symbols[ord(" ")] = symbols[ord(SPACE)]
         ranks = {score: i for i, score in enumerate(sorted(set(self.order.values())))}
         pairs = []
 
         def symbol(part: str) -> int | None:
-            return int(self.symbols[ord(part)]) if len(part) == 1 else self.ids.get(part)
+            return int(symbols[ord(part)]) if len(part) == 1 else self.ids.get(part)
 
         for piece, i in self.ids.items():
             for cut in range(1, len(piece)):
                 left, right = symbol(piece[:cut]), symbol(piece[cut:])
                 if left is not None and right is not None:
                     pairs.append((left, right, ranks[self.order[piece]], i))
-        self.agenda = PairAgenda(self.symbols, pairs)
+        return PairAgenda(symbols, pairs)
 
     def _ids_together(self, stretches: list[str]) -> list[bytes]:
         """The ids of each stretch, as the bytes of 32-bit integers."""
@@ -199,24 +201,38 @@ class PieceModel:
         cuts = (4 * np.searchsorted(owner, np.arange(len(stretches) + 1))).tolist()
         return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
+    def ids_alone(self, stretch: str) -> bytes:
+        """The ids of one stretch of any length."""
+        parts = self.merged(stretch.replace(" ", SPACE))
+        ids = ([self.ids[s]] if s in self.ids else self.byte_ids[list(s.encode())] for s in parts)
+        return np.array([i for x in ids for i in x], np.int32).tobytes()
+
+    def _new_ids(self, stretches: list[str]) -> list[bytes]:
+        short = iter(self._ids_together([x for x in stretches if len(x) <= SHORT]))
+        return [next(short) if len(x) <= SHORT else self.ids_alone(x) for x in stretches]
+
+    def stretches(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of all texts with their prefixes, where their stretches begin, and the rows."""
+        data, rows = joined_rows([(self.prefix + t).replace(SPACE, " ") if t else "" for t in texts])
+        begins = np.zeros(len(data), bool)
+        if self.cuts:
+            space = data == ord(" ")
+            begins[1:] = space[1:] & ~space[:-1]
+        begins[rows[:-1][np.diff(rows) > 0]] = True
+        return data, np.flatnonzero(begins), rows
+
+    def ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and the offsets of each."""
+        return self.memory.ids(*self.stretches(texts), REMEMBERED, SHORT)
+
+    def encode_rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, an end id after each, and the offsets of each."""
+        flat, rows = self.ids_of(texts)
+        return np.insert(flat, rows[1:], self.end), rows + np.arange(len(rows))
+
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text and the end id."""
-        rows = [self.stretches((self.prefix + t).replace(" ", SPACE)) if t else [] for t in texts]
-        wanted = set().union(*rows)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [x for x in wanted if x not in self.known]
-        short = [x for x in new if len(x) <= SHORT]
-        self.known.update(zip(short, self._ids_together(short), strict=True))
-        long = [x for x in new if len(x) > SHORT]
-        for x in long:
-            ids = ([self.ids[s]] if s in self.ids else self.byte_ids[list(s.encode())] for s in self.merged(x))
-            self.known[x] = np.array([i for y in ids for i in y], np.int32).tobytes()
-        end = np.array([self.end], np.int32).tobytes()
-        out = [np.frombuffer(b"".join(map(self.known.__getitem__, r)) + end, np.int32) for r in rows]
-        for x in long:
-            del self.known[x]
-        return out
+        return split(*self.encode_rows(texts))
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_batch([text])[0]
@@ -251,6 +267,27 @@ class PieceModel:
                     heappush(agenda, (order[longer], leader, longer))
         return [s for s in symbols if s]
 
+    def decode_rows(self, flat: np.ndarray, rows: np.ndarray) -> list[str]:
+        """What each row of ids decodes to."""
+        data, ends = self.spelled.joined(flat)
+        raw, cuts = data.tobytes(), np.append(0, ends)[rows]
+        control = np.append(0, np.cumsum(self.kind[flat] == CONTROL))[rows]
+        some = rows[1:] > rows[:-1]
+        first, last = (flat[np.where(some, x, 0)] if len(flat) else rows[1:] for x in (rows[:-1], rows[1:] - 1))
+        # An end id spells nothing; other control ids part the bytes around them.
+        plain = ~some | (np.diff(control) == (self.kind[last] == CONTROL))
+        drops = some & self.opens[first] if self.prefix else np.zeros(len(some), bool)
+        out = []
+        for k, (begin, end, ok) in enumerate(
+            zip((cuts[:-1] + drops).tolist(), cuts[1:].tolist(), plain.tolist(), strict=True)
+        ):
+            try:
+                text = raw[begin:end].decode() if ok else None
+            except UnicodeDecodeError:
+                text = None
+            out.append(self.decode(flat[rows[k] : rows[k + 1]]) if text is None else text)
+        return out
+
     def decode(self, ids: np.ndarray) -> str:
         kind = self.kind[ids]
         said = np.flatnonzero(kind != CONTROL)
@@ -304,30 +341,40 @@ def read_model(path: str) -> bytes:
         return file.read()
 
 
-def _checked_ids(model: PieceModel, texts: list[str], doc_ids: pa.Array) -> list[np.ndarray]:
+def split(flat: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    """The rows of joined ids."""
+    ends = rows.tolist()
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _checked_ids(
+    model: PieceModel, texts: list[str], doc_ids: pa.Array
+) -> tuple[np.ndarray, np.ndarray]:
     """The ids of the texts of an Arrow batch; an error where the library has others."""
-    rows = model.encode_batch(texts)
+    flat, rows = model.encode_rows(texts)
     library = model.library.encode(texts, add_eos=True, num_threads=1, out_type="numpy")
-    for i, (own, theirs) in enumerate(zip(rows, library, strict=True)):
-        if not np.array_equal(own, theirs):
-            raise ValueError(f"Ids differ from the library's: document {doc_ids[i]}")
-    return rows
+    theirs = np.concatenate(library) if library else flat
+    if not (np.array_equal(np.diff(rows), [*map(len, library)]) and np.array_equal(flat, theirs)):
+        for i, (own, other) in enumerate(zip(split(flat, rows), library, strict=True)):
+            if not np.array_equal(own, other):
+                raise ValueError(f"Ids differ from the library's: document {doc_ids[i]}")
+    return flat, rows
 
 
-def _checked_texts(model: PieceModel, rows: list[np.ndarray], doc_ids: pa.Array) -> list[str]:
+def _checked_texts(
+    model: PieceModel, flat: np.ndarray, rows: np.ndarray, doc_ids: pa.Array
+) -> list[str]:
     """The decoded texts of an Arrow batch; an error where the library has others."""
-    texts = [model.decode(ids) for ids in rows]
-    library = model.library.decode(rows) if rows else []
+    texts = model.decode_rows(flat, rows)
+    library = model.library.decode(split(flat, rows)) if texts else []
     for i, (own, theirs) in enumerate(zip(texts, library, strict=True)):
         if own != theirs:
             raise ValueError(f"Text differs from the library's: document {doc_ids[i]}")
     return texts
 
 
-def _lists(rows: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, rows)])
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+def _lists(flat: np.ndarray, rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(flat, pa.int32()))
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
@@ -348,10 +395,10 @@ def _coded(docs: DataFrame, path: str, both: bool) -> DataFrame:
         for batch in slices(batches):
             doc_ids = batch.column("doc_id")
             texts = pc.fill_null(batch.column("text"), "").to_pylist()
-            rows = _checked_ids(model, texts, doc_ids)
-            columns = [doc_ids, _lists(rows)]
+            ids = _checked_ids(model, texts, doc_ids)
+            columns = [doc_ids, _lists(*ids)]
             if both:
-                columns.append(pa.array(_checked_texts(model, rows, doc_ids), pa.string()))
+                columns.append(pa.array(_checked_texts(model, *ids, doc_ids), pa.string()))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "text"][: len(columns)])
 
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -366,10 +413,9 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
         model = loaded(raw)
         for batch in batches:
             ids = batch.column("ids")
-            ends = ids.offsets.to_numpy()
-            flat = ids.values.to_numpy()
-            lists = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            texts = _checked_texts(model, lists, batch.column("doc_id"))
+            ends = ids.offsets.to_numpy().astype(np.int64)
+            flat = ids.values.to_numpy()[ends[0] : ends[-1]]
+            texts = _checked_texts(model, flat, ends - ends[0], batch.column("doc_id"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), ids, pa.array(texts, pa.string())], ["doc_id", "ids", "text"]
             )
