@@ -158,6 +158,28 @@ def test_parts_at_spaces_keep_the_tokens():
     assert all(" ".join(alignment.spaced_parts(t)) == t for t in texts)
 
 
+def test_both_sides_encode_a_word_once(monkeypatch):
+    """Repeated words of either side cost a look-up; letters with a mark need no library."""
+    from tokenizers import Tokenizer
+
+    asked = []
+    merged = pieces.PairAgenda.merged
+    monkeypatch.setattr(
+        pieces.PairAgenda, "merged", lambda self, words: asked.append(len(words)) or merged(self, words)
+    )
+    with open(A, "rb") as a, open(B, "rb") as b:
+        one, two = alignment.side_a(a.read()), alignment.side_b(b.read())
+    rng = random.Random(9)
+    words = ["Straße,", "été.", "Ǆ!", "ſ:", "ıİ?", "word", "ab", "ß;", "x.", "don't", "ª", "×", "Ⅷ", "1."]
+    texts = [" ".join(rng.choice(words) for _ in range(200)) for _ in range(20)]
+    rows = Tokenizer.from_file(A).encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+    library = pieces.PieceModel(pieces.read_model(B)).library
+    for _ in range(2):
+        assert [i.tolist() for i in one.encode(texts)] == [r.ids for r in rows]
+        assert [i.tolist() for i in two.encode(texts)] == library.encode(texts)
+    assert sorted(asked) == [0, 9, len(words)]
+
+
 def plain_alignment(texts):
     """Per text (n_a, n_b, groups, links), by comparing all byte ranges."""
     one, two = alignment.sides(open(A, "rb").read(), open(B, "rb").read())

@@ -1,7 +1,8 @@
 r"""Cross-tokenizer alignment: which tokens of two tokenizers cover the same bytes.
 
 Tokenizer A is byte-level BPE (a tokenizers file), B is a sentencepiece model; both see a space and
-the text. Each Arrow batch gives one frame of token starts for A and one for B. ``pandas.merge_asof``
+the text. Words of either side are encoded when first met (B by ``pieces``, whose ids equal the
+library's) and looked up afterwards. Each Arrow batch gives one frame of token starts for A and one for B. ``pandas.merge_asof``
 keyed by document finds for each token start of one side the token of the other side that covers it;
 the union of both directions is every overlapping pair, since of two overlapping tokens one starts
 inside the other. Byte offsets where tokens of both sides end cut a document into groups.
@@ -24,6 +25,7 @@ import json
 import math
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintager.llm.common import slices, written
-from vintager.llm.pieces import PairAgenda
+from vintager.llm.common import Pieces, Remembered, joined_rows, slices, written
+from vintager.llm.pieces import PairAgenda, PieceModel, split
 
 BLOCK = 1 << 21
 # What follows an id in the written groups: another id of its side, the other side, a group, nothing.
 MARKS = (b",", b"|", b";", b"")
+# Bytes of an id with its mark: vocabularies are below ten million.
+NAME_BYTES = 8
 ALIGNED = (
     "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string,"
     " pairs array<long>, times array<int>"
@@ -55,69 +59,94 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class Pieces:
-    """Byte strings by number, laid end to end."""
-
-    def __init__(self, pieces: list[bytes]):
-        self.data = np.frombuffer(b"".join(pieces), np.uint8)
-        self.lengths = np.array([len(x) for x in pieces], np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-
-    def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The pieces of these numbers as one array of bytes, and where each ends."""
-        lengths = self.lengths[numbers]
-        ends = np.cumsum(lengths)
-        if not len(ends):
-            return np.zeros(0, np.uint8), ends
-        place = np.repeat(self.starts[numbers] - (ends - lengths), lengths)
-        return self.data[place + np.arange(ends[-1])], ends
+Rows = tuple[np.ndarray, np.ndarray]
 
 
 class Side:
-    """A tokenizer: the ids of texts, and the bytes that each id stands for."""
+    """A tokenizer: the ids of texts, and the bytes that each id stands for.
 
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], spelled: list[bytes]):
-        self.encode, self.size = encode, len(spelled)
+    ``encode_rows`` gives the ids of all texts and the offsets of each.
+    """
+
+    def __init__(self, encode_rows: Callable[[list[str]], Rows], spelled: list[bytes]):
+        if len(spelled) > 10 ** (NAME_BYTES - 1):
+            raise ValueError(f"A vocabulary of {len(spelled)} ids is too large.")
+        self.encode_rows, self.size = encode_rows, len(spelled)
         self.spelled = Pieces(spelled)
-        # The decimal id with what follows it in the written groups; number = mark * size + id.
-        self.named = Pieces([b"%d%s" % (i, mark) for mark in MARKS for i in range(len(spelled))])
+        # The decimal id with what follows it in the written groups, filled up with zero bytes;
+        # number = mark * size + id.
+        names = [b"%d%s" % (i, mark) for mark in MARKS for i in range(len(spelled))]
+        self.named = np.array(names, f"S{NAME_BYTES}").view(np.uint64).reshape(-1, NAME_BYTES // 8)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return split(*self.encode_rows(texts))
+
+
+def _rows(lists: list[np.ndarray]) -> Rows:
+    flat = np.concatenate([np.zeros(0, np.int32), *lists])
+    return flat, np.cumsum([0, *map(len, lists)])
 
 
 # A word boundary for every reading of the byte-level pattern: a space before a character that is
 # certainly not white space. What else stands after a space stays with what is before it.
-_SOLID = r"[!-~¡-\u167f\u1681-\u180d\u180f-\u1fff\u2070-\u2fff\u3001-\ufefe\uff00-\U0010ffff]"
-_UNSURE = re.compile(rf"(?:^|(?<= ))(?!{_SOLID})").search
-_SURE = re.compile(_SOLID).match
-REMEMBERED_CHARS, REMEMBERED = 40, 1 << 18
+_SOLID = (
+    (0x21, 0x7E), (0xA1, 0x167F), (0x1681, 0x180D), (0x180F, 0x1FFF), (0x2070, 0x2FFF),
+    (0x3001, 0xFEFE), (0xFF00, 0x10FFFF),
+)
+_SOLID_BOUNDS = np.array([(low, high + 1) for low, high in _SOLID]).reshape(-1)
+# Letters for every version of Unicode's classes, and marks that are neither letters nor numbers.
+_ENDS = ".,;:!?"
+_LETTERS = re.compile(rf" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+[{_ENDS}]?").fullmatch
+REMEMBERED_CHARS, REMEMBERED = 40, 1 << 19
+
+
+def _code_points(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The character of UTF-8 text that begins at each place; 0 beyond its end."""
+    padded = np.append(data, np.zeros(4, np.uint8))
+    code = padded[at].astype(np.int64)
+    long = np.flatnonzero(code >= 0xC0)
+    lead, at = code[long], at[long]
+    size = 2 + (lead >= 0xE0) + (lead >= 0xF0)
+    value = lead & (0xFF >> (size + 1))
+    for k in (1, 2, 3):
+        more = size > k
+        value[more] = value[more] << 6 | padded[at[more] + k] & 0x3F
+    code[long] = value
+    return code
+
+
+def spaced(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts, each after a space, where their parts begin, and the rows.
+
+    The tokens of each part are its own: the byte-level pattern takes a space to the word that
+    follows it, and of longer white space the last space alone, whatever stands before.
+    """
+    data, rows = joined_rows([" " + t for t in texts])
+    space = np.flatnonzero(data == ord(" "))
+    sure = np.searchsorted(_SOLID_BOUNDS, _code_points(data, space + 1), "right") % 2 == 1
+    begins = np.zeros(len(data), bool)
+    begins[space[sure]] = True
+    begins[rows[:-1]] = True
+    return data, np.flatnonzero(begins), rows
 
 
 def spaced_parts(text: str) -> list[str]:
-    """``text`` cut at spaces, so that the tokens of each part and the space before it are its own.
-
-    The byte-level pattern takes a space to the word that follows it, and of longer white space
-    the last space alone, whatever stands before.
-    """
-    parts = text.split(" ")
-    if _UNSURE(text) is None:
-        return parts
-    out = parts[:1]
-    for part in parts[1:]:
-        if _SURE(part):
-            out.append(part)
-        else:
-            out[-1] += " " + part
-    return out
+    """The parts of ``text``, without the space before each."""
+    data, starts, _ = spaced([text])
+    raw = data.tobytes()
+    ends = [*starts[1:].tolist(), len(raw)]
+    return [raw[a + 1 : b].decode() for a, b in zip(starts.tolist(), ends, strict=True)]
 
 
 def _letter_agenda(model: dict, value: dict[str, int]) -> PairAgenda | None:
-    """The merges of a byte-level BPE model, for texts of ASCII characters; None for other models."""
+    """The merges of a byte-level BPE model, for bytes as Latin-1 characters; None for other models."""
     if model["type"] != "BPE" or any(
         model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")
     ):
         return None
     ids = model["vocab"]
     sign = {byte: character for character, byte in value.items()}
-    symbols = np.array([ids[sign[byte]] for byte in range(128)], np.int64)
+    symbols = np.array([ids[sign[byte]] for byte in range(256)], np.int64)
     pairs = []
     for rank, merge in enumerate(model["merges"]):
         left, right = merge.split(" ") if isinstance(merge, str) else merge
@@ -136,40 +165,38 @@ def side_a(file: bytes) -> Side:
     for entry, i in tokenizer.get_vocab().items():
         spelled[i] = bytes(value[c] for c in entry) if all(c in value for c in entry) else b""
 
-    def library(texts: list[str]) -> list[np.ndarray]:
-        rows = tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        return [np.array(r.ids, np.int32) for r in rows]
+    def library(texts: list[str]) -> list[bytes]:
+        rows = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("i", r.ids).tobytes() for r in rows]
 
     form = json.loads(file)
     before = form["pre_tokenizer"] or {}
     if form["normalizer"] or before.get("type") != "ByteLevel" or not before.get("use_regex", True):
-        return Side(library, spelled)
+        return Side(
+            lambda texts: _rows([np.frombuffer(x, np.int32) for x in library([" " + t for t in texts])]),
+            spelled,
+        )
     agenda = _letter_agenda(form["model"], value)
-    known: dict[str, bytes] = {}
-
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        rows = [spaced_parts(t) for t in texts]
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = [x for x in set().union(*rows) if x not in known]
-        # A space and ASCII letters are one word of the pattern, whose merges need no library.
-        plain = [x for x in new if len(x) <= REMEMBERED_CHARS and x.isascii() and x.isalpha()]
-        if agenda and plain:
-            ids, owner = agenda.merged([" " + x for x in plain])
-            raw = ids.astype(np.int32).tobytes()
-            cuts = (4 * np.searchsorted(owner, np.arange(len(plain) + 1))).tolist()
-            known.update(
-                (x, raw[a:b]) for x, a, b in zip(plain, cuts[:-1], cuts[1:], strict=True)
-            )
-        other = [x for x in new if x not in known]
-        known.update(zip(other, (ids.tobytes() for ids in library(other)), strict=True))
-        out = [np.frombuffer(b"".join(map(known.__getitem__, r)), np.int32) for r in rows]
-        for part in new:
-            if len(part) > REMEMBERED_CHARS:
-                del known[part]
-        return out
 
-    return Side(encode, spelled)
+    def new_ids(parts: list[str]) -> list[bytes]:
+        # A space and letters are one word of the pattern, and a mark at the end another one of a
+        # single byte; their merges need no library.
+        plain = [len(x) <= REMEMBERED_CHARS and bool(_LETTERS(x)) and agenda is not None for x in parts]
+        other = iter(library([x for x, ok in zip(parts, plain, strict=True) if not ok]))
+        if not any(plain):
+            return list(other)
+        words = [x for x, ok in zip(parts, plain, strict=True) if ok]
+        ids, owner = agenda.merged([x.rstrip(_ENDS).encode().decode("latin-1") for x in words])
+        raw = ids.astype(np.int32).tobytes()
+        cuts = (4 * np.searchsorted(owner, np.arange(len(words) + 1))).tolist()
+        found = (
+            raw[a:b] + ends.get(x[-1], b"") for x, a, b in zip(words, cuts[:-1], cuts[1:], strict=True)
+        )
+        return [next(found) if ok else next(other) for ok in plain]
+
+    ends = {x: agenda.symbols[ord(x)].astype(np.int32).tobytes() for x in _ENDS} if agenda else {}
+    memory = Remembered(new_ids)
+    return Side(lambda texts: memory.ids(*spaced(texts), REMEMBERED, REMEMBERED_CHARS), spelled)
 
 
 def side_b(file: bytes) -> Side:
@@ -184,7 +211,12 @@ def side_b(file: bytes) -> Side:
             b"" if special else bytes([int(piece[3:5], 16)]) if model.is_byte(i)
             else piece.replace("▁", " ").encode()
         )
-    return Side(lambda texts: model.encode(texts, num_threads=1, out_type="numpy"), spelled)
+    try:
+        pieces = PieceModel(file)
+    except ValueError:
+        # A model of another type: whole texts by the library.
+        return Side(lambda texts: _rows(model.encode(texts, num_threads=1, out_type="numpy")), spelled)
+    return Side(pieces.ids_of, spelled)
 
 
 _sides: dict[str, tuple[Side, Side]] = {}
@@ -202,10 +234,10 @@ def sides(file_a: bytes, file_b: bytes) -> tuple[Side, Side]:
 class _Tokens:
     """The tokens of all texts of a batch: document, id and byte range in the texts' joined bytes."""
 
-    def __init__(self, side: Side, rows: list[np.ndarray]):
-        self.counts = np.array([len(r) for r in rows], np.int64)
-        self.ids = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
-        self.doc = np.repeat(np.arange(len(rows)), self.counts)
+    def __init__(self, side: Side, flat: np.ndarray, rows: np.ndarray):
+        self.counts = np.diff(rows)
+        self.ids = flat.astype(np.int64)
+        self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
         self.bytes, self.ends = side.spelled.joined(self.ids)
         self.starts = self.ends - side.spelled.lengths[self.ids]
 
@@ -248,25 +280,20 @@ def _written_groups(
     closes = np.ones(len(ids), bool)
     closes[:-1] = doc[1:] != doc[:-1]
     mark = np.where(last, np.where(second == 0, 1, np.where(closes, 3, 2)), 0)
-    # Both sides' names as one set of pieces: those of B follow those of A.
+    # Both sides' names in one array: those of B follow those of A.
     names = _both_names(side_1, side_2)
     size = np.where(second == 0, side_1.size, side_2.size)
-    text, ends = names.joined(second * len(side_1.named.lengths) + mark * size + ids)
     counts = np.bincount(doc, minlength=n_docs)
-    cuts = np.append(0, ends)[np.append(0, np.cumsum(counts))].tolist()
-    raw = text.tobytes()
-    texts = [raw[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    cuts = (NAME_BYTES * np.append(0, np.cumsum(counts))).tolist()
+    raw = names.take(second * len(side_1.named) + mark * size + ids, axis=0).tobytes()
+    texts = [raw[x:y].translate(None, b"\0") for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
     return texts, np.bincount(doc[last & (second == 1)], minlength=n_docs)
 
 
-def _both_names(side_1: Side, side_2: Side) -> Pieces:
+def _both_names(side_1: Side, side_2: Side) -> np.ndarray:
     both = getattr(side_1, "both", None)
     if both is None or both[0] is not side_2:
-        joined = Pieces([])
-        joined.data = np.concatenate([side_1.named.data, side_2.named.data])
-        joined.lengths = np.concatenate([side_1.named.lengths, side_2.named.lengths])
-        joined.starts = np.cumsum(joined.lengths) - joined.lengths
-        both = side_1.both = (side_2, joined)
+        both = side_1.both = (side_2, np.concatenate([side_1.named, side_2.named]))
     return both[1]
 
 
@@ -276,11 +303,13 @@ def align(texts: list[str | None], side_1: Side, side_2: Side) -> list[tuple]:
     good = [i for i, t in enumerate(texts) if t]
     if not good:
         return out
-    rows_a, rows_b = (s.encode([texts[i] for i in good]) for s in (side_1, side_2))
-    raw = [(" " + texts[i]).encode() for i in good]
-    a, b = _Tokens(side_1, rows_a), _Tokens(side_2, rows_b)
-    lengths, joined = np.array([len(x) for x in raw]), np.frombuffer(b"".join(raw), np.uint8)
+    rows_a, rows_b = (s.encode_rows([texts[i] for i in good]) for s in (side_1, side_2))
+    joined, ends = joined_rows([" " + texts[i] for i in good])
+    a, b = _Tokens(side_1, *rows_a), _Tokens(side_2, *rows_b)
+    lengths = np.diff(ends)
     if not (a.spell(lengths, joined) and b.spell(lengths, joined)):
+        rows_a, rows_b = split(*rows_a), split(*rows_b)
+        raw = [x.tobytes() for x in split(joined, ends)]
         spelled = [
             n for n, x in enumerate(raw)
             if all(s.spelled.joined(r[n])[0].tobytes() == x for s, r in ((side_1, rows_a), (side_2, rows_b)))
@@ -288,17 +317,19 @@ def align(texts: list[str | None], side_1: Side, side_2: Side) -> list[tuple]:
         if not spelled:
             return out
         good = [good[n] for n in spelled]
-        a, b = _Tokens(side_1, [rows_a[n] for n in spelled]), _Tokens(side_2, [rows_b[n] for n in spelled])
+        a = _Tokens(side_1, *_rows([rows_a[n] for n in spelled]))
+        b = _Tokens(side_2, *_rows([rows_b[n] for n in spelled]))
     i, j = overlaps(a, b)
     written_groups, n_groups = _written_groups(a, b, side_1, side_2, len(good))
     n_links = np.bincount(a.doc[i], minlength=len(good))
-    pairs = a.ids[i] * side_2.size + b.ids[j]
-    # Sorted by document, then pair, without forming a combined number that could overflow.
-    order = np.lexsort((pairs, a.doc[i]))
-    doc, pairs = a.doc[i][order], pairs[order]
-    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (pairs[1:] != pairs[:-1])))
-    times = np.diff(np.append(first, len(pairs)))
-    doc, pairs = doc[first], pairs[first]
+    # Sorted by document, then pair. Documents of a batch times both vocabularies stay in 63 bits.
+    span = side_1.size * side_2.size
+    if len(good) * span >= 1 << 63:
+        raise ValueError("The vocabularies are too large for a batch of this many documents.")
+    keys = np.sort((a.doc[i] * side_1.size + a.ids[i]) * side_2.size + b.ids[j])
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    times = np.diff(np.append(first, len(keys)))
+    doc, pairs = np.divmod(keys[first], span)
     cuts = np.searchsorted(doc, np.arange(len(good) + 1))
     for d, place in enumerate(good):
         own = slice(cuts[d], cuts[d + 1])
