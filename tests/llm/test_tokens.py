@@ -81,7 +81,7 @@ def test_rows_of_ids_are_decoded_together(model):
     assert model.decode_rows(flat[:0], np.zeros(3, np.int64)) == ["", ""]
 
 
-def test_parts_are_encoded_once():
+def test_parts_are_encoded_once(monkeypatch):
     asked = []
 
     def encode(parts):
@@ -98,6 +98,8 @@ def test_parts_are_encoded_once():
     assert asked == [[" é", " bb", " ccccc"], [" ccccc"]]
     memory.ids(data, starts, rows, most=1, longest=4)
     assert len(asked[-1]) == 3
+    monkeypatch.setattr(common, "GATHERED", 2)
+    assert memory.ids(data, starts, rows, most=100, longest=4)[0].tolist() == [2, 3, 2, 3, 6]
     none = memory.ids(data[:0], starts[:0], np.zeros(3, np.int64), most=1, longest=4)
     assert [x.tolist() for x in none] == [[], [0, 0, 0]]
 
