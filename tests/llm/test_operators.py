@@ -430,3 +430,26 @@ def test_toxicity_learns_misspellings(spark):
     assert wrong <= 5 and out[1000].predicted == 1 and out[1001].predicted == 0
     assert 0 <= out[1002].score <= 1 and out[None].held_out is False
     assert toxicity.fit([]).word("x") == 0.0 and toxicity.fit([("a", 1)]).bias > 5
+
+
+def test_toxicity_cuts_many_words_together(monkeypatch):
+    """The same n-grams as word by word; only words that repeat an n-gram are cut alone."""
+    rng = random.Random(12)
+    signs = "abcé漢😀.!"
+    words = ["", "a", "ab", "abc", "abcd", "...", "aaaaaa", "漢字漢字漢字", "x" * 300]
+    words += ["".join(rng.choice(signs) for _ in range(rng.randrange(14))) for _ in range(3000)]
+    expected = [sorted(toxicity.subwords(w)) for w in words]
+    weight = np.random.default_rng(1).normal(size=toxicity.BUCKETS) * (np.arange(toxicity.BUCKETS) % 3 > 0)
+    alone = []
+    cut = toxicity.subwords
+    monkeypatch.setattr(toxicity, "subwords", lambda w: alone.append(w) or cut(w))
+    owner, bucket = toxicity.subwords_together(words)
+    found = [sorted(bucket[owner == k].tolist()) for k in range(len(words))]
+    assert found == expected and len(alone) < len(words) / 5
+    model = toxicity.Model(weight.astype(np.float32), 0.0)
+    scores = model.words(words)
+    monkeypatch.setattr(toxicity, "SLICE_BYTES", 7)
+    assert model.words(words) == scores and model.words([]) == []
+    for score, own in zip(scores, expected, strict=True):
+        seen = [x for x in weight.astype(np.float32)[own].tolist() if x]
+        assert score == pytest.approx(sum(seen) / len(seen) if seen else 0.0)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vintager.llm.common import slices
+from vintager.llm.common import SLICE_BYTES, slices
 
 BUCKETS = 1 << 17
 DIMENSIONS = 4
@@ -43,7 +43,9 @@ DECAY = 1e-4
 THRESHOLD = 0.7
 # Neutral words that scoring adds to a text, so that one word does not decide a short text.
 NEUTRAL = 10
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
+# Stripped from both ends of a word.
+MARKS = ".,;:!?\"'()[]{}*#$%&|<>-_"
 
 
 def fold() -> Column:
@@ -56,7 +58,7 @@ def tokens(text: str | None) -> list[str]:
 
 def subwords(word: str) -> list[int]:
     """The buckets of a word: itself and its n-grams between its ends."""
-    word = word.strip(".,;:!?\"'()[]{}*#$%&|<>-_")
+    word = word.strip(MARKS)
     marked = f"<{word}>"
     plain = marked.isascii()
     # Bytes are cut faster; they are the same n-grams only where every character is one byte.
@@ -68,19 +70,90 @@ def subwords(word: str) -> list[int]:
     return [zlib.crc32(g) % BUCKETS for g in raw]
 
 
+def _crc_table() -> np.ndarray:
+    """What crc32 does with each value of its low byte."""
+    value = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        value = np.where(value & 1, (value >> 1) ^ np.uint32(0xEDB88320), value >> 1)
+    return value
+
+
+_CRC = _crc_table()
+
+
+def crc32(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``zlib.crc32`` of many short ranges of bytes."""
+    value = np.full(len(starts), 0xFFFFFFFF, np.uint32)
+    sizes = ends - starts
+    least, most = (int(sizes.min()), int(sizes.max())) if len(sizes) else (0, 0)
+    for k in range(most):
+        live = slice(None) if k < least else np.flatnonzero(sizes > k)
+        low = value[live]
+        value[live] = _CRC[(low ^ data[starts[live] + k]) & np.uint32(255)] ^ (low >> np.uint32(8))
+    return ~value
+
+
+def subwords_together(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The ``subwords`` of many words: the number of each one's word, and its bucket."""
+    marked = [f"<{w.strip(MARKS)}>" for w in words]
+    raw = [m.encode("utf-8", "surrogatepass") for m in marked]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    # Where each character begins, and the characters of each word.
+    at = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    counts = np.fromiter(map(len, marked), np.int64, len(marked))
+    word = np.repeat(np.arange(len(marked)), counts)
+    first = np.cumsum(counts) - counts
+    left = counts[word] - (np.arange(len(word)) - first[word])
+    # An n-gram that is the whole word counts once.
+    own = np.flatnonzero(~np.isin(counts, NGRAMS))
+    owners, values = [own], [np.array([zlib.crc32(raw[k]) for k in own.tolist()], np.uint32)]
+    for n in NGRAMS:
+        place = np.flatnonzero(left >= n)
+        owners.append(word[place])
+        values.append(crc32(data, at[place], at[place + n]))
+    # Only words that hold a shortest n-gram twice can hold any twice; those are done alone.
+    keys = np.sort(owners[1] << 32 | values[1])
+    again = np.unique(keys[1:][keys[1:] == keys[:-1]] >> 32)
+    owner, bucket = np.concatenate(owners), np.concatenate(values) % BUCKETS
+    if len(again):
+        alone = np.zeros(len(words), bool)
+        alone[again] = True
+        rest = ~alone[owner]
+        lists = [subwords(words[k]) for k in again.tolist()]
+        owner = np.concatenate([owner[rest], np.repeat(again, [*map(len, lists)])])
+        bucket = np.concatenate([bucket[rest], np.concatenate(lists)])
+    return owner, bucket
+
+
 class Model:
     """One number per bucket, and a bias: all that scoring needs."""
 
     def __init__(self, weight: np.ndarray | None, bias: float):
         self.bias = bias
-        self.weight = None if weight is None else weight.tolist()
+        self.weight = None if weight is None else weight.astype(np.float64)
 
     def word(self, word: str) -> float:
         """The mean over the subwords that training has seen; 0 if there are none."""
+        return self.words([word])[0]
+
+    def words(self, words: list[str]) -> list[float]:
+        """The same for many words at once."""
         if self.weight is None:
-            return 0.0
-        found = [x for x in map(self.weight.__getitem__, subwords(word)) if x]
-        return sum(found) / len(found) if found else 0.0
+            return [0.0] * len(words)
+        # About a slice's characters at once: a long text may bring any number of words.
+        ends, at, out = np.cumsum([len(w) for w in words]), 0, []
+        while at < len(words):
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+            out += self._together(words[at:stop])
+            at = stop
+        return out
+
+    def _together(self, words: list[str]) -> list[float]:
+        owner, buckets = subwords_together(words)
+        found = self.weight[buckets]
+        total = np.bincount(owner, found, len(words))
+        return (total / np.maximum(np.bincount(owner, found != 0, len(words)), 1)).tolist()
 
 
 class _Sparse:
@@ -198,29 +271,20 @@ def sample_of(docs: DataFrame, labels: DataFrame) -> list[tuple[str | None, int]
     return rows
 
 
-class _Scores(dict):
-    """The scores of the words met so far."""
-
-    def __init__(self, model: Model):
-        super().__init__()
-        self.model = model
-
-    def __missing__(self, word: str) -> float:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = self.model.word(word)
-        return value
-
-
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) per row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _Scores(model)
+        # The scores of the words met so far.
+        cache: dict[str, float] = {}
         for batch in slices(batches):
             out = []
-            for text in batch.column("text").to_pylist():
-                found = tokens(text)
+            rows = [tokens(text) for text in batch.column("text").to_pylist()]
+            if len(cache) >= CACHE_WORDS:
+                cache.clear()
+            new = [w for w in set().union(*rows) if w not in cache]
+            cache.update(zip(new, model.words(new), strict=True))
+            for found in rows:
                 mean = sum(map(cache.__getitem__, found)) / (len(found) + NEUTRAL)
                 out.append(1 / (1 + np.exp(-np.clip(mean + model.bias, -30, 30))))
             yield pa.RecordBatch.from_arrays(
