@@ -141,6 +141,29 @@ def test_repeats_of_random_texts(spark, seed):
     assert bag(found) == bag(brute.byte_repeats(rows))
 
 
+def test_repeats_in_versions_of_one_document(spark):
+    """Rows that share a doc_id begin alike; a part of that is in another document too."""
+    rng = random.Random(3)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    # Bytes, and words that are cut into units of several windows.
+    part, runs = letters(700), "u " * 30 + "v " * 30
+    rows = [(1, part + " A"), (1, part + " B"), (1, part + " B"), (2, "x" + part[80:640] + "y")]
+    rows += [(None, runs + "A"), (None, runs + "B"), (-9, "s " + runs[20:100] + "t"), (None, None)]
+    for _ in range(40):
+        i, a = rng.choice(rows[-20:])
+        a = a or letters(900)
+        j, k = sorted(rng.randrange(len(a) + 1) for _ in range(2))
+        if rng.random() < 0.5:
+            rows.append((i, a[:k] + letters(30)))
+        else:
+            rows.append((rng.randrange(12), letters(20) + a[j:k] + letters(rng.choice([9, 900]))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = prefix_doubling.deduplicated(docs).drop("kept").collect()
+    assert bag(found) == bag(brute.byte_repeats(rows))
+    found = recompression.deduplicated(docs).drop("kept_text").collect()
+    assert bag(found) == bag(brute.word_repeats(rows))
+
+
 def test_long_text_is_cut_for_hashing(spark):
     """A text of several slices repeats inside itself and in another."""
     rng = random.Random(5)
